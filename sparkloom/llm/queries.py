@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mix
+from . import exact, mix
 from .common import read
 
 
@@ -10,9 +10,15 @@ def op1_mix_sources(spark, sf_dir):
     return mix.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_exact_dedup(spark, sf_dir):
+    return exact.exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_exact_dedup": op2_exact_dedup,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,
+    "op2_exact_dedup": exact.ORACLE,
 }
