@@ -74,3 +74,10 @@ def put(df: DataFrame, **columns) -> DataFrame:
     taken = {c.lower() for c in columns}
     keep = [c for c in df.columns if c.lower() not in taken]
     return df.select(*[df[f"`{c}`"] for c in keep], *[v.alias(k) for k, v in columns.items()])
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

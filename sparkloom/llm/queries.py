@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact, mix
-from .common import read
+from . import exact, mix, packing
+from .common import read, tokenizer_file
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -14,9 +14,14 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_pack(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_pack": op6_pack,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,
