@@ -33,7 +33,7 @@ from .common import Stage
 SIZE = 4096
 END_ID = 2
 #: Word cache of a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 #: A word of plain letters, then marks, is two pre-tokens: the lower-cased letters and the marks.
@@ -72,7 +72,7 @@ class WordTokenizer:
 
     def _part(self, part: str) -> list[int]:
         if (found := self.parts.get(part)) is None:
-            found = self.parts[part] = [t.id for t in self.model.tokenize(part.translate(self.letters))]
+            found = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
         return found
 
     def _learn(self, words: list[bytes]) -> None:
