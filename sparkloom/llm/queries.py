@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mix, packing
+from . import exact, mix, packing, repeats
 from .common import read, tokenizer_file
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -21,6 +25,7 @@ def op6_pack(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
 }
 ORACLES = {
