@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mix, packing, repeats
+from . import exact, mix, packing, repeats, toxicity
 from .common import read, tokenizer_file
 
 
@@ -22,11 +22,17 @@ def op6_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,
