@@ -21,7 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, ascii_lower, put
+from sparkloom.staging import Stage
+
+from .common import ascii_lower, put
 
 BLOCK = 2048
 #: Names of level k start at k << LEVEL_BITS.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mix, packing, repeats, toxicity
+from . import exact, jaccard, mix, packing, repeats, toxicity
 from .common import read, tokenizer_file
 
 
@@ -27,12 +27,17 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from sparkloom.staging import Stage
 
 DEPTH = 400
 GRAM = 128
@@ -64,12 +64,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substrings of one byte string, in two independent versions."""
+    """Hashes of any substrings of one byte string, in up to two independent versions."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, versions: int = 2):
         self.powers = _powers(len(data))
         self.sums = []
-        for version in (0, 1):
+        for version in range(versions):
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_TABLES[version][data] * self.powers[version][0][: len(data)], out=sums[1:])
             self.sums.append(sums)
