@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, jaccard, mix, packing, repeats, toxicity
+from . import chat, exact, jaccard, mix, packing, repeats, toxicity
 from .common import read, tokenizer_file
 
 
@@ -22,6 +22,11 @@ def op6_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_chat_format(spark, sf_dir):
+    turns = chat.fold_events(chat.as_events(chat.with_trial(read(spark, sf_dir, "conversations"))))
+    return chat.digests(chat.read_back(chat.format_chats(turns)))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -36,10 +41,12 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
+    "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard": op10_jaccard,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,
     "op2_exact_dedup": exact.ORACLE,
+    "op8_chat_format": chat.ORACLE,
 }
