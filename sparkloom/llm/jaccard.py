@@ -202,18 +202,19 @@ def _verify(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _candidates(docs: DataFrame, sizes: DataFrame, stage: Stage, size: int, percent: int) -> DataFrame:
     """(node, n, ranked) of the nodes that may link, ranked: its tokens found elsewhere, rarest first."""
     rows = docs.select("text").mapInPandas(lambda b: _prefixes(b, size, percent), "token long, node long")
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    hits = rows.join(shared, "token").select("node", "c").join(sizes, "node")
+    # Counts are written before they are joined, so that the join can split a hot token's rows.
+    shared = stage.write(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    hits = rows.join(shared, "token").groupBy("node", "c").agg(F.count(F.lit(1)).alias("k")).join(sizes, "node")
     n_need = F.expr(f"({percent} * n + 99) div 100")
     alive = (
-        hits.groupBy("node").agg(F.max("copies").alias("copies"), F.max("n").alias("n"), F.count_if(F.col("c") > F.col("copies")).alias("found"))
+        hits.groupBy("node").agg(F.max("copies").alias("copies"), F.max("n").alias("n"), F.sum(F.when(F.col("c") > F.col("copies"), F.col("k")).otherwise(0)).alias("found"))
         .where(F.col("found") >= F.col("copies") * F.greatest(F.lit(1), F.floor(n_need / 10)))
     )
     sets = stage.write(_sets(docs, stage.write(alive.select("node"), "alive"), size), "sets")
     left = sets.count()
     for step in range(4):
         token = sets.select("node", "n", F.explode("tokens").alias("token"))
-        df = token.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+        df = stage.write(token.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), f"df{step}")
         ranked = token.join(df, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
         ranked = stage.write(ranked.where(F.size("ranked") >= n_need), f"ranked{step}")
         before, left = left, ranked.count()
@@ -236,10 +237,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     keys = ["doc_id", *(["__rid"] if "__rid" in docs.columns else [])]
     kinds = "".join(f"{k} long, " for k in reversed(keys))
     signed = stage.write(docs.select(*keys, "text").mapInPandas(lambda b: _signatures(b, size), f"{kinds}n int, node long, check long"), "signed")
-    sizes = signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    sizes = stage.write(signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "sizes")
     ranked = _candidates(docs, sizes, stage, size, percent)
     keyed = stage.write(ranked.mapInPandas(lambda b: _keys(b, percent, frequent, most), "kind int, key long, dense boolean, node long"), "keys")
     buckets = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), F.max("dense").alias("any_dense"), F.min("node").alias("first")).where("c > 1 AND (kind <> 1 OR any_dense)")
+    buckets = stage.write(buckets, "buckets")
     edges = keyed.join(buckets, ["kind", "key"]).where(F.col("node") != F.col("first")).select("node", "first").distinct()
     blocks = star_forest(edges, "node", "first")
     # The block's own first node has no row in the forest.
@@ -253,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     rows = signed.join(groups, "node", "left").join(links, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     rows = stage.write(rows, "rows")
-    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = stage.write(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "component", "left")
     return out.select(*keys, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "component")
 
