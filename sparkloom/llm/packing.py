@@ -75,7 +75,7 @@ class WordTokenizer:
             found = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
         return found
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
         ids: list[list[int] | None] = []
         for w in words:
             m = PLAIN.match(w.decode())
@@ -83,6 +83,10 @@ class WordTokenizer:
         if others := [i for i, x in enumerate(ids) if x is None]:
             for i, e in zip(others, self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)):
                 ids[i] = e.ids
+        return ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        ids = self._encoded(words)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.at), int(lengths.sum())
         while len(self.length) < n + len(words):
@@ -96,7 +100,9 @@ class WordTokenizer:
         self.at.update(zip(words, range(n, n + len(words))))
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()
+        return self.encode_words(text.encode().split())
+
+    def encode_words(self, words: list[bytes]) -> np.ndarray:
         if len(self.at) > CACHE_WORDS:
             self._clear()
         if new := set(words).difference(self.at):

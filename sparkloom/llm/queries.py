@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, jaccard, mix, packing, repeats, toxicity
+from . import chat, exact, fertility, jaccard, mix, packing, repeats, toxicity
 from .common import read, tokenizer_file
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_fertility(spark, sf_dir):
+    return fertility.quality_rules(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_jaccard(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_fertility": op3_fertility,
     "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
     "op8_chat_format": op8_chat_format,
