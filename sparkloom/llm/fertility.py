@@ -46,9 +46,8 @@ FIXED = (("chars_per_token", 1.0, 12.0), ("tokens_per_word", 1.0, 12.0), ("byte_
 LEAST_WIDTH = 0.1
 #: Code point ranges by script, first match wins.
 SCRIPTS = (
-    ("han", "[㐀-鿿]"), ("kana", "[぀-ヿ]"), ("hangul", "[가-힯]"), ("cyrillic", "[Ѐ-ԯ]"),
-    ("greek", "[Ͱ-Ͽ]"), ("arabic", "[؀-ۿ]"), ("hebrew", "[֐-׿]"), ("devanagari", "[ऀ-ॿ]"),
-    ("thai", "[฀-๿]"),
+    ("han", "[\u4e00-\u9fff]"), ("kana", "[\u3040-\u30ff]"), ("hangul", "[\uac00-\ud7af]"), ("cyrillic", "[\u0400-\u052f]"), ("greek", "[\u0370-\u03ff]"),
+    ("arabic", "[\u0600-\u06ff]"), ("hebrew", "[\u0590-\u05ff]"), ("devanagari", "[\u0900-\u097f]"), ("thai", "[\u0e00-\u0e7f]"),
 )
 _SCRIPTS = [(name, re.compile(pattern)) for name, pattern in SCRIPTS]
 

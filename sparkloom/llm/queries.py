@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, fertility, jaccard, mix, packing, repeats, toxicity
+from . import chat, exact, fertility, html_crf, jaccard, mix, packing, repeats, toxicity
 from .common import read, tokenizer_file
 
 
@@ -26,6 +26,10 @@ def op6_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_html_extract(spark, sf_dir):
+    return html_crf.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark, sf_dir):
     turns = chat.fold_events(chat.as_events(chat.with_trial(read(spark, sf_dir, "conversations"))))
     return chat.digests(chat.read_back(chat.format_chats(turns)))
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_fertility": op3_fertility,
     "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
+    "op7_html_extract": op7_html_extract,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard": op10_jaccard,
