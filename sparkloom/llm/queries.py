@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, fertility, html_crf, jaccard, mix, packing, repeats, toxicity
+from . import chat, exact, fertility, html_crf, jaccard, mix, ngram_lm, packing, repeats, toxicity
 from .common import read, tokenizer_file
 
 
@@ -18,6 +18,10 @@ def op3_fertility(spark, sf_dir):
     return fertility.quality_rules(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_perplexity(spark, sf_dir):
+    return ngram_lm.perplexity_filter(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fertility": op3_fertility,
+    "op4_perplexity": op4_perplexity,
     "op5_repeats": op5_repeats,
     "op6_pack": op6_pack,
     "op7_html_extract": op7_html_extract,
