@@ -24,7 +24,7 @@ def histogram(rows: DataFrame, color: str = "color", by: tuple[str, ...] = (), b
     return joined.select(*(F.col(f"d.{k}") for k in on), F.coalesce("c.n", F.lit(0)).cast("long").alias("n"))
 
 
-def conditional_histogram(rows: DataFrame, color: str = "color", buckets: int = BUCKETS, width: int = 64) -> DataFrame:
+def conditional_histogram(rows: DataFrame, color: str = "color", buckets: int = BUCKETS, width: int = 32) -> DataFrame:
     """The same by one conditional count per bucket: a single pass with no grouping key.
 
     ``width`` counts stand in one aggregate, so that its generated code stays compact.
