@@ -41,7 +41,7 @@ def docs(spark):
 
 
 def test_exact_groups(docs):
-    rows = exact.exact_duplicates(docs, block=64).collect()
+    rows = exact.exact_duplicates(docs, block=300).collect()
     norm = [((t or "").translate(LOWER), i) for i, t, *_ in corpus()]
     assert len(rows) == len(norm)
     by_hash = {}
@@ -56,12 +56,12 @@ def test_exact_groups(docs):
     assert set(kept.values()) == {1}
     assert len({r.identity for r in rows}) == len(by_hash)
     assert {r.identity: r.text_sha256 for r in rows}.keys() == {r.identity for r in rows}
-    left = exact.drop_exact_duplicates(docs, block=64)
+    left = exact.drop_exact_duplicates(docs, block=300)
     assert left.columns == docs.columns and left.count() == len(by_hash)
 
 
 def test_exact_identity_does_not_depend_on_block_size(docs):
-    groups = [{frozenset((r.rid) for r in g) for g in _by(exact.block_identities(docs, block=b).collect(), "identity")} for b in (1 << 20, 100)]
+    groups = [{frozenset((r.rid) for r in g) for g in _by(exact.block_identities(docs, block=b).collect(), "identity")} for b in (1 << 20, 700)]
     assert groups[0] == groups[1]
 
 
