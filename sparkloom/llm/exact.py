@@ -1,11 +1,15 @@
 """Exact duplicates by deterministic block naming.
 
 Every text (A-Z lower-cased, UTF-8) is cut into blocks of ``BLOCK`` bytes, the last
-one shorter. All blocks are sorted and each distinct block gets its rank as an integer
-name. Then adjacent names of a document are paired, the pairs are sorted and named in
+one shorter. All blocks are sorted (by digest, see below) and each distinct block gets its
+rank as an integer name. Then adjacent names of a document are paired, the pairs are sorted and named in
 the same way, and so on until a document has one name; an odd last name moves up as it
 is. A name stands for one string only, and equal strings always meet in the same name,
-so the last name is an identity without collisions: contents are compared, not hashes.
+so the last name is an identity without collisions.
+
+Blocks are ordered by their SHA-256 digest, so that the sample from which the sort's
+ranges are chosen stays small; neighbours of equal digest are compared in full, and two
+different blocks of one digest would stop the run rather than share a name.
 
 The sort key ends in the row's own number. A block that a third of all rows share is
 therefore dealt over many tasks; tasks whose first block equals the last block of the
@@ -30,11 +34,11 @@ BLOCK = 2048
 LEVEL_BITS = 54
 
 
-def _ranker(keys: list[str], carried: list[str]):
+def _ranker(keys: list[str], carried: list[str], content: str | None = None):
     """Ranks sorted rows within the task; the last row tells what the task began and ended with."""
 
     def run(batches):
-        task, rank, last, first = TaskContext.get().partitionId(), -1, None, None
+        task, rank, last, first, kept = TaskContext.get().partitionId(), -1, None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -46,6 +50,14 @@ def _ranker(keys: list[str], carried: list[str]):
             begin = [batch.column(k)[0].as_py() for k in keys]
             changed[0] = begin != last
             first = begin if first is None else first
+            if content:
+                whole = batch.column(content)
+                other = np.full(batch.num_rows, whole[0].as_py() != kept)
+                if batch.num_rows > 1:
+                    other[1:] = pc.not_equal(whole.slice(1), whole.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+                if (other & ~changed).any():
+                    raise ValueError("two different blocks have one SHA-256 digest")
+                kept = whole[batch.num_rows - 1].as_py()
             ranks = rank + np.cumsum(changed)
             rank, last = int(ranks[-1]), [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
             n = batch.num_rows
@@ -77,13 +89,13 @@ def _offsets(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return ends.select("task", (before - F.col("on")).alias("offset"))
 
 
-def _named(stage: Stage, rows: DataFrame, keys: list[str], carried: list[str], level: int) -> DataFrame:
-    """``carried`` and the integer name of each row's ``keys``; rows are (keys, carried), with rid among carried."""
+def _named(stage: Stage, rows: DataFrame, keys: list[str], carried: list[str], level: int, content: str | None = None) -> DataFrame:
+    """``carried`` and the integer name of each row's ``keys``; rows are (keys, content, carried), with rid among carried."""
     types = dict(rows.dtypes)
     kinds = lambda names, as_: [f"{p}{n} {types[n]}" for p in as_ for n in names]
     schema = ", ".join(["task int", "rank long", *kinds(carried, [""]), *kinds(keys, ["first_", "last_"])])
-    dealt = rows.select(*keys, *carried).repartitionByRange(*keys, "rid").sortWithinPartitions(*keys, "rid")
-    ranked = stage.write(dealt.mapInArrow(_ranker(keys, carried), schema), f"ranked{level}")
+    dealt = rows.select(*keys, *([content] if content else []), *carried).repartitionByRange(*keys, "rid").sortWithinPartitions(*keys, "rid")
+    ranked = stage.write(dealt.mapInArrow(_ranker(keys, carried, content), schema), f"ranked{level}")
     offsets = F.broadcast(_offsets(ranked, keys))  # one row of 12 bytes for each task
     name = F.lit(level << LEVEL_BITS) + F.col("rank") + F.col("offset")
     return ranked.where("rid IS NOT NULL").join(offsets, "task").select(*carried, name.alias("name"))
@@ -103,7 +115,8 @@ def block_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = cut.select("rid", "doc_id", "n", F.unhex(F.sha2("bytes", 256)).alias("sha"), F.posexplode(parts).alias("idx", "block"))
     first = F.col("idx") == 0
     blocks = blocks.withColumn("doc_id", F.when(first, F.col("doc_id"))).withColumn("sha", F.when(first, F.col("sha")))
-    rows = _named(stage, blocks, ["block"], ["rid", "idx", "n", "doc_id", "sha"], 0)
+    blocks = blocks.withColumn("digest", F.unhex(F.sha2("block", 256)))
+    rows = _named(stage, blocks, ["digest"], ["rid", "idx", "n", "doc_id", "sha"], 0, content="block")
     heads = rows.where("idx = 0").select("rid", "doc_id", "sha")
     rows = rows.select("rid", "idx", "n", "name")
     done, level = [rows.where("n = 1")], 0
