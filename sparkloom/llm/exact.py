@@ -151,6 +151,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     stage = Stage(docs.sparkSession, "exact")
     ids = stage.write(block_identities(docs, block), "identities")
     best = ids.groupBy("identity").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = stage.write(best, "best")  # written, so that the join can split a large group's rows
     return ids.join(best, "identity").select(
         "rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("best.rid") == F.col("rid")).alias("kept"), "text_sha256", "identity",
