@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,12 @@ from sparkloom.staging import Stage
 
 from .jaccard import FILTER_BITS, _bit, _filter_words
 
-ORDER = 5
+ORDER = 4
 QUANTILE = 0.995
 MARGIN = 1.05
 LEAST_TRUSTED = 100
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
+CHUNK_LEVEL = 6
 #: N-grams are made and counted by pieces of this many bytes.
 PIECE = 1 << 20
 #: Stands before a text, so that its first bytes have contexts.
@@ -117,52 +119,53 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
         below = stage.write(seen, f"p{k}")
         rows = below.select("key", "p", F.lit(None).cast("double").alias("g")).unionByName(contexts.select(F.col("context").alias("key"), F.lit(None).cast("double").alias("p"), "g"))
         model = rows if model is None else model.unionByName(rows)
+    model = model.unionByName(texts.sparkSession.range(1).selectExpr("1L AS key", "CAST(NULL AS double) AS p", "CAST(NULL AS double) AS g"))  # every chunk gets an answer
     return stage.write(model.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g")), "model")
 
 
-def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int) -> Iterator[pd.DataFrame]:
-    """Rows (chunk, docs, ends, texts): documents of one task in blobs of about ``chunk_bytes``."""
-    ids, parts, size = [], [], 0
-
-    def packed() -> pd.DataFrame:
-        blob = b"".join(parts)
-        chunk = f"{ids[0]}-{ids[-1]}-{len(ids)}-{zlib.crc32(blob)}"
-        return pd.DataFrame({"chunk": [chunk], "docs": [ids], "ends": [np.cumsum([len(p) for p in parts])], "texts": [zlib.compress(blob, 1)]})
-
+def _grouped(batches: Iterator[pd.DataFrame], chunk_bytes: int) -> Iterator[tuple[str, list[int], list[bytes]]]:
+    """(chunk name, rows, texts): one task's documents in order, cut at about ``chunk_bytes``."""
+    ids, parts, size, digest = [], [], 0, 0
     for b in batches:
-        for doc, text in zip(b["row"], b["text"]):
-            ids.append(doc)
+        for row, text in zip(b["row"], b["text"]):
+            ids.append(row)
             parts.append((text or "").encode())
             size += len(parts[-1])
+            digest = zlib.crc32(parts[-1], digest)
             if size >= chunk_bytes:
-                yield packed()
-                ids, parts, size = [], [], 0
+                yield f"{ids[0]}-{ids[-1]}-{len(ids)}-{digest}", ids, parts
+                ids, parts, size, digest = [], [], 0, 0
     if ids:
-        yield packed()
+        yield f"{ids[0]}-{ids[-1]}-{len(ids)}-{digest}", ids, parts
 
 
-def _texts(row) -> list[bytes]:
-    blob = zlib.decompress(row.texts)
-    return [blob[a:b] for a, b in zip([0, *row.ends[:-1]], row.ends)]
+def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int) -> Iterator[pd.DataFrame]:
+    for chunk, ids, parts in _grouped(batches, chunk_bytes):
+        yield pd.DataFrame({"chunk": [chunk], "docs": [ids], "ends": [np.cumsum([len(p) for p in parts])], "texts": [zstandard.compress(b"".join(parts), CHUNK_LEVEL)]})
 
 
-def _requests(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for row in b.itertuples():
-            found = np.zeros(0, np.int64)
-            for piece in _pieces(iter(_texts(row)), order):
-                found = np.union1d(found, piece)
-            # Contexts of the longest grams end at an earlier byte, or are padding.
-            keys = [found, np.unique(found >> 8)]
-            for k in range(order - 1, 0, -1):
-                keys.append(np.unique(shorter(found, k)))
-                keys.append(np.unique(shorter(found, k) >> 8))
-            keys = np.unique(np.concatenate(keys))
-            yield pd.DataFrame({"chunk": row.chunk, "key": keys})
+def _requests(batches: Iterator[pd.DataFrame], order: int, chunk_bytes: int) -> Iterator[pd.DataFrame]:
+    """The distinct n-grams of every length, and their contexts, that each chunk has."""
+    for chunk, _, parts in _grouped(batches, chunk_bytes):
+        found = np.zeros(0, np.int64)
+        for piece in _pieces(iter(parts), order):
+            found = np.union1d(found, piece)
+        keys = [found, found >> 8, np.ones(1, np.int64)]
+        for k in range(order - 1, 0, -1):
+            tails = np.unique(shorter(found, k))
+            keys += [tails, tails >> 8]
+        yield pd.DataFrame({"chunk": chunk, "key": np.unique(np.concatenate(keys))})
+
+
+def _texts(row) -> list[bytes]:
+    blob = zstandard.decompress(row.texts)
+    return [blob[a:b] for a, b in zip([0, *row.ends[:-1]], row.ends)]
 
 
 def _scored(answers: pd.DataFrame, chunks: pd.DataFrame, order: int) -> pd.DataFrame:
     """(row, n_bytes, log_prob) of a chunk's documents."""
+    if not len(answers) or not len(chunks):
+        raise RuntimeError("the table gave other rows when it was read again; write it before scoring")
     answers = answers.sort_values("key")
     keys, p, g = (answers[c].to_numpy() for c in ("key", "p", "g"))
     out = []
@@ -193,11 +196,15 @@ def _scored(answers: pd.DataFrame, chunks: pd.DataFrame, order: int) -> pd.DataF
 
 
 def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(row, n_bytes, log_prob) for (row, text): the natural log of each whole text's probability, byte by byte."""
-    stage = Stage(docs.sparkSession, "ngram-scores")
-    chunks = stage.write(docs.select("row", "text").mapInPandas(lambda b: _chunks(b, chunk_bytes), "chunk string, docs array<long>, ends array<long>, texts binary"), "chunks")
-    # A chunk of texts is one row: let every task of the next scan take few of them.
-    asked = chunks.repartition("chunk").mapInPandas(lambda b: _requests(b, order), "chunk string, key long")
+    """(row, n_bytes, log_prob) for (row, text): the natural log of each whole text's probability, byte by byte.
+
+    ``docs`` is read twice and must be a table whose scan gives the same rows in the same
+    order: chunks are not kept between asking and scoring but named by their content, and a
+    chunk without its answers stops the run.
+    """
+    texts = docs.select("row", "text")
+    chunks = texts.mapInPandas(lambda b: _chunks(b, chunk_bytes), "chunk string, docs array<long>, ends array<long>, texts binary")
+    asked = texts.mapInPandas(lambda b: _requests(b, order, chunk_bytes), "chunk string, key long")
     answers = asked.join(model, "key").select("chunk", "key", "p", "g")
     both = answers.groupBy("chunk").cogroup(chunks.groupBy("chunk"))
     return both.applyInPandas(lambda a, c: _scored(a, c, order), "row long, n_bytes long, log_prob double")
