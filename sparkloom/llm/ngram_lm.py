@@ -220,7 +220,8 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         at = _bit(ids.fillna(-1).to_numpy(np.int64), FILTER_BITS)
         return pd.Series((mask.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-    return docs.where(likely("doc_id")).join(good, "doc_id", "left_semi")
+    # Merged at every size: labels grow with the documents, so they are never sent whole.
+    return docs.where(likely("doc_id")).join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def perplexity_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
