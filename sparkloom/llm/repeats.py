@@ -156,17 +156,19 @@ def _children(batches: Iterator[pd.DataFrame], depth: int, width: int) -> Iterat
 def _pass(stage: Stage, runs: DataFrame, name: str, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(repeated runs that are still asked for, runs that go to the next pass)."""
     shared = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    shared = stage.write(shared, f"{name}-cores")  # written, so that the join can split a hot group's rows
     runs = stage.write(runs.join(shared, "core", "left_semi"), f"{name}-shared")
     hull = ["lo", "hi", "hull1", "hull2"]
     groups = runs.groupBy(*hull).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a")).alias("one"), F.min("core").alias("core"), F.max("live").alias("live")
     )
-    repeated = groups.where("n > 1").select(*hull)
+    repeated = stage.write(groups.where("n > 1").select(*hull), f"{name}-hulls")
     spans = stage.write(runs.where("live").join(repeated, hull, "left_semi").select("k1", "k2", (F.col("a") - F.col("hi")).alias("from"), (F.col("a") - F.col("lo")).alias("last")), f"{name}-spans")
     if last:
         return spans, None
     groups = groups.withColumn("live", F.col("live") & (F.col("n") == 1))
     open_ = groups.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("live").alias("live")).where("n > 1 AND live").select("core")
+    open_ = stage.write(open_, f"{name}-open")
     rest = groups.join(open_, "core", "left_semi").select("one.*", "lo", "hi", "live")
     return spans, stage.write(rest, f"{name}-rest")
 
