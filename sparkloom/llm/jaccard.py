@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     chunks = block.groupBy("block").agg(F.ceil(F.sum(F.size("tokens")) / chunk_tokens).cast("int").alias("chunks"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     dealt = block.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "chunks")
+    cells = cells.repartition("block", "i", "j")  # else all cells of a block would follow the join's partition
     found = stage.write(cells.groupBy("block", "i", "j").applyInPandas(lambda c: _verify(c, percent), "a long, b long, links long"), "links")
     groups = star_forest(found.where("links = 0"), "a", "b").withColumnRenamed("id", "node")
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
