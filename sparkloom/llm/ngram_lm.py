@@ -28,7 +28,7 @@ from sparkloom.staging import Stage
 
 from .jaccard import FILTER_BITS, _bit, _filter_words
 
-ORDER = 4
+ORDER = 5
 QUANTILE = 0.995
 MARGIN = 1.05
 LEAST_TRUSTED = 100

@@ -216,6 +216,17 @@ def test_perplexity(spark):
     assert ngram_lm.perplexity_filter(docs.limit(0), labels).count() == 0
 
 
+def test_perplexity_order(spark):
+    """Junk whose 4-grams are all in the trusted text, and whose 5-grams are not."""
+    rng = random.Random(7)
+    pick = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    texts = [pick(["abcde", "fbcdg", "khijl", "mhijn"]) for _ in range(150)] + [pick(["abcdg", "fbcde", "khijn", "mhijl"]) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "xx", None, None) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in ngram_lm.perplexity_filter(docs, labels).where("kept").collect()}
+    assert len(kept) >= 145 and max(kept) < 150
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["grobian", "nitwit", "dullard"]
