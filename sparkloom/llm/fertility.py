@@ -9,8 +9,10 @@ tokens as a share of the most that so many tokens can have.
 Every group (the document's language, or its script where none is given) has rejection
 bands from all of its documents that pass the base rules: the quartiles widened by
 ``FENCE`` times their distance. Short texts scatter more, so their bands are wider.
-Groups of fewer than ``LEAST_GROUP`` documents have the fixed bands alone, which hold for
-all groups.
+A group of n documents has bands at every size: its quartiles count n / (n + ``SHRINK``), those
+of all documents in the row's script the rest. The bands are widened by the distance that this
+moves the median, so that a rare language is not judged by the common ones alone. Fixed limits
+hold for all groups besides.
 
 The base rules (words, symbols, repeated lines and 8-word windows) come from the same
 pass over the texts.
@@ -38,7 +40,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 FENCE = 3.0
-LEAST_GROUP = 200
+SHRINK = 20
 #: Bands are meant for texts of this many words; shorter ones get wider bands.
 USUAL_WORDS = 200
 #: (measure, lowest, highest) that any group may have, and the least half-width as a share of the median.
@@ -148,14 +150,14 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
-def bands(rows: DataFrame, fence: float = FENCE) -> DataFrame:
-    """(group, m_low, m_mid, m_high for each measure m): quartiles of the rows that pass the base rules."""
+def bands(rows: DataFrame, by: str = "group") -> DataFrame:
+    """(by, by_n, by_m_low, by_m_mid, by_m_high for each measure m): quartiles of the rows that pass the base rules."""
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    found = rows.where("NOT base_failed").groupBy("group").agg(F.count(F.lit(1)).alias("group_n"), *quartiles)
-    return found.select("group", "group_n", *(F.col(m)[i].alias(f"{m}_{n}") for m in MEASURES for i, n in enumerate(("low", "mid", "high"))))
+    found = rows.where("NOT base_failed").groupBy(by).agg(F.count(F.lit(1)).alias(f"{by}_n"), *quartiles)
+    return found.select(by, f"{by}_n", *(F.col(m)[i].alias(f"{by}_{m}_{n}") for m in MEASURES for i, n in enumerate(("low", "mid", "high"))))
 
 
-def quality_rules(docs: DataFrame, tokenizer_path: str, fence: float = FENCE, least_group: int = LEAST_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, tokenizer_path: str, fence: float = FENCE, shrink: float = SHRINK) -> DataFrame:
     """One row per row of ``docs``: the base counts, the measures, base_failed and kept.
 
     ``docs`` has doc_id, text and lang; a null lang groups by script, a null or empty text
@@ -164,16 +166,17 @@ def quality_rules(docs: DataFrame, tokenizer_path: str, fence: float = FENCE, le
     stage = Stage(docs.sparkSession, "fertility")
     rows = stage.write(measured(docs, tokenizer_path), "measured")
     rows = rows.withColumn("group", F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    judged = rows.join(stage.write(bands(rows, fence), "bands"), "group", "left")  # one row a group; adaptive execution broadcasts it when it is small
+    judged = rows.join(stage.write(bands(rows), "bands"), "group", "left")  # one row a group; adaptive execution broadcasts it when it is small
+    judged = judged.join(stage.write(bands(rows, "script"), "scripts"), "script", "left")  # one row a script
     wide = F.sqrt(F.greatest(F.lit(1.0), USUAL_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
+    own = F.col("group_n") / (F.col("group_n") + shrink)
     inside = F.lit(True)
     for m, lowest, highest in FIXED:
-        low, mid, high = (F.col(f"{m}_{n}") for n in ("low", "mid", "high"))
-        half = F.greatest(fence * (high - low), LEAST_WIDTH * F.abs(mid)) * wide
-        enough = F.coalesce(F.col("group_n") >= least_group, F.lit(False))
+        low, mid, high = (own * F.col(f"group_{m}_{n}") + (1 - own) * F.col(f"script_{m}_{n}") for n in ("low", "mid", "high"))
+        half = F.greatest(fence * (high - low), LEAST_WIDTH * F.abs(mid)) * wide + F.abs(F.col(f"group_{m}_mid") - mid)
         if lowest is not None:
-            inside = inside & (F.col(m) >= lowest) & (~enough | (F.col(m) >= low - half))
+            inside = inside & (F.col(m) >= lowest) & (F.col(m) >= low - half)
         if highest is not None:
             # Byte tokens are rare in most languages; a few never reject a text.
-            inside = inside & (F.col(m) <= highest) & (~enough | (F.col(m) <= high + half + (0.02 if m == "byte_share" else 0.0)))
+            inside = inside & (F.col(m) <= highest) & (F.col(m) <= high + half + (0.02 if m == "byte_share" else 0.0))
     return judged.select("doc_id", *_COLUMNS[:5], "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "group", *MEASURES)

@@ -164,6 +164,21 @@ def test_fertility(spark):
     assert fertility.quality_rules(docs.limit(0), tokenizer_file("piece_bpe_32k.model")).count() == 0
 
 
+def test_fertility_bands_at_every_size(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice("the of and time people water between important because language river under".split()) for _ in range(150))
+    junk = lambda: " ".join("".join(rng.choice("qxzjkvwpbdg") + rng.choice("aeiou") for _ in range(4)) for _ in range(200))
+    rare = lambda: " ".join(rng.choice("вода огонь гора человек время между река страна язык день и на".split()) for _ in range(150))
+    rows = [(t, lang) for lang, n in (("aa", 12), ("bb", 60), ("cc", 260)) for t in (*(good() for _ in range(n)), junk())] + [(rare(), "dd") for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in fertility.quality_rules(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
+    ends = {12, 12 + 61, 12 + 61 + 261}
+    for i in ends:
+        r = got[i]
+        assert not r.base_failed and 1 <= r.chars_per_token and r.tokens_per_word <= 12 and r.byte_share <= 0.3 and r.entropy_share >= 0.3
+    assert {i for i, r in got.items() if not r.kept} == ends
+
+
 def kneser_ney(texts, order):
     counts = {order: Counter()}
     for t in texts:
