@@ -31,7 +31,7 @@ from .jaccard import FILTER_BITS, _bit, _filter_words
 ORDER = 5
 QUANTILE = 0.995
 MARGIN = 1.05
-LEAST_TRUSTED = 100
+SHRINK = 50
 CHUNK_BYTES = 32 << 20
 CHUNK_LEVEL = 6
 #: N-grams are made and counted by pieces of this many bytes.
@@ -228,8 +228,8 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, qu
     """One row per row of ``docs``: doc_id, lang, n_bytes, perplexity (per byte), threshold and kept.
 
     The threshold of a language is ``margin`` times that quantile of its trusted documents'
-    perplexity; languages (null too) with under ``LEAST_TRUSTED`` of them take the quantile
-    of all. A null or empty text has no perplexity and is not kept. Without trusted text
+    perplexity; with n of them the language's (null too) own quantile counts
+    n / (n + ``SHRINK``), that of all languages the rest. A null or empty text has no perplexity and is not kept. Without trusted text
     every byte is equally likely and all texts with bytes are kept.
     """
     stage = Stage(docs.sparkSession, "perplexity")
@@ -242,7 +242,8 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, qu
     known = stage.write(rows.where("perplexity IS NOT NULL").join(good, "doc_id", "left_semi"), "known")
     q = F.percentile_approx("perplexity", quantile, 10_000)
     overall = known.agg(q.alias("q")).first()["q"]
-    by_language = known.groupBy("key").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED).select("key", "q")
-    limit = margin * F.coalesce(F.col("q"), F.lit(float(overall) if overall is not None else 1e9))
+    by_language = known.groupBy("key").agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
+    pooled = F.lit(float(overall) if overall is not None else 1e9)
+    limit = margin * F.coalesce((F.col("n") * F.col("q") + SHRINK * pooled) / (F.col("n") + SHRINK), pooled)
     judged = rows.join(stage.write(by_language, "quantiles"), "key", "left").withColumn("threshold", limit)
     return judged.select("doc_id", "lang", F.col("n_bytes"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

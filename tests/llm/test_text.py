@@ -242,6 +242,19 @@ def test_perplexity_order(spark):
     assert len(kept) >= 145 and max(kept) < 150
 
 
+def test_perplexity_threshold_of_a_small_language(spark):
+    rng = random.Random(8)
+    pick = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(pick("alpha beta gamma delta".split()), "en") for _ in range(200)] + [(pick("ключ вода огонь гора река день язык".split()), "xx") for _ in range(60)] + [("alpha", "yy")]
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(260)], "doc_id long, quality int, toxic int")
+    got = ngram_lm.perplexity_filter(docs, labels).collect()
+    limit = {r.lang: r.threshold for r in got}
+    own = max(r.perplexity for r in got if r.lang == "xx")
+    assert limit["yy"] != pytest.approx(1.05 * own)
+    assert limit["xx"] == pytest.approx((60 * 1.05 * own + 50 * limit["yy"]) / 110)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["grobian", "nitwit", "dullard"]
