@@ -83,11 +83,16 @@ def _counted(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFra
 
 
 def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from how many counts are 1 to 4."""
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from how many counts are 1 to 4.
+
+    An estimate that is not positive gives way to the plain absolute discount, so that every
+    context leaves some weight to the shorter n-gram and no byte has probability 0.
+    """
     n = counts.agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
     n1, n2, n3, n4 = (float(x) for x in n)
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    return [min(max(i - (i + 1) * y * (b / a if a else 0.0), 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    estimates = ((i, i - (i + 1) * y * (b / a if a else 0.0)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return [min(d if d > 0 else y, float(i)) for i, d in estimates]
 
 
 def train(texts: DataFrame, order: int = ORDER) -> DataFrame:

@@ -255,6 +255,12 @@ def test_perplexity_threshold_of_a_small_language(spark):
     assert limit["xx"] == pytest.approx((60 * 1.05 * own + 50 * limit["yy"]) / 110)
 
 
+def test_discounts_are_positive(spark):
+    counts = [(c,) for c, n in ((1, 10), (2, 1), (3, 10), (4, 40)) for _ in range(n)]
+    got = ngram_lm._discounts(spark.createDataFrame(counts, "c long"))
+    assert all(0 < d <= i for i, d in enumerate(got, 1)) and got[1:] == pytest.approx([10 / 12, 10 / 12])
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["grobian", "nitwit", "dullard"]
