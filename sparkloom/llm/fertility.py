@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from sparkloom.staging import Stage
 
 from .common import ASCII_SPACE
-from .jaccard import _ODD, _SPACE
+from .hashing import window_hashes, word_hashes
 from .packing import WordTokenizer
-from .repeats import Hashes, _mixed
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -88,18 +87,12 @@ def script(text: str) -> str:
 
 def repeated_words(data: np.ndarray, window: int = WINDOW) -> int:
     """Words inside word windows that the text has twice or more, the first time included."""
-    space = np.concatenate([[True], _SPACE[data], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    n = len(starts) - window + 1
-    if n < 2:
+    words = word_hashes(data)
+    if len(words) <= window:
         return 0
-    words = Hashes(data, versions=1).of(starts, ends)
-    total = np.zeros(n, np.uint64)
-    for i in range(window):
-        total = _mixed(total * _ODD[i % 8] + words[i : n + i])
+    total = window_hashes(words, window)
     _, at, counts = np.unique(total, return_inverse=True, return_counts=True)
-    mark = np.zeros(len(starts) + 1, np.int64)
+    mark = np.zeros(len(words) + 1, np.int64)
     twice = np.flatnonzero(counts[at] > 1)
     np.add.at(mark, twice, 1)
     np.add.at(mark, twice + window, -1)

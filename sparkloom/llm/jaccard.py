@@ -3,7 +3,7 @@
 A document's set is its distinct word 4-shingles, as 64-bit hashes. Two sets link at a
 Jaccard similarity of at least ``PERCENT`` / 100. All filters are exact:
 
-1. Documents with equal sets are one node from here on.
+1. Documents with equal sets (equal 128-bit digests) are one node from here on.
 2. In any fixed order of tokens, the first k tokens that two linked sets share lie in the
    first n - need + k tokens of each (need: the least overlap that a set of n can link
    with). By hash order with k = a tenth of the set, a node can only link if enough of its
@@ -14,56 +14,47 @@ Jaccard similarity of at least ``PERCENT`` / 100. All filters are exact:
    indexed singly, tokens of the frequent class by their 2-combinations. A node with too
    many frequent tokens to combine indexes them singly ("dense"), where the others meet
    it; a bucket without a dense node is left to the combinations.
-5. Buckets only yield an edge from each member to the bucket's first, and the components
-   of those edges are blocks: linked sets share one. A block is verified exactly; a block
-   beyond ``CHUNK_TOKENS`` is dealt into chunks and each pair of chunks is a task of its
-   own, so no task holds a large group and no pair is lost.
+5. Verification. Each member of a bucket is compared with the bucket's first; the verified
+   links make components, and a bucket inside one component is done. In what remains only
+   pairs across components count. A rare bucket has at most ``FREQUENT`` members, so its
+   pairs are listed and verified. Buckets of the frequent class are joined into blocks, and
+   a block's nodes outside its largest component are compared with the block in cells of at
+   most two chunks of ``CHUNK_TOKENS``: no task holds a large group, no pair is lost, and
+   pairs inside the largest component are never made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.components import star_forest
 from sparkloom.staging import Stage
 
 from .common import put
-from .repeats import Hashes, _mixed
+from .hashing import mixed, window_hashes, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
-FREQUENT = 64
+FREQUENT = 32
 MOST_COMBINED = 16
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 200_000
 #: Bits of the filter that keeps most documents' tokens from being sent; a power of two.
 FILTER_BITS = 1 << 24
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's ``size``-word shingles; of fewer words, one for all."""
-    data = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8)
-    space = np.concatenate([[True], _SPACE[data], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    words = Hashes(data, versions=1).of(starts, ends)
-    wide = min(size, len(words))
-    total = np.full(len(words) - wide + 1, np.uint64(wide * 0x9E37), np.uint64)
-    for i in range(wide):
-        total = _mixed(total * _ODD[i % 8] + words[i : len(words) - wide + 1 + i])
-    return np.unique(total)
+    words = word_hashes(np.frombuffer((text or "").encode().translate(_LOWER), np.uint8))
+    return np.unique(window_hashes(words, min(size, len(words)))) if len(words) else words
 
 
 def need(n, percent: int = PERCENT):
@@ -75,36 +66,34 @@ def _extra(n):
     return np.maximum(1, n // 10)
 
 
-def _signatures(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for text in b["text"]:
-            s = shingle_set(text, size)
-            rows.append((len(s), int(_mixed(s).sum(dtype=np.uint64).view(np.int64)), int(_mixed(s + np.uint64(0x51)).sum(dtype=np.uint64).view(np.int64))))
-        out = pd.DataFrame(rows, columns=["n", "node", "check"])
-        for c in b.columns.drop("text"):
-            out.insert(0, c, b[c].to_numpy() if b[c].notna().all() else b[c].astype("Int64"))
-        yield out
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """A set's identity: 128 bits of its sorted tokens, as two signed integers."""
+    high, low = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(high), int(low)
 
 
-def _node(s: np.ndarray) -> np.int64:
-    return _mixed(s).sum(dtype=np.uint64).view(np.int64)
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
 
 
-def _prefixes(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
+def _signatures(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tokens, nodes = [], []
-        for text in b["text"]:
-            if len(s := shingle_set(text, size)):
-                part = s[: len(s) - need(len(s), percent) + int(_extra(len(s)))]
-                tokens.append(part)
-                nodes.append(np.full(len(part), _node(s)))
-        if tokens:
-            yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes)})
+        sets = (shingle_set(t.as_py(), size) for t in b.column("text"))
+        n, high, low, prefix = [], [], [], []
+        for s in sets:
+            n.append(len(s))
+            h, l = _digest(s)
+            high.append(h)
+            low.append(l)
+            prefix.append(s[: len(s) - need(len(s), percent) + int(_extra(len(s)))] if len(s) else s)
+        rest = b.drop_columns("text")
+        columns = [*rest.columns, pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(prefix)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*rest.schema.names, "n", "high", "low", "prefix"])
 
 
 def _bit(node: np.ndarray, bits: int) -> np.ndarray:
-    return (_mixed(node.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    return (mixed(node.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _filter_words(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -122,143 +111,208 @@ def _filter_words(nodes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
-    """(node, n, tokens) of the alive nodes."""
-    mask = docs.sparkSession.sparkContext.broadcast(_filter_words(alive, FILTER_BITS))  # FILTER_BITS / 8 bytes
+    """(high, low, n, tokens), once for each set whose ``high`` is among the alive ones."""
+    mask = docs.sparkSession.sparkContext.broadcast(_filter_words(alive.withColumnRenamed("high", "node"), FILTER_BITS))  # FILTER_BITS / 8 bytes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[int] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                s = shingle_set(text, size)
-                node = _node(s)
-                at = int(_bit(np.array([node]), FILTER_BITS)[0])
-                if len(s) and int(node) not in sent and int(mask.value[at >> 6]) >> (at & 63) & 1:
-                    sent.add(int(node))
-                    rows.append((int(node), len(s), s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "n", "tokens"])
+            high, low, sets = [], [], []
+            for text in b.column("text"):
+                s = shingle_set(text.as_py(), size)
+                h, l = _digest(s)
+                at = int(_bit(np.array([h]), FILTER_BITS)[0])
+                if len(s) and (h, l) not in sent and int(mask.value[at >> 6]) >> (at & 63) & 1:
+                    sent.add((h, l))
+                    high.append(h)
+                    low.append(l)
+                    sets.append(s)
+            n = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), n, _lists(sets)], names=["high", "low", "n", "tokens"])
 
-    return docs.select("text").mapInPandas(run, "node long, n int, tokens array<long>").join(alive.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = docs.select("text").mapInArrow(run, "high long, low long, n int, tokens array<long>")
+    return found.join(alive, "high", "left_semi").dropDuplicates(["high", "low"])
 
 
-def _keys(batches: Iterator[pd.DataFrame], percent: int, frequent: int, most: int) -> Iterator[pd.DataFrame]:
-    """(kind, key, dense, node): kind 0 rare token, 1 frequent token, 2 pair of frequent tokens."""
-    for b in batches:
-        rows = []
-        for node, n, ranked in zip(b["node"], b["n"], b["ranked"]):
-            slots = n - need(n, percent) + 2 - (n - len(ranked))  # tokens found nowhere else come first
-            part = [(r["df"], r["token"]) for r in ranked[: max(0, slots)]]
-            rare = [t for df, t in part if df <= frequent]
-            often = np.array([t for df, t in part if df > frequent], np.int64)
-            rows += [(0, t, False, node) for t in rare]
-            rows += [(1, int(t), len(often) > most, node) for t in often]
-            if 2 <= len(often) <= most:
-                mixed = _mixed(often.view(np.uint64))
-                first, second = map(list, zip(*combinations(range(len(often)), 2)))
-                rows += [(2, int(k), False, node) for k in _mixed(mixed[first] * _ODD[1] + mixed[second] * _ODD[2]).view(np.int64)]
-        yield pd.DataFrame(rows, columns=["kind", "key", "dense", "node"])
-
-
-def _verify(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Exact links within a cell: spanning edges (a, b), with links 0, and each node's number of links as (node, node, links)."""
-    cell = cell.sort_values("node", ignore_index=True)
-    lengths, m = cell["tokens"].map(len).to_numpy(), len(cell)
-    _, token = np.unique(np.concatenate(cell["tokens"].to_numpy()), return_inverse=True)
-    owner = np.repeat(np.arange(m), lengths)
-    order = np.argsort(token, kind="stable")
-    postings, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
-    size, chunk = cell["n"].to_numpy(np.int64), cell["chunk"].to_numpy()
-    across = cell["i"].iloc[0] != cell["j"].iloc[0]
-    node, parent = cell["node"].to_numpy(), list(range(m))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    rows, links = [], np.zeros(m, np.int64)
-    for a in range(m):
-        mine = token[begin[a] : begin[a + 1]]
-        count = at[mine + 1] - at[mine]
-        ends = np.cumsum(count)
-        met = postings[np.arange(ends[-1]) + np.repeat(at[mine] - (ends - count), count)]
-        both = np.bincount(met, minlength=m)
-        found = 100 * both >= percent * (size[a] + size - both)
-        found[: a + 1] = False
-        if across:
-            found &= chunk != chunk[a]
-        for b in np.flatnonzero(found):
-            links[a] += 1
-            links[b] += 1
-            if (x := root(a)) != (y := root(b)):
-                parent[x] = y
-                rows.append((node[a], node[b], 0))
-    rows += [(node[x], node[x], links[x]) for x in np.flatnonzero(links)]
-    return pd.DataFrame(rows, columns=["a", "b", "links"], dtype=np.int64)
-
-
-def _candidates(docs: DataFrame, sizes: DataFrame, stage: Stage, size: int, percent: int) -> DataFrame:
-    """(node, n, ranked) of the nodes that may link, ranked: its tokens found elsewhere, rarest first."""
-    rows = docs.select("text").mapInPandas(lambda b: _prefixes(b, size, percent), "token long, node long")
+def _need(n: str, percent: int) -> Column:
+    return F.expr(f"({percent} * {n} + 99) div 100")
+
+
+def _candidates(docs: DataFrame, signed: DataFrame, stage: Stage, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(names, ranked): (node, high, low) of the nodes counted, and (node, n, ranked) of those that may link.
+
+    ranked holds a node's tokens found elsewhere, rarest first. Up to the naming, sets go by
+    half their digest; where two share it, their counts are added and the lower demand holds,
+    so neither is lost.
+    """
+    sets = signed.where("n > 0").groupBy("high", "low").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    sizes = stage.write(sets.groupBy("high").agg(F.min("n").alias("n"), F.min("copies").alias("copies")), "sizes")
+    rows = signed.select("high", F.explode("prefix").alias("token"))
     # Counts are written before they are joined, so that the join can split a hot token's rows.
     shared = stage.write(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    hits = rows.join(shared, "token").groupBy("node", "c").agg(F.count(F.lit(1)).alias("k")).join(sizes, "node")
-    n_need = F.expr(f"({percent} * n + 99) div 100")
+    hits = rows.join(shared, "token").groupBy("high", "c").agg(F.count(F.lit(1)).alias("k")).join(sizes, "high")
     alive = (
-        hits.groupBy("node").agg(F.max("copies").alias("copies"), F.max("n").alias("n"), F.sum(F.when(F.col("c") > F.col("copies"), F.col("k")).otherwise(0)).alias("found"))
-        .where(F.col("found") >= F.col("copies") * F.greatest(F.lit(1), F.floor(n_need / 10)))
+        hits.groupBy("high").agg(F.max("copies").alias("copies"), F.max("n").alias("n"), F.sum(F.when(F.col("c") > F.col("copies"), F.col("k")).otherwise(0)).alias("found"))
+        .where(F.col("found") >= F.col("copies") * F.greatest(F.lit(1), F.floor(_need("n", percent) / 10)))
     )
-    sets = stage.write(_sets(docs, stage.write(alive.select("node"), "alive"), size), "sets")
-    left = sets.count()
+    alive = stage.write(alive.select("high"), "alive")
+    stage.drop("shared")
+    sets = stage.write(_sets(docs, alive, size).withColumn("node", F.monotonically_increasing_id()), "sets")  # the number is kept in the table
+    names, left, last = sets.select("node", "high", "low"), sets.count(), None
     for step in range(4):
         token = sets.select("node", "n", F.explode("tokens").alias("token"))
         df = stage.write(token.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), f"df{step}")
         ranked = token.join(df, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-        ranked = stage.write(ranked.where(F.size("ranked") >= n_need), f"ranked{step}")
-        before, left = left, ranked.count()
+        ranked = stage.write(ranked.where(F.size("ranked") >= _need("n", percent)), f"ranked{step}")
+        stage.drop(f"df{step}")
+        if last:
+            stage.drop(last)
+        before, left, last = left, ranked.count(), f"ranked{step}"
         if left > 0.9 * before:
             break
         # Fewer nodes leave fewer tokens that occur elsewhere.
-        sets = ranked.select("node", "n", F.transform("ranked", lambda r: r["token"]).alias("tokens"))
-    return ranked
+        sets = ranked.select("node", "n", F.col("ranked.token").alias("tokens"))
+    return names, ranked
+
+
+def _keys(ranked: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
+    """(kind, key, dense, node, n): kind 0 rare token, 1 frequent token, 2 pair of frequent tokens."""
+    slots = F.greatest(F.lit(0), F.size("ranked") - _need("n", percent) + 2).cast("int")  # tokens found nowhere else come first
+    part = ranked.select("node", "n", F.slice("ranked", F.lit(1), slots).alias("part"))
+    part = part.select("node", "n", F.filter("part", lambda r: r["df"] <= frequent)["token"].alias("rare"), F.filter("part", lambda r: r["df"] > frequent)["token"].alias("often"))
+    pairs = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.xxhash64(x, y))))
+    dense = (F.size("often") > most) | (_need("n", percent) < 2)  # a set that links by one token has no pair to meet in
+    few = F.size("often").between(2, most)
+    key = lambda kind, of, dense: F.transform(of, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key"), dense.alias("dense")))
+    all_ = F.concat(key(0, F.col("rare"), F.lit(False)), key(1, F.col("often"), dense), key(2, F.when(few, pairs).otherwise(F.array().cast("array<bigint>")), F.lit(False)))
+    return part.select("node", "n", F.explode(all_).alias("k")).select("k.*", "node", "n")
+
+
+def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by their whole sets."""
+    left, right = (tokens.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("t_a", "t_b")))
+    return both.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def _near_in_size(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    return rows.join(star_forest(links, "a", "b").withColumnRenamed("component", "label"), F.col("node") == F.col("id"), "left").drop("id").withColumn("label", F.coalesce("label", "node"))
+
+
+def _cell_links(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join the components of a cell; side 0 is compared with itself or, where there is one, with side 1."""
+    cell = cell.sort_values(["side", "node"], ignore_index=True)
+    m, size, side, node = len(cell), cell["n"].to_numpy(np.int64), cell["side"].to_numpy(), cell["node"].to_numpy()
+    lengths = cell["tokens"].map(len).to_numpy()
+    values, token, counts = np.unique(np.concatenate(cell["tokens"].to_numpy()), return_inverse=True, return_counts=True)
+    owner, begin = np.repeat(np.arange(m), lengths), np.concatenate([[0], np.cumsum(lengths)])
+    rarest = np.lexsort((token, counts[token], owner))  # each set's tokens rarest first, in an order common to all
+    token = token[rarest]
+    place = np.arange(len(token)) - np.repeat(begin[:-1], lengths)
+    # What a set lacks here can't be shared here, so its prefix is shorter by as much.
+    prefix = np.flatnonzero(place <= np.repeat(lengths - need(size, percent), lengths))
+    order = prefix[np.argsort(token[prefix], kind="stable")]
+    postings, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token[prefix], minlength=len(values)))])
+    _, label = np.unique(cell["label"].to_numpy(), return_inverse=True)
+    two, mark, links = side.any(), np.zeros(len(values), bool), []
+    for a in np.flatnonzero(side == 0):
+        mine = token[begin[a] : begin[a + 1]]
+        first = mine[: max(0, lengths[a] - need(size[a], percent) + 1)]
+        count = at[first + 1] - at[first]
+        ends = np.cumsum(count)
+        if not len(ends) or not ends[-1]:
+            continue
+        met = np.unique(postings[np.arange(ends[-1]) + np.repeat(at[first] - (ends - count), count)])
+        met = met[(label[met] != label[a]) & (side[met] == 1 if two else met != a) & (100 * np.minimum(size[met], size[a]) >= percent * np.maximum(size[met], size[a]))]
+        mark[mine] = True
+        while len(met):
+            some, met = met[:64], met[64:]
+            n = lengths[some]
+            spots = np.arange(n.sum()) + np.repeat(begin[some] - (np.cumsum(n) - n), n)
+            both = np.add.reduceat(mark[token[spots]].astype(np.int64), np.cumsum(n) - n)
+            for b in some[100 * both >= percent * (size[a] + size[some] - both)]:
+                if label[b] != label[a]:
+                    links.append((node[a], node[b]))
+                    label[label == label[b]] = label[a]
+            met = met[label[met] != label[a]]
+        mark[mine] = False
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def _block_links(members: DataFrame, tokens: DataFrame, stage: Stage, percent: int, chunk_tokens: int) -> DataFrame:
+    """Links across components within buckets of any size; ``members`` are (kind, key, node, label)."""
+    heads = stage.write(members.groupBy("kind", "key").agg(F.min("label").alias("head")), "heads")
+    edges = members.join(heads, ["kind", "key"]).select("label", "head").distinct()  # components of buckets' components
+    blocks = star_forest(edges, "label", "head").withColumnRenamed("component", "block")
+    nodes = stage.write(members.select("node", "label").distinct(), "block-nodes")
+    nodes = nodes.join(blocks, F.col("label") == F.col("id"), "left").withColumn("block", F.coalesce("block", "label")).join(tokens, "node")
+    nodes = stage.write(nodes.select("block", "label", "node", "n", "tokens"), "blocks")
+    weights = nodes.groupBy("block", "label").agg(F.sum(F.size("tokens")).alias("w"))
+    largest = stage.write(weights.groupBy("block").agg(F.max(F.struct("w", "label")).alias("most"), F.sum("w").alias("all")), "largest")
+    chunks = lambda w: F.ceil(w / chunk_tokens).cast("int")
+    dealt = nodes.join(
+        largest.select("block", F.col("most.label").alias("main"), chunks(F.col("most.w")).alias("mains"), F.greatest(F.lit(1), chunks(F.col("all") - F.col("most.w"))).alias("others")), "block"
+    )
+    own = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("is_main", F.col("label") == F.col("main"))
+    cell = lambda i, j, main: F.struct(i.alias("i"), j.alias("j"), F.lit(main).alias("with_main"))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: cell(i, F.col("own"), True))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: cell(F.col("own"), j, True))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: cell(F.least(k, F.col("own")), F.greatest(k, F.col("own")), False))
+    cells = dealt.withColumn("cell", F.explode(F.when(F.col("is_main"), with_main).otherwise(F.concat(to_main, among)))).select("block", "cell.*", "own", "is_main", "label", "node", "n", "tokens")
+    side = F.when(F.col("with_main"), F.col("is_main").cast("int")).otherwise((F.col("own") != F.col("i")).cast("int"))
+    keys = ["block", "with_main", "i", "j"]
+    cells = cells.withColumn("side", side).drop("own", "is_main").repartition(*keys)  # else all cells of a block would follow the join's partition
+    return cells.groupBy(*keys).applyInPandas(lambda c: _cell_links(c, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, most: int = MOST_COMBINED, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """One row per row of ``docs``: rid (if ``__rid`` is given), doc_id, n_shingles, component_id, n_links.
+    """One row per row of ``docs``: doc_id, __rid (if given), n_shingles, component_id and component.
 
-    component_id is the least doc_id reachable by links; n_links counts the different
-    texts that the row's set links with. Equal sets link. A null, empty or wordless text
-    has no set, no links and its own doc_id as component. Null doc_ids lose to others.
+    component_id is the least doc_id reachable by links. Equal sets link. A null, empty or
+    wordless text has no set, no links and its own doc_id as component_id; its component is
+    null. Null doc_ids lose to others. Other columns are not carried.
     """
-    spark = docs.sparkSession
-    stage = Stage(spark, "jaccard")
+    stage = Stage(docs.sparkSession, "jaccard")
     keys = ["doc_id", *(["__rid"] if "__rid" in docs.columns else [])]
-    kinds = "".join(f"{k} long, " for k in reversed(keys))
-    signed = stage.write(docs.select(*keys, "text").mapInPandas(lambda b: _signatures(b, size), f"{kinds}n int, node long, check long"), "signed")
-    sizes = stage.write(signed.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "sizes")
-    ranked = _candidates(docs, sizes, stage, size, percent)
-    keyed = stage.write(ranked.mapInPandas(lambda b: _keys(b, percent, frequent, most), "kind int, key long, dense boolean, node long"), "keys")
-    buckets = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), F.max("dense").alias("any_dense"), F.min("node").alias("first")).where("c > 1 AND (kind <> 1 OR any_dense)")
-    buckets = stage.write(buckets, "buckets")
-    edges = keyed.join(buckets, ["kind", "key"]).where(F.col("node") != F.col("first")).select("node", "first").distinct()
-    blocks = star_forest(edges, "node", "first")
-    # The block's own first node has no row in the forest.
-    block = ranked.join(blocks, F.col("node") == F.col("id"), "left").withColumn("block", F.coalesce("component", "node")).select("node", "n", "block", F.transform("ranked", lambda r: r["token"]).alias("tokens"))
-    block = stage.write(block, "blocks")
-    chunks = block.groupBy("block").agg(F.ceil(F.sum(F.size("tokens")) / chunk_tokens).cast("int").alias("chunks"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    dealt = block.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "chunks")
-    cells = cells.repartition("block", "i", "j")  # else all cells of a block would follow the join's partition
-    found = stage.write(cells.groupBy("block", "i", "j").applyInPandas(lambda c: _verify(c, percent), "a long, b long, links long"), "links")
-    groups = star_forest(found.where("links = 0"), "a", "b").withColumnRenamed("id", "node")
-    links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    rows = signed.join(groups, "node", "left").join(links, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
-    rows = stage.write(rows, "rows")
+    kinds = "".join(f"{k} {dict(docs.dtypes)[k]}, " for k in keys)
+    signed = stage.write(docs.select(*keys, "text").mapInArrow(lambda b: _signatures(b, size, percent), f"{kinds}n int, high long, low long, prefix array<long>"), "signed")
+    names, ranked = _candidates(docs, signed, stage, size, percent)
+    tokens = ranked.select("node", "n", F.col("ranked.token").alias("tokens"))
+    keyed = stage.write(_keys(ranked, percent, frequent, most), "keys")
+    buckets = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), F.max("dense").alias("any_dense"), F.min(F.struct("node", "n")).alias("first")).where("c > 1 AND (kind <> 1 OR any_dense)")
+    buckets = stage.write(buckets.select("kind", "key", "c", "first"), "buckets")
+    met = keyed.join(buckets, ["kind", "key"])
+    star = met.where((F.col("node") != F.col("first.node")) & _near_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    links = stage.write(_linked(stage.write(star, "star"), tokens, percent), "star-links")
+
+    label = stage.write(_labelled(tokens.select("node"), links), "labels")
+    rows = stage.write(met.join(label, "node").select("kind", "key", "node", "n", "label"), "met")
+    mixed_ = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("open")).where("open").select("kind", "key", "c")
+    mixed_ = stage.write(mixed_, "open")
+    small = rows.join(mixed_.where(F.col("c") <= frequent), ["kind", "key"]).groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("node", "n", "label"))).alias("of"))  # at most ``frequent`` members
+    pair = F.transform("of", lambda x, i: F.transform(F.filter(F.slice("of", i + 2, F.size("of")), lambda y: (y["label"] != x["label"]) & _near_in_size(x["n"], y["n"], percent)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    pairs = small.select(F.explode(F.flatten(pair)).alias("p")).select("p.*").distinct()
+    links = links.unionByName(stage.write(_linked(stage.write(pairs, "pairs"), tokens, percent), "pair-links"))
+    large = mixed_.where(F.col("c") > frequent)
+    if not large.isEmpty():
+        label = stage.write(_labelled(tokens.select("node"), links), "labels-again")
+        members = stage.write(met.join(large.select("kind", "key"), ["kind", "key"]).join(label, "node").select("kind", "key", "node", "label"), "members")
+        links = links.unionByName(stage.write(_block_links(members, tokens, stage, percent, chunk_tokens), "block-links"))
+
+    groups = star_forest(links, "a", "b").withColumnRenamed("id", "node")
+    named = names.join(groups, "node", "left").select("high", "low", F.coalesce("component", "node").alias("group"))
+    named = stage.write(named, "groups")  # written, so that the join can split a large set's rows
+    # Sets that no filter let through are components of their own.
+    component = F.when(F.col("n") > 0, F.coalesce(F.col("group").cast("string"), F.concat_ws(":", "high", "low")))
+    rows = stage.write(signed.join(named, ["high", "low"], "left").select(*keys, "n", component.alias("component")), "rows")
     least = stage.write(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "component", "left")
-    return out.select(*keys, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "component")
+    return out.select(*keys, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

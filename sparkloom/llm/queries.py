@@ -23,7 +23,8 @@ def op4_perplexity(spark, sf_dir):
 
 
 def op5_repeats(spark, sf_dir):
-    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.withColumn("changed", found["n_removed"] > 0)
 
 
 def op6_pack(spark, sf_dir):
@@ -45,7 +46,7 @@ def op9_toxicity(spark, sf_dir):
 
 
 def op10_jaccard(spark, sf_dir):
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {

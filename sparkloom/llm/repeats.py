@@ -16,7 +16,8 @@ runs and the digits are taken in an order that suits runs:
 * A run whose whole stretch (all bytes of all its windows) occurs twice is repeated as it
   is and needs no more passes; one representative stays in the sort as partner for others.
 
-Groups are only counted, by aggregation with partial sums, and joined back; no task sees
+Runs count as equal by the BLAKE2b-128 digest of all their bytes; the digits that deal them
+into groups are plain hashes, which can only bring unequal runs together. Groups are only counted, by aggregation with partial sums, and joined back; no task sees
 all members of a group, however large.
 """
 
@@ -27,11 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.staging import Stage
 
+from .hashing import digests, mixed
+
 DEPTH = 400
 GRAM = 128
 #: Interval widths of the passes after the first.
@@ -39,47 +43,35 @@ WIDTHS = (35, 5, 1)
 #: Windows handled at once within a text; longer texts go in several segments.
 SEGMENT = 1 << 20
 
-_RNG = np.random.default_rng(20240229)
-_TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: list[list[np.ndarray]] = []
+_TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[list[np.ndarray]]:
-    """Powers of both bases and of their inverses modulo 2**64, at least n + 1 of each."""
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n + 1 of each."""
     global _POWERS
-    if not _POWERS or len(_POWERS[0][0]) <= n:
+    if not _POWERS or len(_POWERS[0]) <= n:
         size = max(1 << 16, 1 << int(n).bit_length())
-        _POWERS = [
-            [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, x, np.uint64))]) for x in (b, pow(b, -1, 2**64))]
-            for b in _BASES
-        ]
+        _POWERS = [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 2**64))]
     return _POWERS
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
 class Hashes:
-    """Hashes of any substrings of one byte string, in up to two independent versions."""
+    """Hashes of any substrings of one byte string. Equal strings have equal hashes, but others
+    can be made to share one: only digits are taken from them, never equality."""
 
-    def __init__(self, data: np.ndarray, versions: int = 2):
-        self.powers = _powers(len(data))
-        self.sums = []
-        for version in range(versions):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_TABLES[version][data] * self.powers[version][0][: len(data)], out=sums[1:])
-            self.sums.append(sums)
+    def __init__(self, data: np.ndarray):
+        self.powers, self.inverses = _powers(len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * self.powers[: len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray, version: int = 0) -> np.ndarray:
-        return _mixed((self.sums[version][end] - self.sums[version][start]) * self.powers[version][1][start])
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.inverses[start])
 
 
 def window_runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, lo, hi, first digit, hull hash 1, hull hash 2) of each run of windows.
+    """(anchor, lo, hi, first digit, two halves of the hull's digest) of each run of windows.
 
     The run has the windows that start at anchor - hi ... anchor - lo; its hull is the
     bytes from anchor - hi to anchor - lo + depth.
@@ -104,7 +96,8 @@ def window_runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Itera
         first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
         last = np.concatenate([first[1:] - 1, [windows - 1]])
         at = anchors[first]
-        yield at + base, at - last, at - first, digit[at], hashes.of(first, last + depth), hashes.of(first, last + depth, 1)
+        hull = digests(part.tobytes(), first, last + depth)
+        yield at + base, at - last, at - first, digit[at].view(np.int64), hull[:, 0], hull[:, 1]
 
 
 _RUN = ["a", "lo", "hi", "core", "hull1", "hull2"]
@@ -125,7 +118,7 @@ def _level0(batches: Iterator[pd.DataFrame], depth: int, gram: int) -> Iterator[
             columns = {n: np.concatenate([f[j] for f in found]) for j, n in enumerate(_RUN)}
             yield pd.DataFrame(
                 {"k1": batch["k1"].to_numpy()[at], "k2": batch["k2"].to_numpy()[at], "a": columns["a"], "lo": columns["lo"].astype(np.int32), "hi": columns["hi"].astype(np.int32)}
-                | {n: columns[n].view(np.int64) for n in ("core", "hull1", "hull2")}
+                | {n: columns[n] for n in ("core", "hull1", "hull2")}
             )
 
 
@@ -141,15 +134,16 @@ def _children(batches: Iterator[pd.DataFrame], depth: int, width: int) -> Iterat
             out["row"].append(np.full(len(c), i))
             out["lo"].append(low)
             out["hi"].append(high)
-            out["core"].append(hashes.of(begin, end) ^ _mixed(c.astype(np.uint64)))
-            out["hull1"].append(hashes.of(hi - high, hi - low + depth))
-            out["hull2"].append(hashes.of(hi - high, hi - low + depth, 1))
+            out["core"].append((hashes.of(begin, end) ^ mixed(c.astype(np.uint64))).view(np.int64))
+            hull = digests(text, hi - high, hi - low + depth)
+            out["hull1"].append(hull[:, 0])
+            out["hull2"].append(hull[:, 1])
         if out["row"]:
             o = {n: np.concatenate(v) for n, v in out.items()}
             yield pd.DataFrame(
                 {n: batch[n].to_numpy()[o["row"]] for n in ("k1", "k2", "a", "live")}
                 | {n: o[n].astype(np.int32) for n in ("lo", "hi")}
-                | {n: o[n].view(np.int64) for n in ("core", "hull1", "hull2")}
+                | {n: o[n] for n in ("core", "hull1", "hull2")}
             )
 
 
@@ -207,13 +201,15 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
     return spans
 
 
-def _cut(batches: Iterator[pd.DataFrame], depth: int, with_text: bool) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if with_text else [])]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
-            data = (text or "").encode()
+        for text, spans in zip(batch.column("text"), batch.column("spans")):
+            data = (text.as_py() or "").encode()
             kept, at, removed, runs = [], 0, 0, []
-            for begin, end in sorted((s["from"], s["last"] + depth) for s in (spans if spans is not None else ())):
+            for begin, end in sorted((s["from"], s["last"] + depth) for s in (spans.as_py() or ())):
                 if runs and begin <= runs[-1][1]:
                     runs[-1][1] = max(end, runs[-1][1])
                 else:
@@ -222,9 +218,9 @@ def _cut(batches: Iterator[pd.DataFrame], depth: int, with_text: bool) -> Iterat
                 kept.append(data[at:begin])
                 removed, at = removed + end - begin, end
             left = b"".join([*kept, data[at:]])
-            rows.append((doc_id, len(data), removed, len(runs), hashlib.sha256(left).hexdigest(), *([left, runs] if with_text else [])))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            rows.append((len(data), removed, len(runs), hashlib.sha256(left).hexdigest(), *([left, runs] if with_text else [])))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths=WIDTHS, with_text: bool = False) -> DataFrame:
@@ -237,5 +233,5 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
     """
     spans = repeated_spans(docs, depth, gram, widths).groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "last")).alias("spans"))
     joined = _keyed(docs).select("doc_id", "text", "k1", "k2").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
-    return joined.mapInPandas(lambda b: _cut(b, depth, with_text), schema)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
+    return joined.mapInArrow(lambda b: _cut(b, depth, with_text), schema)

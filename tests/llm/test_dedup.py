@@ -80,7 +80,7 @@ def brute_sets(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "percent", "options"), [(4, 85, {}), (5, 80, {"frequent": 2, "most": 3, "chunk_tokens": 2500})])
+@pytest.mark.parametrize(("size", "percent", "options"), [(4, 85, {}), (5, 80, {"frequent": 2, "most": 3, "chunk_tokens": 2500}), (1, 30, {"frequent": 1, "most": 0, "chunk_tokens": 500})])
 def test_near_duplicates(docs, size, percent, options):
     rows = corpus()
     sets = brute_sets(rows, size)
@@ -91,24 +91,85 @@ def test_near_duplicates(docs, size, percent, options):
             x = parent[x]
         return x
 
-    links = {s: set() for s in sets.values()}
+    links = 0
     for a in sets:
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
                 if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     parent[root(b)] = root(a)
-                    if sets[a] != sets[b]:
-                        links[sets[a]].add(sets[b])
-                        links[sets[b]].add(sets[a])
+                    links += sets[a] != sets[b]
     least = {}
     for k in sets:
         i = rows[k][0]
         least[root(k)] = min((x for x in (least.get(root(k)), i) if x is not None), default=None)
-    want = sorted(str((rows[k][0], len(sets[k]), least[root(k)] if sets[k] else rows[k][0], len(links[sets[k]]))) for k in sets)
+    want = sorted(str((rows[k][0], len(sets[k]), least[root(k)] if sets[k] else rows[k][0])) for k in sets)
     got = jaccard.near_duplicates(docs, size=size, percent=percent, **options).collect()
-    assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.n_links)) for r in got) == want
-    assert any(len(v) > 2 for v in links.values())
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == want
+    assert links > 2
+
+
+def test_near_duplicates_in_a_cluster_without_a_centre(spark):
+    """Chains and clusters whose first member links with few of them, at every path of the verification."""
+    rng, rows = random.Random(12), []
+    for _ in range(6):
+        words = prose(rng, 60, 10**6).split()
+        for _ in range(40):
+            for _ in range(rng.choice((1, 1, 1, 9))):
+                words[rng.randrange(60)] = f"edit{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), None, None, None))
+    rng.shuffle(rows)
+    sets = brute_sets(rows, 2)
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, r in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), r[0]), r[0])
+    want = {r[0]: least[root(k)] for k, r in enumerate(rows)}
+    assert 6 < len(set(want.values())) < 100
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for options in ({"frequent": 8}, {"frequent": 1, "most": 2, "chunk_tokens": 700}):
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, size=2, **options).collect()} == want
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_patterns_that_polynomial_hashes_confuse(spark):
+    """Two strings that any polynomial modulo 2**64 takes for the same."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    assert not set(jaccard.shingle_set(one)) & set(jaccard.shingle_set(two))
+    rows = [(1, one, None, None, None), (2, two, None, None, None), (3, " ".join([one[:1024], two[:1024]] * 4), None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    depth, texts = 600, [t.encode() for _, t, *_ in rows]
+    seen = {}
+    for b in texts:
+        for x in range(len(b) - depth + 1):
+            seen[b[x : x + depth]] = seen.get(b[x : x + depth], 0) + 1
+    for r in repeats.remove_repeats(docs, depth, with_text=True).collect():
+        b, gone = texts[r.doc_id - 1], set()
+        for x in range(len(b) - depth + 1):
+            if seen[b[x : x + depth]] > 1:
+                gone.update(range(x, x + depth))
+        assert r.n_removed == len(gone)
+
+
+def test_large_ids_beside_null(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a b c d e", None, None, None), (None, "a b c d e f", None, None, None)], SCHEMA).coalesce(1)
+    for found in (exact.exact_duplicates(docs), jaccard.near_duplicates(docs), repeats.remove_repeats(docs)):
+        assert {r.doc_id for r in found.collect()} == {2**60 + 1, None}
 
 
 def test_near_duplicates_dropped(docs):
