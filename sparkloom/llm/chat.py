@@ -9,8 +9,8 @@ A log holds events (conv_id, seq, op, turn, role, text):
 
 Sorted by seq within the conversation, an event is void if a regeneration of the same or
 an earlier turn follows it, or if a message or edit of its own turn follows it. What is
-left of a turn, in order, is its final message. Both tests are window frames, so the fold
-needs no state beyond a sort that can spill.
+left of a turn, in order, is its final message. Both tests are running window frames, so
+the fold is linear after its sorts, which can spill.
 
 The template puts ``[INST] role\ntext [/INST]`` for turns that are read and
 ``<s>text</s>`` for the assistant's, whose texts are the loss mask. Inside texts a control
@@ -55,16 +55,17 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     seq = [F.col("seq").asc_nulls_last(), "op", "role", "text"]
     rows = events.select("conv_id", "seq", F.coalesce("op", F.lit("message")).alias("op"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    after = Window.partitionBy("conv_id").orderBy(*seq).rowsBetween(1, Window.unboundedFollowing)
-    own = Window.partitionBy("conv_id", "turn").orderBy(*seq)
+    # Later events are read backwards, so that each frame grows by one row and costs no rescan.
+    later = Window.partitionBy("conv_id").orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv_id", "turn")
     live = (
         rows.withColumn("_place", F.row_number().over(Window.partitionBy("conv_id").orderBy(*seq)))
-        .withColumn("_redone", F.min(F.when(F.col("op") == "regenerate", F.col("turn"))).over(after))
+        .withColumn("_redone", F.min(F.when(F.col("op") == "regenerate", F.col("turn"))).over(later))
         .where(F.col("_redone").isNull() | F.coalesce(F.col("_redone") > F.col("turn"), F.lit(False)))
         .where("op <> 'regenerate'")
-        .withColumn("role", F.last("role", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("_set", F.max(F.when(F.col("op").isin("message", "edit"), F.col("_place"))).over(own.rowsBetween(1, Window.unboundedFollowing)))
-        .where("_set IS NULL")
+        .withColumn("role", F.last("role", ignorenulls=True).over(own.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("_set", F.max(F.when(F.col("op").isin("message", "edit"), F.col("_place"))).over(own))
+        .where("_set IS NULL OR _set <= _place")
     )
     pieces = live.groupBy("conv_id", "turn").agg(F.max("role").alias("role"), F.array_sort(F.collect_list(F.struct("_place", "text"))).alias("pieces"))
     return pieces.select("conv_id", "turn", "role", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"))
