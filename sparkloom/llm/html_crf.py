@@ -16,12 +16,13 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TRAINING_PAGES = 600
@@ -36,6 +37,10 @@ BLOCK = frozenset(
 )
 SILENT = frozenset("script style title noscript template svg math iframe object canvas textarea select button head".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
+#: Inline elements that count as ancestors, elements of other vocabularies, and containers of what is not the article.
+KNOWN = BLOCK | frozenset("a abbr b big cite code del em font i ins kbd label mark q s samp small span strong sub sup time u var".split())
+FOREIGN = ("svg", "math")
+OUTSIDE = frozenset(("nav", "footer", "aside", "form"))
 #: A start tag (value) that ends an open element (key).
 ENDED_BY = {
     "p": BLOCK - {"body", "html", "head", "option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"},
@@ -55,12 +60,15 @@ HINTS = {
     "text": "article content post entry story body text main page single blog news prose copy paragraph richtext",
 }
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
+#: Container words that are features of their own.
+_WORDS = frozenset(_HINT) | frozenset("site box main js wide wrapper page wrap inner outer row col column container left right center".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
+_UNCLOSED = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z|<[!?][^>]*+\Z", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
@@ -73,58 +81,93 @@ def _container_words(attributes: str) -> tuple[str, ...]:
     for found in _NAMED.findall(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()
         words += _WORD.findall(value)
-    return tuple(dict.fromkeys(words))
+    return tuple(dict.fromkeys(w for w in words if w in _WORDS))
+
+
+class Element:
+    """An open element with what its descendants need to know of their ancestors.
+
+    ``key`` is the same for elements with the same names and container words all the way up.
+    """
+
+    __slots__ = ("name", "words", "parent", "key", "tags", "kinds", "own", "outer", "header")
+
+    def __init__(self, name: str, words: tuple[str, ...], parent: Element | None, keys: dict):
+        self.name, self.words, self.parent = name, words, parent
+        self.key = keys.setdefault((parent.key if parent else -1, name, words), len(keys))
+        above, kinds = (parent.tags, parent.kinds) if parent else (frozenset(), frozenset())
+        plain = name in ("html", "body")
+        self.tags = above if plain or name in above or name not in KNOWN else above | {name}
+        new = frozenset() if plain else frozenset(_HINT[w] for w in words if w in _HINT)
+        self.kinds = kinds if new <= kinds else kinds | new
+        self.own, self.outer = (parent.own, parent.outer) if parent else ("none", "none")
+        if name in BLOCK:
+            self.own, self.outer = name, self.own
+        self.header = parent.header if parent else None
+        if name == "header" and self.header is None:
+            self.header = "article" in above
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    path: Element | None
     link_share: float
     features: list[str] = field(default_factory=list)
 
 
 def parse_blocks(html: str) -> list[Block]:
-    """Leaf blocks of a page in page order, character references decoded, white space single."""
+    """Leaf blocks of a page in page order, character references decoded, white space single.
+
+    The work is linear in the page: elements are looked up by counts of the open names, and
+    ancestors are summed up once in each element. Only void elements, and svg or math and what
+    is in them, close by a slash.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    keys: dict = {}
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    path: tuple = ()
-    linked, silent, at = 0, 0, 0
+    path: Element | None = None
+    linked, silent, said, at = 0, 0, False, 0
+    last = html.rfind(">") + 1  # no tag ends beyond it
 
     def flush() -> None:
-        nonlocal linked
-        if parts:
+        nonlocal linked, said
+        if said:
             text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 blocks.append(Block(text, path, min(1.0, linked / len(text))))
-            parts.clear()
-        linked = 0
+        parts.clear()
+        linked, said = 0, False
 
     def say(text: str) -> None:
-        nonlocal path, linked
+        nonlocal path, linked, said
         if silent or not text:
             return
-        if not parts or not path:
-            path = tuple(stack)
-        elif not any(not p.isspace() for p in parts):
-            path = tuple(stack)
+        if not said:
+            path = stack[-1] if stack else None
+            said = not text.isspace()
         parts.append(text)
-        if any(name == "a" for name, _ in stack):
+        if opened["a"]:
             linked += len(text)
 
     def pop(index: int) -> None:
         nonlocal silent
-        for name, _ in stack[index:]:
-            silent -= name in SILENT
+        for e in stack[index:]:
+            silent -= e.name in SILENT
+            opened[e.name] -= 1
         del stack[index:]
 
     while True:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at, last) if at < last else None
+        m = m or _UNCLOSED.search(html, at)
         say(html[at : m.start() if m else len(html)])
         if not m:
             break
         at = m.end()
+        if m.re is _UNCLOSED:
+            continue
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -135,27 +178,29 @@ def parse_blocks(html: str) -> list[Block]:
         if name in BLOCK:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if opened[name]:
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                pop(i)
             continue
-        while stack and name in ENDED_BY.get(stack[-1][0], ()):
+        while stack and name in ENDED_BY.get(stack[-1].name, ()):
             pop(len(stack) - 1)
-        if name in ("p", "li", "dt", "dd", "td", "th", "tr", *BLOCK):
+        if name in BLOCK:
             for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):  # through open inline elements
-                if stack[i][0] in ENDED_BY and name in ENDED_BY[stack[i][0]]:
+                if name in ENDED_BY.get(stack[i].name, ()):
                     pop(i)
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].name in BLOCK:
                     break
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID or (attributes.endswith("/") and (name in FOREIGN or any(opened[f] for f in FOREIGN))):
             continue
         if name in RAW:
             end = _RAW_END[name].search(html, at)
             at = end.end() if end else len(html)
             continue
-        stack.append((name, _container_words(attributes) if attributes else ()))
+        stack.append(Element(name, _container_words(attributes) if attributes else (), stack[-1] if stack else None, keys))
+        opened[name] += 1
         silent += name in SILENT
     flush()
     return blocks
@@ -163,27 +208,22 @@ def parse_blocks(html: str) -> list[Block]:
 
 def add_features(blocks: list[Block]) -> list[Block]:
     for i, b in enumerate(blocks):
-        tags = [name for name, _ in b.path]
-        outer = [n for n in tags if n in BLOCK]
-        own = outer[-1] if outer else "none"
-        f = [f"own={own}", "bias"]
-        f += [f"in={n}" for n in set(tags) if n not in ("html", "body")]
-        f.append(f"pair={outer[-2] if len(outer) > 1 else 'none'}>{own}")
-        kinds, words = set(), set()
-        for name, container in b.path[-6:]:
-            if name not in ("html", "body"):
-                words.update(container)
-        for name, container in b.path:
-            if name not in ("html", "body"):
-                kinds.update(_HINT[w] for w in container if w in _HINT)
+        e = b.path
+        tags, kinds, own, outer = (e.tags, e.kinds, e.own, e.outer) if e else (frozenset(), frozenset(), "none", "none")
+        f = [f"own={own}", "bias", f"pair={outer}>{own}", *(f"in={n}" for n in tags)]
+        words, up = set(), e
+        for _ in range(6):
+            if up is None:
+                break
+            if up.name not in ("html", "body"):
+                words.update(up.words)
+            up = up.parent
         f += [f"word={w}" for w in words]
         f += [f"hint={k}" for k in kinds] or ["hint=none"]
-        inside = "article" in tags or "main" in tags
-        f.append(f"inside={inside}")
-        outside = {"nav", "footer", "aside", "form"} & set(tags)
-        f.append(f"outside={bool(outside)}")
-        if "header" in tags:
-            f.append(f"header-in-article={'article' in tags and tags.index('article') < tags.index('header')}")
+        f.append(f"inside={'article' in tags or 'main' in tags}")
+        f.append(f"outside={bool(OUTSIDE & tags)}")
+        if e and e.header is not None:
+            f.append(f"header-in-article={e.header}")
         n = len(b.text)
         size = min(n.bit_length(), 11)
         link = round(b.link_share * 4)
@@ -193,7 +233,7 @@ def add_features(blocks: list[Block]) -> list[Block]:
         f.append(f"legal={any(c in b.text for c in '©®') or 'opyright' in b.text}")
         f.append(f"digits={sum(map(str.isdigit, b.text)) * 5 // n}")
         f.append(f"place={min(4, 5 * i // len(blocks))}")
-        if i and blocks[i - 1].path == b.path:
+        if i and (blocks[i - 1].path.key if blocks[i - 1].path else -1) == (e.key if e else -1):
             f.append("same-path")
         b.features = f
     return blocks
@@ -418,9 +458,11 @@ def extract(pages: DataFrame, crf: Crf | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row; a null or empty html gives an empty text."""
     model = pages.sparkSession.sparkContext.broadcast(crf or trained())  # weights of the training pages' features
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, model.value) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            texts = [main_text(h.as_py(), model.value) for h in b.column("html")]
+            columns = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    kinds = dict(pages.dtypes)
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
