@@ -22,11 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.staging import Stage
+
 MAX_LABELLED = 20_000
-MAX_CANDIDATES = 20_000
 MAX_LEXICON = 2_000
 FOLDS = 3
 THRESHOLD = 0.3
@@ -92,19 +94,6 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The lexicon: units in at least 3 toxic rows (or 0.4 % of them) that stand out clearly."""
-    least, found = max(3, n_toxic * 0.004), {}
-    for unit, a in toxic.items():
-        b = clean.get(unit, 0)
-        if a >= least:
-            w = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-            if w - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.3 and w > 1.5:
-                found[unit] = float(w)
-    best = sorted(found, key=lambda u: (-toxic[u] * found[u], u))[:MAX_LEXICON]
-    return {u: found[u] for u in best}
-
-
 @dataclass
 class Trees:
     """Boosted regression trees of fixed depth on the logistic loss; nodes in heap order."""
@@ -214,34 +203,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         .groupBy("doc_id").agg(F.max("toxic").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
+    stage = Stage(spark, "toxicity")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", _fold("doc_id").alias("fold"))  # at most max_labelled rows of 12 bytes
+    rows = stage.write(rows, "labelled")  # read by every step below; the documents only here
 
-    def toxic_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            counts = Counter((f, u) for f, t in zip(b["fold"], b["text"]) for u in units(LETTERS.findall((t or "").lower())))
-            yield pd.DataFrame([(f, u, n) for (f, u), n in counts.items()], columns=["fold", "unit", "n"])
-
-    counted = rows.where("y = 1").mapInPandas(toxic_units, "fold int, unit string, n long").groupBy("unit").agg(
-        F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS))
-    )
-    candidates = counted.where("n >= 3").orderBy(F.desc("n"), "unit").limit(MAX_CANDIDATES).collect()
-    toxic = {r["unit"]: [r[f"n{k}"] for k in range(FOLDS)] for r in candidates}
-    known = spark.sparkContext.broadcast(frozenset(toxic))  # at most MAX_CANDIDATES units
-
-    def clean_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts = Counter((f, u) for f, t in zip(b["fold"], b["text"]) for u in units(LETTERS.findall((t or "").lower())) & known.value)
-            yield pd.DataFrame([(f, u, n) for (f, u), n in counts.items()], columns=["fold", "unit", "n"])
+            counts = Counter((y, f, u) for y, f, t in zip(b["y"], b["fold"], b["text"]) for u in units(LETTERS.findall((t or "").lower())))
+            yield pd.DataFrame([(y, f, u, n) for (y, f, u), n in counts.items()], columns=["y", "fold", "unit", "n"])
 
-    clean: dict[str, list[int]] = {}
-    for r in rows.where("y = 0").mapInPandas(clean_units, "fold int, unit string, n long").groupBy("unit", "fold").agg(F.sum("n").alias("n")).collect():
-        clean.setdefault(r["unit"], [0] * FOLDS)[r["fold"]] = r["n"]
     sizes = {(r["y"], r["fold"]): r["n"] for r in rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = [F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}{k}") for y in (1, 0) for k in range(FOLDS)]
+    counted = rows.where("y IN (0, 1)").mapInPandas(counts_of, "y int, fold int, unit string, n long").groupBy("unit").agg(*each)
+    counted = stage.write(counted.where(" + ".join(f"n1{k}" for k in range(FOLDS)) + " >= 3"), "units")
 
     def lexicon(without: int | None) -> dict[str, float]:
+        """Of the units that stand out clearly in at least 3 toxic rows (or 0.4 % of them), the MAX_LEXICON that tell most."""
         folds = [k for k in range(FOLDS) if k != without]
-        count = lambda c: Counter({u: sum(n[k] for k in folds) for u, n in c.items()})
-        return log_odds(count(toxic), count(clean), *(sum(sizes.get((y, k), 0) for k in folds) for y in (1, 0)))
+        (a, n_a), (b, n_b) = ((sum((F.col(f"n{y}{k}") for k in folds), F.lit(0)), sum(sizes.get((y, k), 0) for k in folds)) for y in (1, 0))
+        weight = F.log((a + 0.5) / (n_a + 1)) - F.log((b + 0.5) / (n_b + 1))
+        found = counted.select("unit", a.alias("a"), b.alias("b"), weight.alias("w")).where((F.col("a") >= max(3, n_a * 0.004)) & (F.col("w") > 1.5))
+        clear = found.where("w - 1.64 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.3")
+        return {r["unit"]: r["w"] for r in clear.orderBy(F.desc(F.col("a") * F.col("w")), "unit").limit(MAX_LEXICON).collect()}
 
     folds = [lexicon(k) for k in range(FOLDS)]
 
@@ -269,13 +252,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score and predicted of every row; a null or empty text gets the score of no features."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of trees and lexicon entries
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(sent.value.lexicon)
         for b in batches:
-            x = np.array([features(t, lexicon) for t in b["text"]]).reshape(len(b), len(FEATURES))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held"], "score": sent.value.score(x)})
+            x = np.array([features(t.as_py(), lexicon) for t in b.column("text")]).reshape(b.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(sent.value.score(x))], names=["doc_id", "held_out", "score"])
 
-    scored = docs.select("doc_id", held_out().alias("held"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    kind = dict(docs.dtypes)["doc_id"]
+    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
