@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,16 +127,17 @@ _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def measured(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * len(MEASURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for b in batches:
-            out = pd.DataFrame([measure(t, tokenizer) for t in b["text"]], columns=list(_COLUMNS))
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
-            out.insert(1, "lang", b["lang"])
-            yield out
+            rows = [measure(t.as_py(), tokenizer) for t in b.column("text")]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], names=["doc_id", "lang", *_COLUMNS])
 
-    kinds = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, "
-    return docs.select("doc_id", "lang", "text").mapInPandas(run, kinds + ", ".join(f"{m} double" for m in MEASURES))
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, "
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, kinds + ", ".join(f"{m} double" for m in MEASURES))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

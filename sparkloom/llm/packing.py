@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ class WordTokenizer:
     The vocabulary's pre-tokeniser drops white space and never looks across it, so a
     text's ids are its words' ids in a row; every distinct word is encoded once. Words of
     plain letters and marks go to the vocabulary's BPE model by their two pre-tokens,
-    all others through the whole tokeniser; both give the tokeniser's own ids.
+    all others through the whole tokeniser; both give the tokeniser's own ids, which is tried
+    on every such letter and mark when the vocabulary is loaded.
     """
 
     def __init__(self, path: str):
@@ -61,6 +63,10 @@ class WordTokenizer:
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in ACCENTED}
         self._clear()
+        self.split_here = True
+        probes = [f"{a}{c}{b}{m}" for c in [*ACCENTED, *"AZaz"] for a, b, m in (("", "", ""), ("th", "e", ""), ("", "er", ".,"), ("X", "", "!?"))] + [f"it{m}" for m in "-#*$%&.,;:!?()"]
+        # A vocabulary that lower-cases or splits otherwise goes the whole way for every word.
+        self.split_here = self._encoded([p.encode() for p in probes]) == [e.ids for e in self.tokenizer.encode_batch(probes, add_special_tokens=False)]
 
     def _clear(self) -> None:
         self.at: dict[bytes, int] = {}
@@ -78,7 +84,7 @@ class WordTokenizer:
     def _encoded(self, words: list[bytes]) -> list[list[int]]:
         ids: list[list[int] | None] = []
         for w in words:
-            m = PLAIN.match(w.decode())
+            m = PLAIN.match(w.decode()) if self.split_here else None
             ids.append(self._part(m[1].lower()) + self._part(m[2]) if m else None)
         if others := [i for i, x in enumerate(ids) if x is None]:
             for i, e in zip(others, self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)):
@@ -131,20 +137,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     Each document is its ids followed by ``end_id``; a null or empty text is that id alone.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            row, rows = [], []
+            for i, text in enumerate(batch.column("text")):
+                ids = np.append(tokenizer.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), size):
                     part = ids[at : at + size]
-                    rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int64)] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+                    row.append(i)
+                    rows.append((at, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int64)] if with_ids else [])))
+            columns = [pa.array([r[j] for r in rows], pa.int64() if j < 4 else pa.list_(pa.int64())) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *columns], names=["doc_id", *names])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def plan_packs(counts: dict[int, int], size: int = SIZE) -> pd.DataFrame:
@@ -213,19 +222,21 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     ranked = bucketed.join(offsets, keys).withColumn("__rank", F.row_number().over(order) - 1 + F.col("__before")).drop("__bucket", "__before")
     shared = pieces.sparkSession.sparkContext.broadcast(runs)  # slots of patterns: a few for each length
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["sequence_id"] = batch["offset"] = np.int64(0)
-            for length, rows in batch.groupby("length").indices.items():
-                rank_from, sequence_from, offset = shared.value[length]
-                rank = batch["__rank"].to_numpy()[rows]
-                slot = np.searchsorted(rank_from, rank, side="right") - 1
-                batch.iloc[rows, batch.columns.get_loc("sequence_id")] = sequence_from[slot] + rank - rank_from[slot]
-                batch.iloc[rows, batch.columns.get_loc("offset")] = offset[slot]
-            yield batch.drop(columns="__rank")
+            rank, lengths = batch.column("__rank").to_numpy(), batch.column("length").to_numpy()
+            sequence, begin = np.zeros((2, batch.num_rows), np.int64)
+            by_length = np.argsort(lengths, kind="stable")
+            for rows in np.split(by_length, np.flatnonzero(np.diff(lengths[by_length])) + 1):
+                if len(rows):
+                    rank_from, sequence_from, offset = shared.value[int(lengths[rows[0]])]
+                    slot = np.searchsorted(rank_from, rank[rows], side="right") - 1
+                    sequence[rows] = sequence_from[slot] + rank[rows] - rank_from[slot]
+                    begin[rows] = offset[slot]
+            yield batch.drop_columns("__rank").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(begin))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("__rank").schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+    return ranked.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
