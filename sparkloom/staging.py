@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that nothing refers to any more.
+
+    Spark frees them when the driver collects its garbage, which a driver with little to do
+    may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """Written tables that cut the lineage.
 
