@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +22,43 @@ def random_colors(spark: SparkSession, n: int, k: int = COLORS, seed: int = 0) -
     return spark.range(n).select(F.col("id").alias("pos"), F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(k)).cast("int").alias("color"))
 
 
-def preferential_edges(n: int, m: int, seed: int = 0) -> list[tuple[int, int]]:
-    """Edges (u < v) of a graph grown by preferential attachment; each vertex after the first brings up to m."""
-    rng, ends, edges = random.Random(seed), [0], []
-    for v in range(1, n):
-        chosen: set[int] = set()
-        while len(chosen) < min(m, v):
-            chosen.add(rng.choice(ends) if rng.random() < 0.9 or len(chosen) == v else rng.randrange(v))
-        for u in sorted(chosen):
-            edges.append((u, v))
-            ends += [u, v]
-    return edges
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(seed * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def attached_to(edge: np.ndarray, m: int, seed: int = 0) -> np.ndarray:
+    """The older end of each edge of a graph grown by preferential attachment.
+
+    Edge i is brought by vertex i // m + 1 and ends at the vertex that a random place in the
+    list of all ends before that vertex holds, so vertices are found in proportion to their
+    degree. Every other place is a newer end and known; the rest are older ends of earlier
+    edges, found in the same way. Nothing is shared between edges but the seed.
+    """
+    out, todo, at = np.zeros(len(edge), np.int64), np.arange(len(edge)), edge.astype(np.int64)
+    while len(todo):
+        before = 2 * m * (at // m)  # places that stood before the vertex came
+        place = np.where(before > 0, (_mixed(at, seed) % np.maximum(before, 1).astype(np.uint64)).astype(np.int64), -1)
+        newer = (place >= 0) & (place % 2 == 0)
+        out[todo[newer]] = place[newer] // 2 // m + 1
+        more = (place >= 0) & ~newer  # the first vertex's edges end at vertex 0
+        todo, at = todo[more], place[more] // 2
+    return out
 
 
 def weighted_graph(spark: SparkSession, n: int, m: int, w_min: int = 0, w_max: int = 100, seed: int = 0) -> DataFrame:
-    """(u, v, w) of a preferential-attachment graph with weights in [w_min, w_max).
+    """(u, v, w) of a connected preferential-attachment graph of n vertices, weights in [w_min, w_max).
 
-    Growth is sequential, so the topology is made on the driver and ``n * m`` is bounded by
-    its memory; weights are hashes of the edge, made where the rows are.
+    Each vertex after the first brings m edges; those that meet the same vertex are one edge.
+    Every task makes its own edges, and weights are hashes of the edge, so retried tasks agree.
     """
-    edges = spark.createDataFrame(preferential_edges(n, m, seed) or [], "u long, v long")
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            edge = b["id"].to_numpy()
+            yield pd.DataFrame({"u": attached_to(edge, m, seed), "v": edge // m + 1})
+
+    edges = spark.range(max(0, n - 1) * m).mapInPandas(grow, "u long, v long").distinct()
     return edges.select("u", "v", (F.lit(w_min) + F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(w_max - w_min))).cast("long").alias("w"))

@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.staging import Stage
 
+#: Up to this many edges (16 bytes each) one task finds the components at once; the result is the same.
+LOCAL_EDGES = 200_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Size and order-free digest of an edge set."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def star_forest(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def _least_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b): each vertex with its component's least id, by handing on labels and halving paths."""
+    pairs = pd.concat(list(batches), ignore_index=True)
+    ids, ends = np.unique(pairs[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (label[a], label[b], a, b):  # roots learn of smaller labels too
+            np.minimum.at(new, x, low)
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, label):
+            break
+        label = new
+    below = np.flatnonzero(label != np.arange(len(ids)))
+    yield pd.DataFrame({"a": ids[below], "b": ids[label[below]]})
+
+
+def star_forest(edges: DataFrame, u: str = "u", v: str = "v", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) for every vertex that is not its own component's least id.
 
     Alternates two rewrites until nothing changes: each vertex hands its larger neighbours
@@ -26,6 +53,8 @@ def star_forest(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     pairs = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     pairs, step = stage.write(pairs, "0"), 0
     mark = _mark(pairs)
+    if 0 < mark[0] <= local_edges:
+        pairs, mark = stage.write(pairs.repartition(1).mapInPandas(_least_labels, pairs.schema), "local"), (0,)
     while mark[0]:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

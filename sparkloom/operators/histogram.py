@@ -15,28 +15,28 @@ def histogram(rows: DataFrame, color: str = "color", by: tuple[str, ...] = (), b
     its buckets.
     """
     counts = rows.groupBy(*by, F.col(color).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    dense = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    if by:
-        # One array of buckets for each group, never groups times rows.
-        dense = rows.select(*by).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    on = [*by, "bucket"]
-    joined = dense.alias("d").join(counts.alias("c"), [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in on], "left")
-    return joined.select(*(F.col(f"d.{k}") for k in on), F.coalesce("c.n", F.lit(0)).cast("long").alias("n"))
+    bucket, n = F.col("bucket"), F.col("n")
+    # The counts of a group, at most one for each bucket, make a map from which all its buckets are read.
+    known = F.collect_list(F.when(bucket.between(0, buckets - 1), F.struct(bucket, n)))
+    groups = counts.groupBy(*by).agg(F.map_from_entries(known).alias("known"))
+    dense = groups.select(*by, "known", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    return dense.select(*by, "bucket", F.coalesce(F.try_element_at("known", bucket), F.lit(0)).cast("long").alias("n"))
 
 
 def conditional_histogram(rows: DataFrame, color: str = "color", buckets: int = BUCKETS, width: int = 32) -> DataFrame:
-    """The same by one conditional count per bucket: a single pass with no grouping key.
+    """The same by conditional counts, in a single pass.
 
-    ``width`` counts stand in one aggregate, so that its generated code stays compact.
+    A row adds to one of ``width`` counters of its stretch of buckets; more counters in one
+    aggregate would not be compiled.
     """
-    out = None
-    for at in range(0, buckets, width):
-        span = range(at, min(at + width, buckets))
-        wide = rows.where(F.col(color).between(at, span[-1])).agg(*(F.count_if(F.col(color) == i).alias(f"b{i}") for i in span))
-        pairs = F.array(*(F.struct(F.lit(i).alias("bucket"), F.col(f"b{i}").alias("n")) for i in span))
-        part = wide.select(F.explode(pairs).alias("p")).select("p.*")
-        out = part if out is None else out.union(part)
-    return out
+    at = F.col(color).cast("int")
+    stretches = -(-buckets // width)
+    counted = rows.where(at.between(0, buckets - 1)).groupBy(F.expr(f"cast(`{color}` AS int) div {width}").cast("int").alias("stretch")).agg(*(F.count_if(at % width == i).alias(f"b{i}") for i in range(width)))
+    known = F.map_from_entries(F.collect_list(F.struct("stretch", F.array(*(f"b{i}" for i in range(width))).alias("n"))))
+    whole = counted.agg(known.alias("known"))  # at most buckets / width rows
+    bucket = F.col("bucket")
+    dense = whole.select("known", F.explode(F.sequence(F.lit(0), F.lit(min(buckets, stretches * width) - 1))).alias("bucket"))
+    return dense.select("bucket", F.coalesce(F.try_element_at(F.try_element_at("known", F.floor(bucket / width).cast("int")), bucket % width + 1), F.lit(0)).cast("long").alias("n"))
 
 
 def channels(pixels: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -16,7 +16,8 @@ from .edges import vertices
 
 #: "auto" works in tasks up to this many vertices: a task's forest has fewer edges than that.
 LOCAL_VERTICES = 2_000_000
-_SCHEMA = "u long, v long, w long"
+#: Edges that a task holds before it thins them.
+HELD_EDGES = 1_000_000
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -59,14 +60,23 @@ def forest_rows(u: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray | Non
 
 
 def _local(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[pd.DataFrame]:
-    """A partition's forest; held edges are thinned whenever they pile up."""
-    held: pd.DataFrame | None = None
+    """A partition's forest; held edges are thinned whenever they have doubled, so each is sorted a few times only."""
+    held: list[pd.DataFrame] = []
+    size, most = 0, HELD_EDGES
+
+    def thinned() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        return rows.iloc[forest_rows(*(rows[c].to_numpy() for c in columns))]
+
     for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if len(held) > 1_000_000:
-            held = held.iloc[forest_rows(*(held[c].to_numpy() for c in columns))].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held.iloc[forest_rows(*(held[c].to_numpy() for c in columns))]
+        held.append(batch)
+        size += len(batch)
+        if size > most:
+            held = [thinned()]
+            size = len(held[0])
+            most = max(HELD_EDGES, 2 * size)
+    if size:
+        yield thinned()
 
 
 def _reduced(edges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -80,10 +90,13 @@ def _reduced(edges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return edges
 
 
-def boruvka(edges: DataFrame) -> DataFrame:
-    """Rounds of joins for vertex sets that outgrow a task; components at least halve in a round."""
+def boruvka(edges: DataFrame, ends: tuple[str, str] = ("u", "v")) -> DataFrame:
+    """Rounds of joins for vertex sets that outgrow a task; components at least halve in a round.
+
+    ``ends`` are the columns of the edges' ends where these are groups of vertices.
+    """
     stage, step = Stage(edges.sparkSession, "boruvka"), 0
-    live = stage.write(edges.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "w", "u", "v"), "live0")
+    live = stage.write(edges.select(F.col(ends[0]).alias("cu"), F.col(ends[1]).alias("cv"), "w", "u", "v").where("cu <> cv"), "live0")
     picked = None
     while not live.isEmpty():
         step += 1
@@ -99,14 +112,14 @@ def boruvka(edges: DataFrame) -> DataFrame:
             live = live.join(names, F.col(end) == F.col("__id"), "left").withColumn(end, F.coalesce("__to", end)).drop("__id", "__to")
         live = stage.write(live.where("cu <> cv"), f"live{step}")
         stage.drop(f"live{step - 1}")
-    return picked if picked is not None else edges.limit(0)
+    return picked if picked is not None else edges.select("u", "v", "w").limit(0)
 
 
-def banded(edges: DataFrame, bands: int = 8) -> DataFrame:
+def banded(edges: DataFrame, bands: int = 8, local_vertices: int = LOCAL_VERTICES) -> DataFrame:
     """Light bands of weights first; edges inside components that lighter bands made never reach a sort.
 
     Cut points are quantiles of the distinct weights, so a band of one weight is the least
-    there can be and the loop ends.
+    there can be and the loop ends. A band whose ends outgrow a task goes by rounds of joins.
     """
     if bands < 1:
         raise ValueError("bands must be at least 1")
@@ -130,7 +143,11 @@ def banded(edges: DataFrame, bands: int = 8) -> DataFrame:
                 band = band.join(own, F.col(end) == F.col("__id"), "left").drop("__id").withColumn(name, F.coalesce(name, end))
         else:
             band = band.withColumns({"a": F.col("u"), "b": F.col("v")})
-        found = _reduced(band.select("u", "v", "w", "a", "b"), ("u", "v", "w", "a", "b")).select("u", "v", "w")
+        band = stage.write(band.select("u", "v", "w", "a", "b"), f"band{i}")
+        if band.select(F.explode(F.array("a", "b"))).distinct().count() <= local_vertices:
+            found = _reduced(band, ("u", "v", "w", "a", "b")).select("u", "v", "w")
+        else:
+            found = boruvka(band, ("a", "b"))
         tree = stage.write(found if tree is None else tree.unionByName(found), f"tree{i}")
         if top is not None:
             labels = stage.write(components(tree), f"labels{i}")

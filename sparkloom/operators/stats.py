@@ -5,29 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edges import rank
+
+
+def _ranked(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with _rn, their place from 1 within the tag in the order of ``by``, and _n, the tag's number of rows.
+
+    A global rank over range partitions less the rows of earlier tags: no tag is sorted in
+    one task, however many calls it has.
+    """
+    counts = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("tag").rowsBetween(Window.unboundedPreceding, -1))  # one row a tag
+    starts = counts.withColumn("_start", F.coalesce(before, F.lit(0)))
+    ranked = rank(rows, ("tag", by), "_rn").withColumnRenamed("tag", "_tag")
+    return ranked.join(starts, F.col("_tag").eqNullSafe(F.col("tag"))).withColumn("_rn", F.col("_rn") - F.col("_start")).drop("_tag", "_start")
+
 
 def timing_stats(timings: DataFrame) -> DataFrame:
     """(tag, average, std_dev, median, total, num_calls, std_pop, true_median).
 
     std_dev is the root of the summed squares over the number of calls, and median the
     middle call's value in call order, as timing files have them; std_pop and true_median
-    are the usual ones. The middle call is found by its row number, not in a list.
+    are the usual ones.
     """
-    order = Window.partitionBy("tag").orderBy("call")
-    every = Window.partitionBy("tag")
-    rows = timings.withColumns({"_rn": F.row_number().over(order), "_n": F.count(F.lit(1)).over(every)})
-    middle = F.max(F.when(F.col("_rn") == F.floor(F.col("_n") / 2) + 1, F.col("seconds")))
-    return rows.groupBy("tag").agg(
-        F.avg("seconds").alias("average"), (F.stddev_pop("seconds") / F.sqrt(F.count("seconds"))).alias("std_dev"), middle.alias("median"),
-        F.sum("seconds").alias("total"), F.count(F.lit(1)).alias("num_calls"), F.stddev_pop("seconds").alias("std_pop"),
-        F.expr("percentile(seconds, 0.5)").alias("true_median"),
+    rows = timings.select("tag", "call", "seconds")
+    middle = _ranked(rows, "call").where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(F.col("tag").alias("_a"), F.col("seconds").alias("median"))
+    by_value = _ranked(rows.where("seconds IS NOT NULL").select("tag", "seconds"), "seconds")
+    middles = by_value.where((F.col("_rn") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rn") == F.floor(F.col("_n") / 2) + 1))
+    true = middles.groupBy(F.col("tag").alias("_b")).agg(F.avg("seconds").alias("true_median"))
+    sums = rows.groupBy("tag").agg(
+        F.avg("seconds").alias("average"), (F.stddev_pop("seconds") / F.sqrt(F.count("seconds"))).alias("std_dev"), F.sum("seconds").alias("total"),
+        F.count(F.lit(1)).alias("num_calls"), F.stddev_pop("seconds").alias("std_pop"),
     )
+    joined = sums.join(middle, F.col("tag").eqNullSafe(F.col("_a"))).join(true, F.col("tag").eqNullSafe(F.col("_b")), "left")
+    return joined.select("tag", "average", "std_dev", "median", "total", "num_calls", "std_pop", "true_median")
 
 
 def upper_median(timings: DataFrame) -> DataFrame:
     """(tag, median): of an even number of calls the higher middle one."""
-    order = Window.partitionBy("tag").orderBy("seconds")
-    rows = timings.withColumns({"_rn": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy("tag"))})
+    rows = _ranked(timings.select("tag", "seconds"), "seconds")
     return rows.where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select("tag", F.col("seconds").alias("median"))
 
 

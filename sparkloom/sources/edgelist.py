@@ -48,10 +48,10 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     return header.unionByName(edges.select(F.lit(1).alias("no"), F.concat_ws(";", F.lit("E"), "u", "v", "w").alias("line")))
 
 
-def write_edges(edges: DataFrame, path: str, single: bool = True) -> None:
-    """Write the file's rows; ``single`` makes one file with the header on top, for small tables.
+def write_edges(edges: DataFrame, path: str, single: bool = False) -> None:
+    """Write the file's rows, a part for each task, in no order; the reader does not mind.
 
-    Without it every task writes its own part, in no order; the reader does not mind.
+    ``single`` makes one file with the header on top, for small tables.
     """
     lines = edge_lines(edges)
     (lines.coalesce(1).sortWithinPartitions("no") if single else lines).select("line").write.mode("overwrite").text(path)
@@ -62,5 +62,10 @@ def truth_path(path: str) -> str:
     return str(p.with_name(f"{p.stem}_mst_gt{p.suffix}"))
 
 
+def input_path(root: str, name: str) -> str:
+    """Place of a named input; a path with a folder or a scheme stays as it is."""
+    return name if "/" in name else str(PurePosixPath(root) / "input_data" / name)
+
+
 def output_path(root: str, name: str, reference: bool = False) -> str:
     return str(PurePosixPath(root) / "output" / (f"{name}_ref.csv" if reference else f"{name}.csv"))

@@ -142,8 +142,25 @@ def decode_png(data: bytes) -> np.ndarray:
     return out
 
 
+def encode_rgba(image: np.ndarray) -> bytes:
+    """A PNG file of (height, width, 4) bytes; rows take the filters none, left and above in turn."""
+    height, width, _ = image.shape
+    rows = image.reshape(height, -1)
+    left = np.concatenate([np.zeros((height, 4), np.uint8), rows[:, :-4]], axis=1)
+    above = np.concatenate([np.zeros((1, rows.shape[1]), np.uint8), rows[:-1]])
+    guess = [np.zeros_like(rows), left, above]
+    raw = b"".join(bytes([y % 3]) + (rows[y] - guess[y % 3][y]).tobytes() for y in range(height))
+    parts = ((b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)), (b"IDAT", zlib.compress(raw)), (b"IEND", b""))
+    return SIGNATURE + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in parts)
+
+
 def read_pixels(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """(image, pos, r, g, b, a), one row a pixel, of all files under ``path``."""
+    return decode_files(spark.read.format("binaryFile").load(path), drop_invalid)
+
+
+def decode_files(files: DataFrame, drop_invalid: bool = False) -> DataFrame:
+    """The same for a table of (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,8 +175,7 @@ def read_pixels(spark: SparkSession, path: str, drop_invalid: bool = False) -> D
                     part = flat[at : at + SLICE].astype(np.int32)
                     yield pd.DataFrame({"image": name, "pos": np.arange(at, at + len(part)), "r": part[:, 0], "g": part[:, 1], "b": part[:, 2], "a": part[:, 3]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "image string, pos long, r int, g int, b int, a int")
+    return files.select("path", "content").mapInPandas(run, "image string, pos long, r int, g int, b int, a int")
 
 
 def colors(pixels: DataFrame, mode: str = "rgb") -> DataFrame:

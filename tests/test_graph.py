@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.functions.generate import preferential_edges
+from sparkloom.functions.generate import attached_to, weighted_graph
 from sparkloom.operators import components as cc
 from sparkloom.operators import edges as ed
 from sparkloom.operators import mst
@@ -108,15 +108,44 @@ def test_edge_file(spark, tmp_path):
     df = edgelist.read_edges(spark, str(path))
     assert sorted(map(tuple, df.collect())) == sorted(parsed(GOLDEN))
     edgelist.check_header(spark, str(path))
-    edgelist.write_edges(df, str(tmp_path / "out"))
+    edgelist.write_edges(df, str(tmp_path / "out"), single=True)
     first = next((tmp_path / "out").glob("part-*")).read_text().split("\n")[0]
     assert first == "H;10;21;1"
     assert edgelist.truth_path("a/b.csv") == "a/b_mst_gt.csv"
+    assert edgelist.input_path("root", "g.csv") == "root/input_data/g.csv" and edgelist.input_path("root", "s3://x/g.csv") == "s3://x/g.csv"
     (tmp_path / "bad.csv").write_text("H;1;1;1\nE;a;2;3")
     with pytest.raises(Exception):
         edgelist.read_edges(spark, str(tmp_path / "bad.csv")).collect()
 
 
-def test_generated_graph_is_connected():
-    edges = preferential_edges(200, 3, seed=1)
-    assert all(u < v for u, v in edges) and len(kruskal([(u, v, 1) for u, v in edges])) == 199
+def test_generated_graph_is_connected(spark):
+    edges = [tuple(r) for r in weighted_graph(spark, 400, 3, 1, 9, seed=1).collect()]
+    assert all(u < v and 1 <= w < 9 for u, v, w in edges) and len(kruskal([(u, v, 1) for u, v, _ in edges])) == 399
+    assert sorted(edges) == sorted(map(tuple, weighted_graph(spark, 400, 3, 1, 9, seed=1).repartition(3).collect()))
+    older = attached_to(np.arange(60_000), 3, 5)
+    degree = np.bincount(older)
+    assert (older <= np.arange(60_000) // 3).all() and np.sort(degree)[-20:].sum() > 20 * 20 * 3  # old vertices gather many edges
+    assert (attached_to(np.arange(100, 200), 3, 5) == older[100:200]).all()
+
+
+def test_components_in_rounds_and_at_once(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 - i, 999 - i) for i in range(60)]
+    df = spark.createDataFrame(pairs, "u long, v long")
+    once, rounds = ({(r.id, r.component) for r in cc.star_forest(df, local_edges=n).collect()} for n in (10**6, 0))
+    assert once == rounds and len(once) > 100
+
+
+def test_forest_of_a_task_that_thins(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 200, 3000), rng.integers(200, 400, 3000), rng.integers(0, 99, 3000))]
+    rows = __import__("pandas").DataFrame(edges, columns=["u", "v", "w"])
+    monkeypatch.setattr(mst, "HELD_EDGES", 500)
+    got = [tuple(map(int, r)) for part in mst._local((rows[i : i + 90] for i in range(0, 3000, 90)), ("u", "v", "w")) for r in part.itertuples(index=False)]
+    assert set(got) == kruskal(edges) and len(got) == len(set(got))
+
+
+def test_bands_beyond_a_task(spark):
+    df = spark.createDataFrame(CASES["random"], SCHEMA)
+    got = mst.banded(mst.simple_edges(df), 3, local_vertices=1)
+    assert {tuple(r) for r in got.select("u", "v", "w").collect()} == kruskal(CASES["random"])

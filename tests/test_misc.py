@@ -60,3 +60,63 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.num_calls for r in spark.table("timed").collect()) == 120
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkloom.__main__ import main
+
+    assert main(["generate", "-o", str(tmp_path / "g"), "-n", "60", "-m", "3", "--weights", "1", "9"], spark) == 0
+    path = str(tmp_path / "g" / "graph_60_3.csv")
+    assert main(["forest", "-i", path, "-o", str(tmp_path / "t"), "-s", "local", "-r", "2"], spark) == 0
+    assert {r.tag: r.num_calls for r in results.read_timings(spark, str(tmp_path / "t")).collect()} == {"read": 1, "forest_local": 2}
+    assert main(["forest", "-i", path, "-t", path], spark) == 1
+    assert "forest_auto" in capsys.readouterr().out
+    with pytest.raises(SystemExit) as stopped:
+        main(["--help"], spark)
+    assert stopped.value.code == 0
+
+
+def test_suites(spark, tmp_path):
+    import numpy as np
+
+    from sparkloom.plans import suites
+    from sparkloom.sources.png import encode_rgba
+
+    rows = suites.random_suite(spark, str(tmp_path / "r"), sizes=(500,), color_counts=(1, 5), repetitions=1)
+    assert rows.count() == results.read_runtimes(spark, str(tmp_path / "r")).count() == 4
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "a.png").write_bytes(encode_rgba(np.arange(6 * 5 * 4, dtype=np.uint8).reshape(6, 5, 4)))
+    found = suites.image_suite(spark, str(tmp_path / "i"), repetitions=1)
+    assert {r.input for r in found.collect()} == {"a.png_grayscale", "a.png_rgb", "a.png_rgba"}
+    suites.create_graphs(spark, [{"name": "p_30_3", "n": 30, "m": 3}, {"name": "p_40_3", "n": 40, "m": 3}], str(tmp_path / "in"))
+    runs = run_list([30, 40], "3", "p", {"strategy": "local"}, repetitions=1, repetitions_last=1)
+    assert suites.run_benchmark(spark, runs, str(tmp_path / "in"), str(tmp_path)) == [("p_30_3", True), ("p_40_3", True)]
+
+
+def test_sorted_reader_and_projection(spark, tmp_path):
+    from sparkloom.functions.scalars import seconds
+    from sparkloom.sources import edgelist
+
+    graph = spark.createDataFrame([(5, 6, 1), (1, 9, 2), (1, 2, 3)], "source long, target long, weight long")
+    rows = edgelist.edge_projection(graph)
+    assert [tuple(r) for r in rows.collect()] == [(1, 2, 3), (1, 9, 2), (5, 6, 1)]
+    edgelist.write_edges(rows.repartition(3), str(tmp_path / "e"))
+    assert [tuple(r) for r in edgelist.sorted_graph(spark, str(tmp_path / "e")).collect()] == [(1, 2, 3), (1, 9, 2), (5, 6, 1)]
+    edgelist.check_header(spark, str(tmp_path / "e"))
+    assert spark.range(1).withColumn("x", F.lit(1_500_000_000)).select(seconds("x")).first()[0] == 1.5
+
+
+def test_pivot_of_ranks(spark):
+    from sparkloom.operators import edges as ed
+
+    for weights in ([4], [3, 1], [5, 5, 1, 2], [7, None, 1, 3], []):
+        known = sorted(w for w in weights if w is not None)
+        df = spark.createDataFrame([(0, 1, w) for w in weights], "u long, v long, w long")
+        assert ed.pivot(df).first().pivot == (known[(len(known) + 1) // 2 - 1] if known else None)
+
+
+def test_histogram_groups_and_strange_values(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 3), ("b", 999), (None, 5), ("b", None), ("a", -1)], "g string, color int")
+    got = {(r.g, r.bucket): r.n for r in hist.histogram(rows, by=("g",), buckets=40).collect()}
+    assert len(got) == 3 * 40 and sum(got.values()) == 3 and got["a", 3] == 2 and got[None, 5] == 1
+    assert {(r.bucket, r.n) for r in hist.conditional_histogram(rows, buckets=40).collect()} == {(r.bucket, r.n) for r in hist.histogram(rows, buckets=40).collect()}

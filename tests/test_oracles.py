@@ -37,6 +37,22 @@ def test_query(spark, duck, name):
     pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False, rtol=1e-9)
 
 
+@pytest.mark.parametrize("name", ["mst_partsupp", "mst_generated"])
+def test_forest_queries_without_sql(spark, name):
+    from test_graph import kruskal
+
+    graph = registry.graphs.part_graph(spark, DATA) if name == "mst_partsupp" else registry.QUERIES["generated_graph"](spark, DATA)
+    want = kruskal([(r.u, r.v, r.w) for r in graph.collect()])
+    assert {(r.u, r.v, r.w) for r in registry.QUERIES[name](spark, DATA).collect()} == want and len(want) > 100
+
+
+def test_generated_colors_and_pivot(spark):
+    counts = {r.bucket: r.n for r in registry.QUERIES["colors_random_hist"](spark, DATA).collect()}
+    assert len(counts) == 256 and sum(counts.values()) == 640 * 426 and max(counts.values()) < 2 * min(counts.values())
+    weights = {r.w for r in registry.graphs.supplier_graph(spark, DATA).select("w").distinct().collect()}
+    assert registry.QUERIES["pivot_random"](spark, DATA).first().pivot in weights
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
