@@ -55,6 +55,7 @@ def star_forest(edges: DataFrame, u: str = "u", v: str = "v", local_edges: int =
     mark = _mark(pairs)
     if 0 < mark[0] <= local_edges:
         pairs, mark = stage.write(pairs.repartition(1).mapInPandas(_least_labels, pairs.schema), "local"), (0,)
+        stage.only("local")
     while mark[0]:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

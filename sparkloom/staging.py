@@ -58,3 +58,10 @@ class Stage:
     def drop(self, name: str) -> None:
         fs, path = self._filesystem(f"{self.root}/{name}")
         fs.delete(path, True)
+
+    def only(self, *names: str) -> None:
+        """Drop every table but these, once nothing to come reads the others."""
+        fs, root = self._filesystem(self.root)
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
