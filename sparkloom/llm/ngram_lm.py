@@ -7,30 +7,36 @@ seven bytes is one exact integer: a 1 bit, then the bytes.
   quality) and derives the lower orders' continuation counts, contexts, discounts and
   interpolated probabilities by grouped aggregation and joins on the key; the model is a
   table sharded by key and grows with the trusted text.
-* Scoring packs documents into chunks. A chunk asks for its distinct n-grams once; the
-  requests are joined with the model, and the answers meet the chunk again, so the join
-  moves distinct n-grams of chunks and each text once, never the n-grams of documents.
-* Per language, a quantile of the trusted documents' perplexity is the threshold.
+* Scoring packs documents into chunks, written once in buckets. A chunk asks for its
+  distinct n-grams once; the requests are joined with the model, and the answers go to the
+  chunk's bucket, so the join moves distinct n-grams of chunks, and no text is shuffled.
+* Trusted documents are split by a hash of their id: one part in ``HELD_OUT`` is never
+  trained on, and per language a quantile of its perplexity is the threshold.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.staging import Stage
+from sparkloom.staging import Stage, release
 
+from .common import grid_quantiles
 from .jaccard import FILTER_BITS, _bit, _filter_words
 
 ORDER = 5
 QUANTILE = 0.995
-MARGIN = 1.05
+HELD_OUT = 5
+#: Thresholds are taken up to the next step of 1 / GRID in the log of the perplexity.
+GRID = 10_000
 SHRINK = 50
 CHUNK_BYTES = 32 << 20
 CHUNK_LEVEL = 6
@@ -95,13 +101,13 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(d if d > 0 else y, float(i)) for i, d in estimates]
 
 
-def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
+def train(texts: DataFrame, order: int = ORDER, stage: Stage | None = None) -> DataFrame:
     """(key, p, g): interpolated probability of a seen n-gram, and the weight that its context leaves to the shorter one.
 
     ``texts`` has a text column; null and empty texts add nothing. Both columns can be null:
     a key may only be known as an n-gram or as a context.
     """
-    stage = Stage(texts.sparkSession, "kneser-ney")
+    stage = stage or Stage(texts.sparkSession, "kneser-ney")
     counts = texts.where("length(text) > 0").select("text").mapInPandas(lambda b: _counted(b, order), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     by_order = {order: stage.write(counts, f"c{order}")}
     for k in range(order - 1, 0, -1):
@@ -125,41 +131,53 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
         rows = below.select("key", "p", F.lit(None).cast("double").alias("g")).unionByName(contexts.select(F.col("context").alias("key"), F.lit(None).cast("double").alias("p"), "g"))
         model = rows if model is None else model.unionByName(rows)
     model = model.unionByName(texts.sparkSession.range(1).selectExpr("1L AS key", "CAST(NULL AS double) AS p", "CAST(NULL AS double) AS g"))  # every chunk gets an answer
-    return stage.write(model.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g")), "model")
+    out = stage.write(model.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g")), "model")
+    stage.only("model")
+    return out
 
 
-def _grouped(batches: Iterator[pd.DataFrame], chunk_bytes: int) -> Iterator[tuple[str, list[int], list[bytes]]]:
-    """(chunk name, rows, texts): one task's documents in order, cut at about ``chunk_bytes``."""
-    ids, parts, size, digest = [], [], 0, 0
+def _packed(chunk: int, ids: list[pa.Array], langs: list[pa.Array], parts: list[bytes]) -> pa.RecordBatch:
+    ids_, langs_ = pa.concat_arrays(ids), pa.concat_arrays(langs)
+    known = ids_.is_valid().to_numpy(zero_copy_only=False)
+    columns = {
+        "chunk": pa.array([chunk], pa.int64()), "ids": pa.array([ids_.fill_null(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "known": pa.array([known.tobytes()], pa.binary()),
+        "langs": pa.array([langs_.to_pylist()], pa.list_(pa.string())), "ends": pa.array([np.cumsum([len(p) for p in parts])], pa.list_(pa.int64())),
+        "texts": pa.array([zstandard.compress(b"".join(parts), CHUNK_LEVEL)], pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One task's documents in order, cut at about ``chunk_bytes``."""
+    chunk, ids, langs, parts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
     for b in batches:
-        for row, text in zip(b["row"], b["text"]):
-            ids.append(row)
-            parts.append((text or "").encode())
+        begin = 0
+        for i, text in enumerate(b.column("text"), 1):
+            parts.append((text.as_py() or "").encode())
             size += len(parts[-1])
-            digest = zlib.crc32(parts[-1], digest)
+            if size >= chunk_bytes or i == b.num_rows:
+                ids.append(b.column("doc_id").slice(begin, i - begin))
+                langs.append(b.column("lang").slice(begin, i - begin))
+                begin = i
             if size >= chunk_bytes:
-                yield f"{ids[0]}-{ids[-1]}-{len(ids)}-{digest}", ids, parts
-                ids, parts, size, digest = [], [], 0, 0
-    if ids:
-        yield f"{ids[0]}-{ids[-1]}-{len(ids)}-{digest}", ids, parts
-
+                yield _packed(chunk, ids, langs, parts)
+                chunk, ids, langs, parts, size = chunk + 1, [], [], [], 0
+    if parts:
+        yield _packed(chunk, ids, langs, parts)
 
-def _chunks(batches: Iterator[pd.DataFrame], chunk_bytes: int) -> Iterator[pd.DataFrame]:
-    for chunk, ids, parts in _grouped(batches, chunk_bytes):
-        yield pd.DataFrame({"chunk": [chunk], "docs": [ids], "ends": [np.cumsum([len(p) for p in parts])], "texts": [zstandard.compress(b"".join(parts), CHUNK_LEVEL)]})
 
-
-def _requests(batches: Iterator[pd.DataFrame], order: int, chunk_bytes: int) -> Iterator[pd.DataFrame]:
+def _requests(batches: Iterator[pd.DataFrame], order: int) -> Iterator[pd.DataFrame]:
     """The distinct n-grams of every length, and their contexts, that each chunk has."""
-    for chunk, _, parts in _grouped(batches, chunk_bytes):
-        found = np.zeros(0, np.int64)
-        for piece in _pieces(iter(parts), order):
-            found = np.union1d(found, piece)
-        keys = [found, found >> 8, np.ones(1, np.int64)]
-        for k in range(order - 1, 0, -1):
-            tails = np.unique(shorter(found, k))
-            keys += [tails, tails >> 8]
-        yield pd.DataFrame({"chunk": chunk, "key": np.unique(np.concatenate(keys))})
+    for b in batches:
+        for row in b.itertuples():
+            found = np.zeros(0, np.int64)
+            for piece in _pieces(iter(_texts(row)), order):
+                found = np.union1d(found, piece)
+            keys = [found, found >> 8, np.ones(1, np.int64)]
+            for k in range(order - 1, 0, -1):
+                tails = np.unique(shorter(found, k))
+                keys += [tails, tails >> 8]
+            yield pd.DataFrame({"chunk": row.chunk, "key": np.unique(np.concatenate(keys))})
 
 
 def _texts(row) -> list[bytes]:
@@ -168,9 +186,7 @@ def _texts(row) -> list[bytes]:
 
 
 def _scored(answers: pd.DataFrame, chunks: pd.DataFrame, order: int) -> pd.DataFrame:
-    """(row, n_bytes, log_prob) of a chunk's documents."""
-    if not len(answers) or not len(chunks):
-        raise RuntimeError("the table gave other rows when it was read again; write it before scoring")
+    """(doc_id, lang, n_bytes, log_prob) of a chunk's documents."""
     answers = answers.sort_values("key")
     keys, p, g = (answers[c].to_numpy() for c in ("key", "p", "g"))
     out = []
@@ -194,30 +210,43 @@ def _scored(answers: pd.DataFrame, chunks: pd.DataFrame, order: int) -> pd.DataF
         for piece in _pieces(iter(texts), order):
             distinct = np.union1d(distinct, piece)
         logs = np.log(probability(distinct))
-        for doc, text in zip(row.docs, texts):
-            total = sum(float(logs[np.searchsorted(distinct, piece)].sum()) for piece in _pieces(iter([text]), order))
-            out.append((doc, len(text), total))
-    return pd.DataFrame(out, columns=["row", "n_bytes", "log_prob"])
+        total = [sum(float(logs[np.searchsorted(distinct, piece)].sum()) for piece in _pieces(iter([text]), order)) for text in texts]
+        ids = pd.arrays.IntegerArray(np.frombuffer(row.ids, "<i8").astype(np.int64), ~np.frombuffer(row.known, bool))
+        out.append(pd.DataFrame({"doc_id": ids, "lang": list(row.langs), "n_bytes": [len(t) for t in texts], "log_prob": total}))
+    return pd.concat(out)
 
 
 def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(row, n_bytes, log_prob) for (row, text): the natural log of each whole text's probability, byte by byte.
+    """(doc_id, lang, n_bytes, log_prob) of every row: the natural log of each whole text's probability, byte by byte.
 
-    ``docs`` is read twice and must be a table whose scan gives the same rows in the same
-    order: chunks are not kept between asking and scoring but named by their content, and a
-    chunk without its answers stops the run.
+    ``docs`` is read once. The chunks are a table in buckets of chunk numbers, so answers
+    come to them and no chunk shares its task with many others.
     """
-    texts = docs.select("row", "text")
-    chunks = texts.mapInPandas(lambda b: _chunks(b, chunk_bytes), "chunk string, docs array<long>, ends array<long>, texts binary")
-    asked = texts.mapInPandas(lambda b: _requests(b, order, chunk_bytes), "chunk string, key long")
-    answers = asked.join(model, "key").select("chunk", "key", "p", "g")
-    both = answers.groupBy("chunk").cogroup(chunks.groupBy("chunk"))
-    return both.applyInPandas(lambda a, c: _scored(a, c, order), "row long, n_bytes long, log_prob double")
+    spark = docs.sparkSession
+    stage = Stage(spark, "perplexity-chunks")
+    schema = "chunk long, ids binary, known binary, langs array<string>, ends array<long>, texts binary"
+    table, buckets = f"chunks_{uuid.uuid4().hex}", 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(lambda b: _chunks(b, chunk_bytes), schema)
+    chunks.write.option("path", f"{stage.root}/chunks").option("compression", "none").bucketBy(buckets, "chunk").saveAsTable(table)
+    try:
+        asked = spark.table(table).mapInPandas(lambda b: _requests(b, order), "chunk long, key long")
+        answers = asked.join(model, "key").select("chunk", "key", "p", "g")
+        both = answers.groupBy("chunk").cogroup(spark.table(table).groupBy("chunk"))
+        scores = stage.write(both.applyInPandas(lambda a, c: _scored(a, c, order), "doc_id long, lang string, n_bytes long, log_prob double"), "scores")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    stage.drop("chunks")
+    return scores
+
+
+def held_out(doc_id: Column | str = "doc_id") -> Column:
+    """Trusted documents that the model doesn't see."""
+    return F.pmod(F.xxhash64(doc_id, F.lit("held out")), F.lit(HELD_OUT)) == 0
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is labelled of good quality; a filter of fixed size spares most others the shuffle."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """The rows of ``docs`` whose id is labelled of good quality and not held out; a filter of fixed size spares most others the shuffle."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
     mask = docs.sparkSession.sparkContext.broadcast(_filter_words(good.withColumnRenamed("doc_id", "node"), FILTER_BITS))  # FILTER_BITS / 8 bytes
 
     @F.pandas_udf("boolean")
@@ -226,29 +255,31 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return pd.Series((mask.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
     # Merged at every size: labels grow with the documents, so they are never sent whole.
-    return docs.where(likely("doc_id")).join(good.hint("merge"), "doc_id", "left_semi")
+    return docs.where(F.col("doc_id").isNotNull()).where(likely("doc_id")).join(good.hint("merge"), "doc_id", "left_semi")
 
 
-def perplexity_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def perplexity_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, n_bytes, perplexity (per byte), threshold and kept.
 
-    The threshold of a language is ``margin`` times that quantile of its trusted documents'
+    The threshold of a language is that quantile of its held-out trusted documents'
     perplexity; with n of them the language's (null too) own quantile counts
-    n / (n + ``SHRINK``), that of all languages the rest. A null or empty text has no perplexity and is not kept. Without trusted text
-    every byte is equally likely and all texts with bytes are kept.
+    n / (n + ``SHRINK``), that of all languages the rest. A null or empty text has no
+    perplexity and is not kept. Without trusted text every byte is equally likely, and
+    without held-out trusted text all texts with bytes are kept.
     """
     stage = Stage(docs.sparkSession, "perplexity")
-    model = train(trusted_documents(docs, labels), order)
-    numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    scores = stage.write(log_probabilities(numbered, model, order, chunk_bytes).dropDuplicates(["row"]), "scores")
-    rows = numbered.select("row", "doc_id", "lang").join(scores, "row", "left").withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_prob") / F.col("n_bytes"))))
-    rows = stage.write(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("key"), "lang", "n_bytes", "perplexity"), "rows")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    known = stage.write(rows.where("perplexity IS NOT NULL").join(good, "doc_id", "left_semi"), "known")
-    q = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = known.agg(q.alias("q")).first()["q"]
-    by_language = known.groupBy("key").agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
-    pooled = F.lit(float(overall) if overall is not None else 1e9)
-    limit = margin * F.coalesce((F.col("n") * F.col("q") + SHRINK * pooled) / (F.col("n") + SHRINK), pooled)
+    model = train(trusted_documents(docs, labels), order, stage)
+    release(docs.sparkSession)  # the trusted texts' shuffle
+    scores = log_probabilities(docs, model, order, chunk_bytes)
+    stage.only()
+    rows = scores.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_prob") / F.col("n_bytes")))).withColumn("key", F.coalesce("lang", F.lit("")))
+    good = labels.where((F.col("quality") == 1) & held_out()).select("doc_id").distinct()
+    known = rows.where("perplexity IS NOT NULL").join(good, "doc_id", "left_semi")
+    bins = {"q": F.ceil(F.log("perplexity") * GRID)}
+    known = stage.write(known.withColumn("everyone", F.lit(0)), "known")
+    overall = grid_quantiles(known, "everyone", bins, (quantile,)).select(F.exp(F.col("q_0") / GRID).alias("q")).first()
+    by_language = grid_quantiles(known, "key", bins, (quantile,)).select("key", "n", F.exp(F.col("q_0") / GRID).alias("q"))
+    pooled = F.lit(float(overall["q"]) if overall else 1e9)
+    limit = F.coalesce((F.col("n") * F.col("q") + SHRINK * pooled) / (F.col("n") + SHRINK), pooled)
     judged = rows.join(stage.write(by_language, "quantiles"), "key", "left").withColumn("threshold", limit)
-    return judged.select("doc_id", "lang", F.col("n_bytes"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    return judged.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
