@@ -24,7 +24,7 @@ def op4_perplexity(spark, sf_dir):
 
 def op5_repeats(spark, sf_dir):
     found = repeats.remove_repeats(read(spark, sf_dir, "documents"))
-    return found.withColumn("changed", found["n_removed"] > 0)
+    return found.withColumn("repeats_removed", found["n_removed"] > 0)
 
 
 def op6_pack(spark, sf_dir):

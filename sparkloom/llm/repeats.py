@@ -186,11 +186,13 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
         .select("k1", "k2", text.alias("bytes"), F.explode("runs").alias("r"))
         .select("k1", "k2", "r.*", F.expr("substring(bytes, cast(r.a - r.hi + 1 AS int), r.hi - r.lo + %d)" % depth).alias("text"))
     )
-    nodes = stage.write(nodes, "nodes0")
+    nodes, kept = stage.write(nodes, "nodes0"), ["pass0-spans"]
+    stage.only("nodes0", *kept)
     for i, width in enumerate(widths, 1):
         parts = nodes.mapInPandas(lambda b, w=width: _children(b, depth, w), _RUN_SCHEMA + ", live boolean")
         found, rest = _pass(stage, parts, f"pass{i}", i == len(widths))
         spans = spans.unionByName(found)
+        kept.append(f"pass{i}-spans")
         if rest is not None:
             n, r = nodes.alias("n"), rest.alias("r")
             same = [F.col(f"n.{k}") == F.col(f"r.{k}") for k in ("k1", "k2", "a")] + [F.col("n.lo") <= F.col("r.lo"), F.col("r.hi") <= F.col("n.hi")]
@@ -198,6 +200,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
                 n.join(r, same).select("r.*", F.expr("substring(n.text, n.hi - r.hi + 1, r.hi - r.lo + %d)" % depth).alias("text")).dropDuplicates(["k1", "k2", "a", "lo", "hi"]),
                 f"nodes{i}",
             )
+        stage.only(f"nodes{i}", *kept)
     return spans
 
 
