@@ -101,13 +101,14 @@ def _named(stage: Stage, rows: DataFrame, keys: list[str], carried: list[str], l
     return ranked.where("rid IS NOT NULL").join(offsets, "task").select(*carried, name.alias("name"))
 
 
-def block_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_identities(docs: DataFrame, block: int = BLOCK, stage: Stage | None = None) -> DataFrame:
     """(rid, doc_id, text_sha256, identity), one row for each row of ``docs``.
 
     rid numbers the rows. A null text counts as empty; an empty text is one empty block.
-    Two rows have the same identity exactly if their normalised texts are equal.
+    Two rows have the same identity exactly if their normalised texts are equal. The tables
+    that it reads are in ``stage``.
     """
-    stage = Stage(docs.sparkSession, "block-names")
+    stage = stage or Stage(docs.sparkSession, "block-names")
     content = F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8")
     rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
     cut = docs.select(rid.alias("rid"), "doc_id", content.alias("bytes")).withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("bytes") / block)).cast("int"))
@@ -149,7 +150,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     no rows.
     """
     stage = Stage(docs.sparkSession, "exact")
-    ids = stage.write(block_identities(docs, block), "identities")
+    ids = stage.write(block_identities(docs, block, stage), "identities")
+    stage.only("identities")
     best = ids.groupBy("identity").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     best = stage.write(best, "best")  # written, so that the join can split a large group's rows
     return ids.join(best, "identity").select(
