@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.staging import Stage
 
-from .common import ASCII_SPACE
+from .common import ASCII_SPACE, grid_quantiles
 from .hashing import window_hashes, word_hashes
 from .packing import WordTokenizer
 
@@ -40,6 +40,8 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 FENCE = 3.0
 SHRINK = 20
+#: Quartiles are of measures in steps of 1 / GRID.
+GRID = 1000
 #: Bands are meant for texts of this many words; shorter ones get wider bands.
 USUAL_WORDS = 200
 #: (measure, lowest, highest) that any group may have, and the least half-width as a share of the median.
@@ -87,7 +89,7 @@ def script(text: str) -> str:
 
 def repeated_words(data: np.ndarray, window: int = WINDOW) -> int:
     """Words inside word windows that the text has twice or more, the first time included."""
-    words = word_hashes(data)
+    words, _ = word_hashes(data, np.array([0, len(data)]))
     if len(words) <= window:
         return 0
     total = window_hashes(words, window)
@@ -145,10 +147,9 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def bands(rows: DataFrame, by: str = "group") -> DataFrame:
-    """(by, by_n, by_m_low, by_m_mid, by_m_high for each measure m): quartiles of the rows that pass the base rules."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    found = rows.where("NOT base_failed").groupBy(by).agg(F.count(F.lit(1)).alias(f"{by}_n"), *quartiles)
-    return found.select(by, f"{by}_n", *(F.col(m)[i].alias(f"{by}_{m}_{n}") for m in MEASURES for i, n in enumerate(("low", "mid", "high"))))
+    """(by, by_n, by_m_low, by_m_mid, by_m_high for each measure m): quartiles, down to 1 / ``GRID``, of the rows that pass the base rules."""
+    found = grid_quantiles(rows.where("NOT base_failed"), by, {m: F.floor(F.col(m) * GRID) for m in MEASURES}, (0.25, 0.5, 0.75))
+    return found.select(by, F.col("n").alias(f"{by}_n"), *((F.col(f"{m}_{i}") / GRID).alias(f"{by}_{m}_{n}") for m in MEASURES for i, n in enumerate(("low", "mid", "high"))))
 
 
 def quality_rules(docs: DataFrame, tokenizer_path: str, fence: float = FENCE, shrink: float = SHRINK) -> DataFrame:
