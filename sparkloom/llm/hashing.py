@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,37 +29,49 @@ def _value(code: np.ndarray) -> np.ndarray:
 _TABLE = _value(np.arange(_PLACES << 8))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text's bytes."""
-    space = np.concatenate([[True], SPACE[data], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    return edge[::2], edge[1::2]
+def text_bytes(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, bounds) of texts in a row, about ``most`` bytes at once or one longer text; nulls are empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, places, content = texts.buffers()
+    bounds = np.frombuffer(places, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data, at = np.frombuffer(content if content is not None else b"", np.uint8), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
+        yield data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]
+        at = end
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each word: the sum of values drawn for its bytes by place.
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): a hash of each word of several texts, and each text's first word.
 
-    Every place has values of its own, so no pattern of bytes makes two words alike, as it
-    does for polynomials modulo a power of two.
+    A word's hash is the sum of values drawn for its bytes by place. Every place has values
+    of its own, so no pattern of bytes makes two words alike, as it does for polynomials
+    modulo a power of two.
     """
-    starts, ends = word_bounds(data)
+    space = SPACE[data]
+    after, before = np.ones(len(data), bool), np.ones(len(data), bool)  # white space, or a text's edge, beside a byte
+    after[1:], before[:-1] = space[:-1], space[1:]
+    after[bounds[:-1][bounds[:-1] < len(data)]] = True
+    before[bounds[1:][bounds[1:] > 0] - 1] = True
+    word = ~space
+    starts, ends = np.flatnonzero(word & after), np.flatnonzero(word & before) + 1
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     code = (np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)) << 8
-    code += data[~SPACE[data]]
+    code += data[word]
     values = _TABLE[code] if lengths.max() <= _PLACES else _value(code)
-    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0x165667B19E3779F9)), np.searchsorted(starts, bounds)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, in order."""
-    n = len(words) - size + 1
+    """A hash of each run of ``size`` word hashes, in order: unrelated odd multiples of them, summed and mixed."""
+    n, factors = len(words) - size + 1, mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     total = np.full(n, np.uint64(size * 0x9E37), np.uint64)
     for i in range(size):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[i : n + i])
-    return total
+        total += words[i : n + i] * factors[i]
+    return mixed(total)
 
 
 def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -38,23 +38,30 @@ from sparkloom.operators.components import star_forest
 from sparkloom.staging import Stage
 
 from .common import put
-from .hashing import mixed, window_hashes, word_hashes
+from .hashing import mixed, text_bytes, window_hashes, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
 FREQUENT = 32
 MOST_COMBINED = 16
-CHUNK_TOKENS = 200_000
+CHUNK_TOKENS = 100_000
 #: Bits of the filter that keeps most documents' tokens from being sent; a power of two.
 FILTER_BITS = 1 << 24
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's ``size``-word shingles; of fewer words, one for all."""
-    words = word_hashes(np.frombuffer((text or "").encode().translate(_LOWER), np.uint8))
-    return np.unique(window_hashes(words, min(size, len(words)))) if len(words) else words
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's ``size``-word shingles; of fewer words, one for all."""
+    for data, bounds in text_bytes(texts):
+        words, first = word_hashes(_LOWER[data], bounds)
+        shingles = window_hashes(words, size) if len(words) >= size else words
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a < size:
+                yield window_hashes(words[a:b], b - a) if b > a else words[:0]
+            else:
+                s = np.sort(shingles[a : b - size + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def need(n, percent: int = PERCENT):
@@ -79,9 +86,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = (shingle_set(t.as_py(), size) for t in b.column("text"))
         n, high, low, prefix = [], [], [], []
-        for s in sets:
+        for s in shingle_sets(b.column("text"), size):
             n.append(len(s))
             h, l = _digest(s)
             high.append(h)
@@ -118,8 +124,7 @@ def _sets(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
         sent: set[tuple[int, int]] = set()
         for b in batches:
             high, low, sets = [], [], []
-            for text in b.column("text"):
-                s = shingle_set(text.as_py(), size)
+            for s in shingle_sets(b.column("text"), size):
                 h, l = _digest(s)
                 at = int(_bit(np.array([h]), FILTER_BITS)[0])
                 if len(s) and (h, l) not in sent and int(mask.value[at >> 6]) >> (at & 63) & 1:
@@ -310,6 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     # Sets that no filter let through are components of their own.
     component = F.when(F.col("n") > 0, F.coalesce(F.col("group").cast("string"), F.concat_ws(":", "high", "low")))
     rows = stage.write(signed.join(named, ["high", "low"], "left").select(*keys, "n", component.alias("component")), "rows")
+    stage.only("rows")
     least = stage.write(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "component", "left")
     return out.select(*keys, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "component")

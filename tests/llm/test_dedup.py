@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import exact, jaccard, repeats
@@ -149,7 +150,8 @@ def thue_morse(n, a, b):
 def test_patterns_that_polynomial_hashes_confuse(spark):
     """Two strings that any polynomial modulo 2**64 takes for the same."""
     one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
-    assert not set(jaccard.shingle_set(one)) & set(jaccard.shingle_set(two))
+    first, second = jaccard.shingle_sets(pa.array([one, two]))
+    assert not set(first) & set(second)
     rows = [(1, one, None, None, None), (2, two, None, None, None), (3, " ".join([one[:1024], two[:1024]] * 4), None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
@@ -166,6 +168,16 @@ def test_patterns_that_polynomial_hashes_confuse(spark):
         assert r.n_removed == len(gone)
 
 
+def test_shingles_of_texts_in_a_row(monkeypatch):
+    texts = [t for _, t, *_ in corpus()]
+    alone = [next(jaccard.shingle_sets(pa.array([t], pa.string()))).tolist() for t in texts]
+    assert [s.tolist() for s in jaccard.shingle_sets(pa.array(texts, pa.string()))] == alone
+    assert [s.tolist() for s in jaccard.shingle_sets(pa.array(["x y", *texts, "z"], pa.large_string()).slice(1, len(texts)))] == alone
+    want = brute_sets(corpus(), 4)
+    assert [len(s) for s in alone] == [len(want[k]) for k in range(len(texts))]
+    assert list(jaccard.shingle_sets(pa.array([], pa.string()))) == []
+
+
 def test_large_ids_beside_null(spark):
     docs = spark.createDataFrame([(2**60 + 1, "a b c d e", None, None, None), (None, "a b c d e f", None, None, None)], SCHEMA).coalesce(1)
     for found in (exact.exact_duplicates(docs), jaccard.near_duplicates(docs), repeats.remove_repeats(docs)):

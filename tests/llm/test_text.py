@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -141,6 +142,30 @@ def test_chat_events(spark):
     assert got == {(1, 0): ("user", "Hi!"), (1, 1): ("assistant", "Hello"), (1, 2): ("user", "More?"), (1, 3): ("assistant", "good"), (2, 0): ("user", "q"), (2, 1): ("assistant", "a2"), (3, 0): ("user", "")}
 
 
+def test_long_conversation(spark):
+    rows = spark.range(12_000).selectExpr("1L AS conv_id", "id AS seq", "CASE WHEN id % 1000 = 999 THEN 'regenerate' ELSE 'delta' END AS op", "id div 3 AS turn", "'assistant' AS role", "cast(id AS string) AS text")
+    got = {r.turn: r.text for r in chat.fold_events(rows).collect()}
+    want = {}
+    for i in range(12_000):
+        if i % 1000 == 999:
+            want = {t: x for t, x in want.items() if t < i // 3}
+        else:
+            want[i // 3] = want.get(i // 3, "") + str(i)
+    assert got == want
+
+
+def test_very_long_texts(spark):
+    """One text of a megabyte for every operator that reads texts whole."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(180_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", 0), (2, "short text", "en", "s", 0), (3, "x" * 300_000, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    rules = {r.doc_id: r for r in fertility.quality_rules(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
+    assert rules[1].n_words == 180_000 and rules[3].word_chars == 300_000
+    assert {r.doc_id: r.n_bytes for r in ngram_lm.perplexity_filter(docs, labels, chunk_bytes=100_000).collect()} == {1: len(long), 2: 10, 3: 300_000}
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 3
+
+
 def test_fertility(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice("the of and time people water between important because language river under".split()) + f"{rng.choice(['', ',', '.'])}" for _ in range(150)) for _ in range(220)]
@@ -190,7 +215,8 @@ def kneser_ney(texts, order):
     for k, c in counts.items():
         n = Counter(c.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        discount[k] = [min(max(i - (i + 1) * y * (n[i + 1] / n[i] if n[i] else 0), 0), i) for i in (1, 2, 3)]
+        estimates = [i - (i + 1) * y * (n[i + 1] / n[i] if n[i] else 0) for i in (1, 2, 3)]
+        discount[k] = [min(d if d > 0 else y, i) for i, d in enumerate(estimates, 1)]
         context[k] = Counter(), Counter()
         for g, v in c.items():
             context[k][0][g[:-1]] += v
@@ -216,7 +242,9 @@ def test_perplexity(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(140)] + [(150, 0, 0), (None, 1, 0), (141, None, None)], "doc_id long, quality int, toxic int")
     rows = ngram_lm.perplexity_filter(docs, labels, order=4, chunk_bytes=5000).collect()
     assert len(rows) == len(texts) + 1
-    p = kneser_ney([t.encode() for t in [*texts[:140], texts[3]]], 4)
+    held = {r.doc_id for r in labels.where(ngram_lm.held_out()).collect()}
+    assert 10 < len(held & set(range(140))) < 60
+    p = kneser_ney([texts[i].encode() for i in [*range(140), 3] if i not in held], 4)
     for r in rows:
         data = (texts[r.doc_id] or "").encode()
         padded = b"\n" * 3 + data
@@ -226,7 +254,7 @@ def test_perplexity(spark):
             assert r.perplexity == pytest.approx(want, rel=1e-9)
         assert r.kept == bool(data and r.perplexity <= r.threshold)
     kept = {r.doc_id for r in rows if r.kept}
-    assert len(kept & set(range(150))) >= 148 and 150 not in kept and 151 not in kept
+    assert len(kept & set(range(150))) >= 140 and 150 not in kept and 151 not in kept
     assert ngram_lm.perplexity_filter(docs, labels.limit(0)).where("kept").count() == len(texts) - 2 + 1
     assert ngram_lm.perplexity_filter(docs.limit(0), labels).count() == 0
 
@@ -239,7 +267,7 @@ def test_perplexity_order(spark):
     docs = spark.createDataFrame([(i, t, "xx", None, None) for i, t in enumerate(texts)], SCHEMA)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in ngram_lm.perplexity_filter(docs, labels).where("kept").collect()}
-    assert len(kept) >= 145 and max(kept) < 150
+    assert len(kept) >= 135 and max(kept) < 150
 
 
 def test_perplexity_threshold_of_a_small_language(spark):
@@ -250,9 +278,19 @@ def test_perplexity_threshold_of_a_small_language(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(260)], "doc_id long, quality int, toxic int")
     got = ngram_lm.perplexity_filter(docs, labels).collect()
     limit = {r.lang: r.threshold for r in got}
-    own = max(r.perplexity for r in got if r.lang == "xx")
-    assert limit["yy"] != pytest.approx(1.05 * own)
-    assert limit["xx"] == pytest.approx((60 * 1.05 * own + 50 * limit["yy"]) / 110)
+    held = {r.doc_id for r in labels.where(ngram_lm.held_out()).collect()}
+    of_held = [r.perplexity for r in got if r.lang == "xx" and r.doc_id in held]
+    assert 5 < len(of_held) < 25 and limit["yy"] != pytest.approx(max(of_held))
+    assert limit["xx"] == pytest.approx((len(of_held) * max(of_held) + 50 * limit["yy"]) / (len(of_held) + 50), rel=3e-4)
+
+
+def test_no_perplexity_is_infinite(spark):
+    """Counts of which none is below 3, where the estimated discount is not positive, and bytes never seen."""
+    texts = ["ab" * 30, "abab" * 20] * 6 + ["zz\u00e9 ab", "ba" * 9]
+    docs = spark.createDataFrame([(i, t, "xx", None, None) for i, t in enumerate(texts)] + [(2**60 + 1, "ab", "xx", None, None), (None, "ba", None, None, None)], SCHEMA).repartition(2)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = ngram_lm.perplexity_filter(docs, labels).collect()
+    assert len(got) == len(texts) + 2 and all(math.isfinite(r.perplexity) for r in got) and {2**60 + 1, None} <= {r.doc_id for r in got}
 
 
 def test_discounts_are_positive(spark):
@@ -292,6 +330,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_large_ids_beside_null(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b c", "en", None, None), (None, "a b", None, None, None)], SCHEMA).coalesce(1)
+    pages = spark.createDataFrame([(big, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    labels = spark.createDataFrame([(big, 1, 0)], "doc_id long, quality int, toxic int")
+    found = [packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json")), fertility.quality_rules(docs, tokenizer_file("piece_bpe_32k.model")), toxicity.score(docs, toxicity.fit(docs, labels))]
+    for f in found:
+        assert {r.doc_id for r in f.collect()} == {big, None}
+    assert {r.page_id for r in html_crf.extract(pages).collect()} == {big, None}
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(1)
     score = rng.normal(size=500)
@@ -299,6 +348,79 @@ def test_isotonic_rises():
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 <= y[0] and y[-1] <= 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_against_a_plain_version(seed):
+    """Every split tried one by one on the same cut points."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(70, 4)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=70) > 0).astype(float)
+    trees = toxicity.Trees(depth=2, rounds=4, bins=6).fit(x, y)
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, 7)[1:-1]))) for j in range(4)]
+    score = np.full(70, np.log(y.mean() / (1 - y.mean())))
+
+    def gain(g, h):
+        return g**2 / (h + trees.ridge)
+
+    def grow(rows, depth, grad, hess):
+        best = (1e-6, None)
+        for j in range(4) if depth else ():
+            for c in cuts[j]:
+                left, right = [i for i in rows if x[i, j] <= c], [i for i in rows if x[i, j] > c]
+                if hess[left].sum() >= 0.5 and hess[right].sum() >= 0.5:
+                    g = gain(grad[left].sum(), hess[left].sum()) + gain(grad[right].sum(), hess[right].sum()) - gain(grad[rows].sum(), hess[rows].sum())
+                    if g > best[0] + 1e-12:
+                        best = (g, left, right)
+        if best[1] is None:
+            return {i: trees.rate * grad[rows].sum() / (hess[rows].sum() + trees.ridge) for i in rows}
+        return grow(best[1], depth - 1, grad, hess) | grow(best[2], depth - 1, grad, hess)
+
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-score))
+        leaves = grow(list(range(70)), 2, y - p, np.maximum(p * (1 - p), 1e-6))
+        score = score + np.array([leaves[i] for i in range(70)])
+    assert trees.raw(x) == pytest.approx(score, rel=1e-9)
+
+
+def test_isotonic_is_the_best_rising_fit():
+    """The least-squares fit by the max-min formula over all runs."""
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 40):
+        score, y = np.sort(rng.normal(size=n)), rng.integers(0, 2, n).astype(float)
+        want = [max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.interp(score, *toxicity.isotonic(score, y)) == pytest.approx(want)
+
+
+def test_fertility_verdicts_by_brute_force(spark):
+    """kept from plain quartiles and fences, with groups small enough for exact quartiles."""
+    path, rng = tokenizer_file("piece_bpe_32k.model"), random.Random(11)
+    vocabulary = "the of and time people water between important because language river under".split()
+    texts = [(" ".join(rng.choice(vocabulary) + ("x" * rng.randrange(9) if rng.random() < i / 90 else "") for _ in range(rng.randrange(15, 300))), rng.choice(["en", "en", "xx", None])) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, (t, lang) in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in fertility.quality_rules(docs, path).collect()}
+    tokenizer = fertility._tokenizer(path)
+    measures = {i: dict(zip(fertility._COLUMNS, fertility.measure(t, tokenizer))) for i, (t, _) in enumerate(texts)}
+    failed = {i: m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"] for i, m in measures.items()}
+    group = {i: f"lang:{lang}" if lang else f"script:{measures[i]['script']}" for i, (_, lang) in enumerate(texts)}
+
+    def quartiles(rows, name):
+        v = sorted(math.floor(measures[i][name] * 1000) / 1000 for i in rows)
+        return [v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.5, 0.75)]
+
+    everyone, verdicts = [i for i in measures if not failed[i]], Counter()
+    for i, m in measures.items():
+        mine = [j for j in everyone if group[j] == group[i]]
+        own, ok = len(mine) / (len(mine) + 20), not failed[i]
+        wide = math.sqrt(max(1.0, 200 / max(m["n_words"], 1)))
+        for name, lowest, highest in fertility.FIXED:
+            low, mid, high = (own * a + (1 - own) * b for a, b in zip(quartiles(mine, name), quartiles(everyone, name)))
+            half = max(3 * (high - low), 0.1 * abs(mid)) * wide + abs(quartiles(mine, name)[1] - mid)
+            ok &= lowest is None or (m[name] >= lowest and m[name] >= low - half)
+            ok &= highest is None or (m[name] <= highest and m[name] <= high + half + (0.02 if name == "byte_share" else 0))
+        assert (got[i].base_failed, got[i].kept) == (failed[i], ok), i
+        verdicts[ok] += 1
+    assert min(verdicts.values()) > 3
+
+
 def test_crf_on_unseen_layouts():
     crf, right, total = html_crf.trained(), 0, 0
     for blocks, labels in html_crf.labelled_pages(150, seed=4242):
@@ -307,6 +429,32 @@ def test_crf_on_unseen_layouts():
     assert right / total > 0.98
 
 
+def test_pages_labelled_by_hand():
+    """Block F1 on pages that have nothing to do with the training pages' generator."""
+    from labelled_pages import PAGES
+
+    crf, right, said, true = html_crf.trained(), 0, 0, 0
+    for html, want in PAGES:
+        got = html_crf.main_text(html, crf).split("\n")
+        both = sum((Counter(got) & Counter(want)).values())
+        right, said, true = right + both, said + len(got), true + len(want)
+    assert 2 * right / (said + true) > 0.9
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 17_000, "<a " * 34_000, "<b> </b>" * 12_000, "<div>" * 9_000 + "</p>" * 12_000, '<a "' * 25_000 + ">x", "<div class='" + "menu " * 9_000 + "'>" + "<p>x" * 12_000])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    html_crf.main_text(page, html_crf.trained())
+    assert time.process_time() - began < 6  # seconds; a quadratic parser takes minutes
+
+
+def test_what_a_slash_closes():
+    texts = lambda html: [b.text for b in html_crf.parse_blocks(html)]
+    assert texts('<script src="a.js"/>var secret=1;</script><p>ok') == ["ok"]
+    assert texts("<p>one<br/>two<div/>three <a href=/x/>four</a>") == ["one two", "three four"]
+    assert texts('<svg><path d="x"/></svg><p>a <svg/>b') == ["a b"]
+
+
 def test_viterbi_is_best():
     crf = html_crf.Crf({"a": 1.5, "b": -2.0}, np.array([[0.5, -1.0], [-0.7, 0.9]]), np.array([0.1, -0.2]))
     rng = random.Random(1)
@@ -332,20 +480,74 @@ def test_extraction(spark):
 
 
 def test_pipeline_stages(spark, tmp_path):
+    """Every stage's rows from a plain version of it over the stage's own input."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     rng = random.Random(3)
-    base = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
-    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(5, 90))), "en", f"s{i % 3}", 1) for i in range(40)]
-    rows += [(100, base, "en", "s0", 1), (101, base.upper(), "en", "s0", 1), (102, base + " tail", "en", "s1", 1), (103, None, None, None, None), (104, "", "en", "s1", 0)]
+    prose = lambda n: " ".join(f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(n))
+    base = prose(120)
+    texts = [prose(rng.randrange(5, 90)) for _ in range(120)]
+    texts = [f"{t} grobian you nitwit {t[:40]} dullard" if i % 6 == 0 else t for i, t in enumerate(texts)]
+    rows = [(i, t, "en", f"s{i % 3}", i) for i, t in enumerate(texts)]
+    rows += [(200, base, "en", "s0", 1), (201, base.upper(), "en", "s0", 1), (202, base + " tail", "en", "s1", 1), (203, None, None, None, None), (204, "", "en", "s1", 0), (2**60 + 1, base[:-30], "en", "s1", 0)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    seen = []
-    for i, (name, step) in enumerate(corpus_pipeline.STAGES):
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs, after = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    score = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    for i, (_, step) in enumerate(corpus_pipeline.STAGES):
         step(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / str(i)))
         before, docs = docs, spark.read.parquet(str(tmp_path / str(i)))
-        seen.append(docs.count())
         assert i == 4 or docs.columns == before.columns
-    assert seen[:3] == [45, 43, 42]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1]
+        after.append([tuple(r) for r in docs.collect()])
+    by = lambda found: sorted(found, key=str)
+
+    clean = [r for r in rows if not score[r[0]]]
+    assert by(after[0]) == by(clean) and 15 < len(rows) - len(clean) < 30
+    best = {}
+    for r in clean:
+        key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or "")
+        best[key] = max(best.get(key, r), r, key=lambda x: x[0])
+    assert by(after[1]) == by(best.values())
+
+    def shingles(text):
+        w = WORD.findall((text or "").lower())
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, parent = {r[0]: shingles(r[1]) for r in best.values()}, {r[0]: r[0] for r in best.values()}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    assert by(after[2]) == by(r for r in best.values() if root(r[0]) == r[0]) and len(after[2]) < len(after[1])
+
+    copies, words, taken = Counter(r[0] for r in after[3]), Counter(), Counter()
+    assert set(after[3]) <= set(after[2]) and max(copies.values()) <= 3
+    for _, t, _, source, _ in after[2]:
+        words[source] += len(WORD.findall(t or ""))
+    for _, t, _, source, _ in after[3]:
+        taken[source] += len(WORD.findall(t or ""))
+    names = sorted(s for s in words if s is not None)
+    target = {s: sum(words.values()) * w / 8 for s, w in zip(names, (5, 2, 1))}
+    assert words[None] == 0 and all(abs(taken[s] - target[s]) <= 180 for s in names) and max(target[s] / words[s] for s in names) < 3
+
+    tokenizer, pieces, tokens = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), Counter(), Counter()
+    for i, t, *_ in after[3]:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        tokens[i, 0, len(ids), zlib.crc32(ids.tobytes()), len(ids)] += 1
+    places = {}
+    for r in docs.collect():
+        pieces[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces == tokens
+    assert all(sorted(p) == [(sum(n for o, n in p if o < at), length) for at, length in sorted(p)] and sum(n for _, n in p) <= 4096 for p in places.values())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after[4])
