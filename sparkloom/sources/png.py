@@ -48,32 +48,32 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 def _unfilter(raw: bytes, at: int, height: int, stride: int, step: int) -> tuple[np.ndarray, int]:
     """Filtered rows to bytes; ``step`` is the distance to the pixel on the left."""
-    out = np.zeros((height, stride), np.uint8)
-    above = np.zeros(stride, np.int32)
-    for y in range(height):
-        if at + 1 + stride > len(raw):
-            raise PngError("too little image data")
-        kind, row = raw[at], np.frombuffer(raw, np.uint8, stride, at + 1).astype(np.int32)
-        at += 1 + stride
-        if kind == 2:
-            row = (row + above) & 255
-        elif kind == 1:
-            for c in range(step):
-                row[c::step] = np.cumsum(row[c::step]) & 255
-        elif kind in (3, 4):
-            for x in range(stride):
-                left, up = (row[x - step] if x >= step else 0), above[x]
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    corner = above[x - step] if x >= step else 0
-                    base = left + up - corner
-                    guess = min((left, up, corner), key=lambda v, b=base: abs(b - v))
-                row[x] = (row[x] + guess) & 255
-        elif kind:
-            raise PngError(f"unknown filter {kind}")
-        out[y], above = row, row
-    return out, at
+    if at + height * (1 + stride) > len(raw):
+        raise PngError("too little image data")
+    rows = np.frombuffer(raw, np.uint8, height * (1 + stride), at).reshape(height, 1 + stride)
+    kinds, width = rows[:, 0], stride // step
+    if kinds.max() > 4:
+        raise PngError(f"unknown filter {kinds.max()}")
+    # A byte needs those on its left, above and above left: all bytes of a diagonal are ready at once.
+    out = np.zeros((height + 1, width + 1, step), np.int32)
+    out[1:, 1:] = rows[:, 1:].reshape(height, width, step)
+    if (kinds > 2).any():
+        for d in range(width + height - 1):
+            y = np.arange(max(0, d - width + 1), min(height - 1, d) + 1)
+            x, kind = d - y, kinds[y][:, None]
+            left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+            base = left + above - corner
+            by_left, by_above, by_corner = abs(base - left), abs(base - above), abs(base - corner)
+            nearest = np.where((by_left <= by_above) & (by_left <= by_corner), left, np.where(by_above <= by_corner, above, corner))
+            guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) >> 1, nearest], 0)
+            out[y + 1, x + 1] = (out[y + 1, x + 1] + guess) & 255
+    else:
+        for y in range(height):
+            if kinds[y] == 1:
+                out[y + 1, 1:] = np.cumsum(out[y + 1, 1:], axis=0) & 255
+            elif kinds[y] == 2:
+                out[y + 1] = (out[y + 1] + out[y]) & 255
+    return out[1:, 1:].reshape(height, stride).astype(np.uint8), at + height * (1 + stride)
 
 
 def _samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
