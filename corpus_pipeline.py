@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, stage = read(spark, sf_dir, "documents"), Stage(spark, "pipeline")
     for i, (_, step) in enumerate(STAGES):
         docs = stage.write(step(spark, docs, sf_dir), f"stage{i}")
+        stage.only(f"stage{i}")
     return docs
