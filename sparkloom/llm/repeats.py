@@ -205,8 +205,8 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
 
 
 def _cut(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if with_text else [])]
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if with_text else [])]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_chars", *(["kept", "spans"] if with_text else [])]
     for batch in batches:
         rows = []
         for text, spans in zip(batch.column("text"), batch.column("spans")):
@@ -221,14 +221,15 @@ def _cut(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) -> Iter
                 kept.append(data[at:begin])
                 removed, at = removed + end - begin, end
             left = b"".join([*kept, data[at:]])
-            rows.append((len(data), removed, len(runs), hashlib.sha256(left).hexdigest(), *([left, runs] if with_text else [])))
+            rows.append((len(data), removed, len(runs), hashlib.sha256(left).hexdigest(), len(left.decode(errors="ignore")), *([left, runs] if with_text else [])))
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths=WIDTHS, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_chars.
 
+    kept_chars counts the whole characters that remain.
     ``with_text`` adds kept (the bytes that remain) and spans (the removed [from, to)).
     A null text is empty. Repeated rows count as two places, so both lose what they share.
     Texts under ``depth`` bytes keep all. Removal is by bytes: what is kept need not be
@@ -236,5 +237,5 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
     """
     spans = repeated_spans(docs, depth, gram, widths).groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "last")).alias("spans"))
     joined = _keyed(docs).select("doc_id", "text", "k1", "k2").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_chars long" + ", kept binary, spans array<array<long>>" * with_text
     return joined.mapInArrow(lambda b: _cut(b, depth, with_text), schema)

@@ -210,6 +210,7 @@ def test_repeats(docs, depth, gram, widths):
     got = repeats.remove_repeats(docs, depth, gram, widths, with_text=True).collect()
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted(want)
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and sum(b - a for a, b in r.spans) == r.n_removed for r in got)
+    assert all(r.kept_chars == len(bytes(r.kept).decode(errors="ignore")) for r in got)
 
 
 def test_segments_of_long_texts(monkeypatch):
