@@ -19,6 +19,10 @@ runs and the digits are taken in an order that suits runs:
 Runs count as equal by the BLAKE2b-128 digest of all their bytes; the digits that deal them
 into groups are plain hashes, which can only bring unequal runs together. Groups are only counted, by aggregation with partial sums, and joined back; no task sees
 all members of a group, however large.
+
+Passages of over 50 words that occur in another document too can be shorter than ``DEPTH``
+bytes. They are marked, not removed: the same passes go over windows of words, the anchor
+being a string of ``WORD_GRAM`` words, and end for a document with its first shared run.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.staging import Stage
 
-from .hashing import digests, mixed
+from .hashing import digests, mixed, window_hashes, word_hashes
 
 DEPTH = 400
 GRAM = 128
@@ -42,6 +46,11 @@ GRAM = 128
 WIDTHS = (35, 5, 1)
 #: Windows handled at once within a text; longer texts go in several segments.
 SEGMENT = 1 << 20
+#: Words of the shortest passage that is marked, and of its anchor.
+PASSAGE = 51
+WORD_GRAM = 12
+#: Word windows of a text handled at once; longer texts go in several segments.
+WORD_SEGMENT = 1 << 16
 
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -70,6 +79,22 @@ class Hashes:
         return mixed((self.sums[end] - self.sums[start]) * self.inverses[start])
 
 
+def _anchors(digit: np.ndarray, wide: int) -> np.ndarray:
+    """For each window of ``wide`` grams the place of its least hash, by prefix and suffix minima of blocks.
+
+    The position in the low bits makes it the leftmost.
+    """
+    windows = len(digit) - wide + 1
+    key = (digit & ~np.uint64(0xFFFFFF)) | np.arange(len(digit), dtype=np.uint64)
+    padded = np.full(-(-len(key) // wide) * wide, ~np.uint64(0))
+    padded[: len(key)] = key
+    blocks = padded.reshape(-1, wide)
+    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
+    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(suffix[:windows], prefix[wide - 1 : wide - 1 + windows])
+    return (least & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
 def window_runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor, lo, hi, first digit, two halves of the hull's digest) of each run of windows.
 
@@ -83,16 +108,7 @@ def window_runs(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> Itera
         hashes = Hashes(part)
         grams = np.arange(len(part) - gram + 1)
         digit = hashes.of(grams, grams + gram)
-        # The least hash of each window's grams by prefix and suffix minima of blocks; the
-        # position in the low bits makes it the leftmost.
-        key = (digit & ~np.uint64(0xFFFFFF)) | grams.astype(np.uint64)
-        padded = np.full(-(-len(key) // wide) * wide, ~np.uint64(0))
-        padded[: len(key)] = key
-        blocks = padded.reshape(-1, wide)
-        prefix = np.minimum.accumulate(blocks, axis=1).ravel()
-        suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(suffix[:windows], prefix[wide - 1 : wide - 1 + windows])
-        anchors = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+        anchors = _anchors(digit, wide)
         first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
         last = np.concatenate([first[1:] - 1, [windows - 1]])
         at = anchors[first]
@@ -176,7 +192,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
     """(k1, k2, from, last): starts from ... last of windows that start elsewhere too."""
     stage = Stage(docs.sparkSession, "repeats")
     keyed = _keyed(docs).select("k1", "k2", "text")
-    runs = keyed.where(F.octet_length("text") >= depth).mapInPandas(lambda b: _level0(b, depth, gram), _RUN_SCHEMA).withColumn("live", F.lit(True))
+    runs = stage.write(keyed.where(F.octet_length("text") >= depth).mapInPandas(lambda b: _level0(b, depth, gram), _RUN_SCHEMA), "runs").withColumn("live", F.lit(True))
     spans, rest = _pass(stage, runs, "pass0", False)
     asked = rest.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "lo", "hi", "live")).alias("runs"))
     text = F.encode("text", "UTF-8")
@@ -204,6 +220,103 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths
     return spans
 
 
+def word_runs(pieces: list[list[bytes]], size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(piece, anchor, lo, hi, first digit, two halves of the hull's digest) of each run of word windows.
+
+    Each piece has ``size`` words at least; places are counted in its words. White space
+    between words is one space in the digests.
+    """
+    joined = b"".join([b" ".join(words) + b" " for words in pieces])
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.flatnonzero(data == 0x20)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    counts = np.array([len(words) for words in pieces])
+    first_word = np.cumsum(counts) - counts
+    bounds = np.concatenate([starts[first_word], [len(data)]])
+    digit = window_hashes(word_hashes(data, bounds)[0], gram)
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    inside = np.flatnonzero(owner[: len(owner) - size + 1] == owner[size - 1 :])
+    anchors = _anchors(digit, size - gram + 1)[inside]
+    change = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+    first, last = inside[np.concatenate([[0], change])], inside[np.concatenate([change - 1, [len(inside) - 1]])]
+    at = anchors[np.concatenate([[0], change])]
+    hull = digests(joined, starts[first], ends[last + size - 1])
+    return owner[first], at - first_word[owner[first]], at - last, at - first, digit[at].view(np.int64), hull[:, 0], hull[:, 1]
+
+
+def _word_level0(batches: Iterator[pd.DataFrame], size: int, gram: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+        pieces, rows, bases, n = [], [], [], 0
+        for i, text in enumerate(batch["text"]):
+            words = text.encode().split()  # at ASCII white space
+            for base in range(0, len(words) - size + 1, WORD_SEGMENT):
+                pieces.append(words[base : base + WORD_SEGMENT + size - 1])
+                rows.append(i)
+                bases.append(base)
+                n += len(pieces[-1])
+                if n >= WORD_SEGMENT:
+                    yield _word_frame(k1, k2, pieces, rows, bases, size, gram)
+                    pieces, rows, bases, n = [], [], [], 0
+        if pieces:
+            yield _word_frame(k1, k2, pieces, rows, bases, size, gram)
+
+
+def _word_frame(k1, k2, pieces, rows, bases, size, gram) -> pd.DataFrame:
+    owner, a, lo, hi, core, hull1, hull2 = word_runs(pieces, size, gram)
+    row = np.array(rows)[owner]
+    return pd.DataFrame({"k1": k1[row], "k2": k2[row], "a": a + np.array(bases)[owner], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "core": core, "hull1": hull1, "hull2": hull2})
+
+
+def _word_windows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The digest of each window of the runs asked for."""
+    for batch in batches:
+        k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+        rows, hulls, n = [], [], 0
+        for i, (text, runs) in enumerate(zip(batch["text"], batch["runs"])):
+            joined = b" ".join(text.encode().split()) + b" "
+            ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            at = np.concatenate([np.arange(r["a"] - r["hi"], r["a"] - r["lo"] + 1) for r in runs])
+            hulls.append(digests(joined, starts[at], ends[at + size - 1]))
+            rows.append(np.full(len(at), i))
+            n += len(at)
+            if n >= WORD_SEGMENT or i == len(batch) - 1:
+                row, hull = np.concatenate(rows), np.concatenate(hulls)
+                yield pd.DataFrame({"k1": k1[row], "k2": k2[row], "hull1": hull[:, 0], "hull2": hull[:, 1]})
+                rows, hulls, n = [], [], 0
+
+
+def _by_documents(rows: DataFrame, *by: str, **more) -> DataFrame:
+    """Groups, with ``many``: more than one document has rows in it."""
+    ends = [f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
+    return rows.groupBy(*by).agg(*ends, *(v.alias(k) for k, v in more.items())).withColumn("many", F.expr("min_k1 <> max_k1 OR min_k2 <> max_k2")).select(*by, *more, "many")
+
+
+def shared_passages(docs: DataFrame, size: int = PASSAGE, gram: int = WORD_GRAM) -> DataFrame:
+    """(k1, k2) of the documents with ``size`` words in a row that another document has too.
+
+    A document whose run of windows is shared as a whole is settled. The others' runs that
+    share an anchor with another document are compared window by window, with one
+    representative of each different run at that anchor.
+    """
+    stage = Stage(docs.sparkSession, "passages")
+    keyed = _keyed(docs).select("k1", "k2", "text")
+    runs = stage.write(keyed.where(F.octet_length("text") >= 2 * size - 1).mapInPandas(lambda b: _word_level0(b, size, gram), _RUN_SCHEMA), "runs")
+    cores = stage.write(_by_documents(runs, "core").where("many").select("core"), "cores")
+    shared = stage.write(runs.join(cores, "core", "left_semi"), "shared")
+    stage.only("shared")
+    groups = stage.write(_by_documents(shared, "hull1", "hull2", core=F.min("core"), one=F.min(F.struct("k1", "k2", "a", "lo", "hi"))), "groups")
+    whole = stage.write(shared.join(groups.where("many"), ["hull1", "hull2"], "left_semi").select("k1", "k2").distinct(), "whole")
+    open_ = stage.write(shared.join(whole, ["k1", "k2"], "left_anti").select("core").distinct(), "open")
+    asked = groups.join(open_, "core", "left_semi").select("one.*").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "lo", "hi")).alias("runs"))
+    windows = stage.write(keyed.join(asked, ["k1", "k2"]).mapInPandas(lambda b: _word_windows(b, size), "k1 long, k2 long, hull1 long, hull2 long"), "windows")
+    again = stage.write(_by_documents(windows, "hull1", "hull2").where("many").select("hull1", "hull2"), "again")
+    parts = stage.write(windows.join(again, ["hull1", "hull2"], "left_semi").select("k1", "k2").distinct(), "parts")
+    stage.only("whole", "parts")
+    return whole.union(parts).distinct()
+
+
 def _cut(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if with_text else [])]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_chars", *(["kept", "spans"] if with_text else [])]
@@ -223,19 +336,22 @@ def _cut(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) -> Iter
             left = b"".join([*kept, data[at:]])
             rows.append((len(data), removed, len(runs), hashlib.sha256(left).hexdigest(), len(left.decode(errors="ignore")), *([left, runs] if with_text else [])))
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("shared").fill_null(False)], names=["doc_id", *names, "shared_passage"])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, widths=WIDTHS, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_chars.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_chars, shared_passage.
 
-    kept_chars counts the whole characters that remain.
+    kept_chars counts the whole characters that remain. shared_passage: over 50 words in a
+    row are in another document too, be they shorter than ``depth`` bytes and so left or not.
     ``with_text`` adds kept (the bytes that remain) and spans (the removed [from, to)).
     A null text is empty. Repeated rows count as two places, so both lose what they share.
     Texts under ``depth`` bytes keep all. Removal is by bytes: what is kept need not be
     valid UTF-8 if a window ended inside a character.
     """
-    spans = repeated_spans(docs, depth, gram, widths).groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "last")).alias("spans"))
-    joined = _keyed(docs).select("doc_id", "text", "k1", "k2").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_chars long" + ", kept binary, spans array<array<long>>" * with_text
+    found = repeated_spans(docs, depth, gram, widths).select("k1", "k2", F.struct("from", "last").alias("span"), F.lit(False).alias("shared"))
+    marks = shared_passages(docs).select("k1", "k2", F.lit(None).cast(found.schema["span"].dataType).alias("span"), F.lit(True).alias("shared"))
+    found = found.union(marks).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"), F.max("shared").alias("shared"))
+    joined = _keyed(docs).select("doc_id", "text", "k1", "k2").join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "shared")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_chars long" + ", kept binary, spans array<array<long>>" * with_text + ", shared_passage boolean"
     return joined.mapInArrow(lambda b: _cut(b, depth, with_text), schema)

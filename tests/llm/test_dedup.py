@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -213,6 +214,36 @@ def test_repeats(docs, depth, gram, widths):
     assert all(r.kept_chars == len(bytes(r.kept).decode(errors="ignore")) for r in got)
 
 
+def test_shared_passages(spark, monkeypatch):
+    rng = random.Random(8)
+    short = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(10)) for _ in range(n))
+    passages = {n: short(n) for n in (49, 50, 51, 52, 59, 130)}
+    texts = [None, "", short(50), short(51)]
+    for passage in passages.values():
+        texts += [f"{short(rng.randrange(70))} {passage} {short(40)}", f"{short(9)}\n{passage.replace(' ', '  ', 3)}\t{short(90)}"]
+    twice = short(60)
+    texts += [f"{twice} {short(5)} {twice}", passages[51], "the " * 90, "the " * 51, "the " * 50, f"{short(30)} {passages[52]} {twice[:-2]}", f"é {short(80)}"]
+    texts += [f"{texts[-1]} {short(30)}", short(400)]
+    texts.append(texts[-1][:300] + " edit " + texts[-1][300:])
+    seen = {}
+    words = [WORD.findall(t or "") for t in texts]
+    for i, w in enumerate(words):
+        for x in range(len(w) - 50):
+            seen.setdefault(tuple(w[x : x + 51]), set()).add(i)
+    want = [any(len(seen[tuple(w[x : x + 51])]) > 1 for x in range(len(w) - 50)) for w in words]
+    assert 12 < sum(want) < len(want)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i].shared_passage for i in range(len(texts))] == want
+    assert sum(got[i].shared_passage and not got[i].n_removed for i in got) >= 6  # under 400 bytes: marked and left
+    batch = pd.DataFrame({"k1": range(len(texts)), "k2": 0, "text": [t or "" for t in texts]})
+    windows = lambda: {(r.k1, r.a - d, r.a, r.core) for f in repeats._word_level0(iter([batch]), 51, 8) for r in f.itertuples() for d in range(r.lo, r.hi + 1)}
+    whole = windows()
+    assert {(i, x) for i, x, *_ in whole} == {(i, x) for i, w in enumerate(words) for x in range(len(w) - 50)}
+    monkeypatch.setattr(repeats, "WORD_SEGMENT", 20)
+    assert windows() == whole
+
+
 def test_segments_of_long_texts(monkeypatch):
     import numpy as np
 
