@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,30 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_tokenizer_learns_new_words_once_a_batch(monkeypatch):
+    """Its cost is that of distinct words: a batch is one lesson, however many texts and spellings it has."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_file("word_bpe_49k.json"), random.Random(5)
+    alphabet = "abzABZÀßÿÖ×÷ \t\n\x0b\x1c'.,!#<|>/w09éΣİ\u0301\u200d\xad中\U0001f600"
+    texts = [None, "", " \n", "<|endoftext|> don't CAN'T ΣΑΣ", "... ,;: -- ((("] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(400)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    tokenizer = packing._tokenizer(path)
+    tokenizer._clear()
+    lessons, learn = [], tokenizer._learn
+    monkeypatch.setattr(tokenizer, "_learn", lambda *new: lessons.append(new) or learn(*new))
+    for _ in range(2):
+        assert [ids.tolist() for ids in tokenizer.encode(pa.array(texts))] == want
+    assert len(lessons) == 1
+    monkeypatch.setattr(packing, "RUN_BYTES", 100)  # texts in many runs
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)  # and a cache that starts anew
+    assert [ids.tolist() for ids in tokenizer.encode(pa.array(texts)[2:])] == want[2:] and len(lessons) > 9
+    monkeypatch.setattr(tokenizer, "split_here", False)
+    assert [ids.tolist() for ids in tokenizer.encode(pa.array(texts))] == want
+    tokenizer._clear()
+    assert list(tokenizer.encode(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
