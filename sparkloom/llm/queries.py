@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, fertility, html_crf, jaccard, mix, ngram_lm, packing, repeats, toxicity
+from . import chat, exact, fertility, html_crf, jaccard, mix, ngram_lm, packing, repeats, tokens, toxicity
 from .common import read, tokenizer_file
 
 
@@ -49,6 +49,12 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_token_files(spark, sf_dir):
+    path = tokens.new_path(spark)
+    tokens.write_token_files(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path)
+    return tokens.read_files(spark, path)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -60,6 +66,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard": op10_jaccard,
+    "op12_token_files": op12_token_files,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,
