@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, fertility, html_crf, jaccard, mix, ngram_lm, packing, repeats, tokens, toxicity
+from . import chat, exact, fertility, html_crf, jaccard, lexical, mix, ngram_lm, packing, repeats, tokens, toxicity
 from .common import read, tokenizer_file
 
 
@@ -55,6 +55,10 @@ def op12_token_files(spark, sf_dir):
     return tokens.read_files(spark, path)
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -67,9 +71,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard": op10_jaccard,
     "op12_token_files": op12_token_files,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES = {
     "op1_mix_sources": mix.ORACLE,
     "op2_exact_dedup": exact.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
