@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, fertility, html_crf, jaccard, lexical, mix, ngram_lm, packing, repeats, tokens, toxicity
+from . import chat, exact, fertility, html_crf, jaccard, lexical, mix, ngram_lm, packing, repeats, tokens, toxicity, trie
 from .common import read, tokenizer_file
 
 
@@ -49,6 +49,10 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_token_files(spark, sf_dir):
     path = tokens.new_path(spark)
     tokens.write_token_files(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path)
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard": op10_jaccard,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_files": op12_token_files,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -77,5 +82,6 @@ ORACLES = {
     "op1_mix_sources": mix.ORACLE,
     "op2_exact_dedup": exact.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
     "op13_lexical_search": lexical.ORACLE,
 }
