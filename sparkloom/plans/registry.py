@@ -398,3 +398,6 @@ def generated_graph(spark, sf_dir):
 def mst_generated(spark, sf_dir):
     g = Stage(spark, "generated").write(generate.weighted_graph(spark, 2_000, 10, 1, 1_000, GRAPH_SEED), "graph")
     return mst.minimum_spanning_forest(g)
+
+
+from . import images  # noqa: E402, F401  registers its queries
