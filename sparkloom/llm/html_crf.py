@@ -44,8 +44,12 @@ OUTSIDE = frozenset(("nav", "footer", "aside", "form"))
 #: A start tag (value) that ends an open element (key).
 ENDED_BY = {
     "p": BLOCK - {"body", "html", "head", "option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"},
-    "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"},
+    "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"},
 }
+#: Elements that may stand in a head; the start tag of any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: A block's container words are those of so many elements above it; its tags and hints are those of all of them.
+WORD_ANCESTORS = 6
 #: What class, id and role words of containers hint at.
 HINTS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pager pagination skip tabs toolbar topbar",
@@ -119,12 +123,15 @@ class Block:
 def parse_blocks(html: str) -> list[Block]:
     """Leaf blocks of a page in page order, character references decoded, white space single.
 
-    The work is linear in the page: elements are looked up by counts of the open names, and
-    ancestors are summed up once in each element. Only void elements, and svg or math and what
-    is in them, close by a slash.
+    The work is linear in the page: elements are looked up by counts of the open names, the
+    innermost open block is kept, and ancestors are summed up once in each element. Only void elements, and svg or math and what
+    is in them, close by a slash. End tags of paragraphs, list items, table parts, options
+    and the head, and the tags of head and body altogether, may be left out. A reference is
+    decoded within its run of text and never goes on across a tag or comment.
     """
     blocks: list[Block] = []
     stack: list[Element] = []
+    inner: list[int] = []  # where the open blocks are in the stack
     keys: dict = {}
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -135,7 +142,7 @@ def parse_blocks(html: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked, said
         if said:
-            text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
+            text = _SPACES.sub(" ", "".join(parts)).strip()
             if text:
                 blocks.append(Block(text, path, min(1.0, linked / len(text))))
         parts.clear()
@@ -143,12 +150,14 @@ def parse_blocks(html: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal path, linked, said
+        if silent and stack[-1].name == "head" and not text.isspace():
+            pop(len(stack) - 1)
         if silent or not text:
             return
+        parts.append(entities.unescape(text))
         if not said:
             path = stack[-1] if stack else None
-            said = not text.isspace()
-        parts.append(text)
+            said = not parts[-1].isspace()
         if opened["a"]:
             linked += len(text)
 
@@ -158,6 +167,8 @@ def parse_blocks(html: str) -> list[Block]:
             silent -= e.name in SILENT
             opened[e.name] -= 1
         del stack[index:]
+        while inner and inner[-1] >= index:
+            inner.pop()
 
     while True:
         m = _TOKEN.search(html, at, last) if at < last else None
@@ -184,21 +195,18 @@ def parse_blocks(html: str) -> list[Block]:
                     i -= 1
                 pop(i)
             continue
-        while stack and name in ENDED_BY.get(stack[-1].name, ()):
+        if stack and stack[-1].name == "head" and name not in IN_HEAD:
             pop(len(stack) - 1)
-        if name in BLOCK:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):  # through open inline elements
-                if name in ENDED_BY.get(stack[i].name, ()):
-                    pop(i)
-                    break
-                if stack[i].name in BLOCK:
-                    break
+        while inner and name in ENDED_BY.get(stack[inner[-1]].name, ()):
+            pop(inner[-1])  # and the inline elements open in it
         if name in VOID or (attributes.endswith("/") and (name in FOREIGN or any(opened[f] for f in FOREIGN))):
             continue
         if name in RAW:
             end = _RAW_END[name].search(html, at)
             at = end.end() if end else len(html)
             continue
+        if name in BLOCK:
+            inner.append(len(stack))
         stack.append(Element(name, _container_words(attributes) if attributes else (), stack[-1] if stack else None, keys))
         opened[name] += 1
         silent += name in SILENT
@@ -212,7 +220,7 @@ def add_features(blocks: list[Block]) -> list[Block]:
         tags, kinds, own, outer = (e.tags, e.kinds, e.own, e.outer) if e else (frozenset(), frozenset(), "none", "none")
         f = [f"own={own}", "bias", f"pair={outer}>{own}", *(f"in={n}" for n in tags)]
         words, up = set(), e
-        for _ in range(6):
+        for _ in range(WORD_ANCESTORS):
             if up is None:
                 break
             if up.name not in ("html", "body"):
@@ -455,7 +463,13 @@ def main_text(html: str | None, crf: Crf) -> str:
 
 
 def extract(pages: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of every row; a null or empty html gives an empty text."""
+    """page_id, url, text and n_chars of every row; a null or empty html gives an empty text.
+
+    Repeated rows, and rows with one page_id, are pages of their own; a null page_id or url
+    stays null. A page of any length is read whole, in time linear in it and within one
+    task. Where both labellings score the same, a block is no main text. Other columns are not
+    read, whatever their names.
+    """
     model = pages.sparkSession.sparkContext.broadcast(crf or trained())  # weights of the training pages' features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -480,6 +481,87 @@ def test_what_a_slash_closes():
     assert texts('<svg><path d="x"/></svg><p>a <svg/>b') == ["a b"]
 
 
+class PlainParser(HTMLParser):
+    """Blocks by the standard library's tokeniser and a plain list of open elements."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.run, self.path, self.blocks = [], [], None, []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = re.sub(r"\s+", " ", "".join(self.run)).strip()
+        if text:
+            self.blocks.append((text, self.path))
+        self.run = []
+
+    def say(self, text):
+        if self.open and self.open[-1] == "head" and text.strip():
+            self.open.pop()
+        if not set(self.open) & html_crf.SILENT:
+            if not "".join(self.run).strip():
+                self.path = list(self.open)
+            self.run.append(text)
+
+    handle_data = say
+
+    def handle_starttag(self, name, attrs):
+        if name == "br":
+            return self.say(" ")
+        if name in html_crf.BLOCK:
+            self.flush()
+        if self.open and self.open[-1] == "head" and name not in html_crf.IN_HEAD:
+            self.open.pop()
+        while any(e in html_crf.BLOCK for e in self.open):
+            i = max(i for i, e in enumerate(self.open) if e in html_crf.BLOCK)
+            if name not in html_crf.ENDED_BY.get(self.open[i], ()):
+                break
+            del self.open[i:]
+        if name not in html_crf.VOID:
+            self.open.append(name)
+
+    def handle_endtag(self, name):
+        if name == "br":
+            return self.say(" ")
+        if name in html_crf.BLOCK:
+            self.flush()
+        if name in self.open:
+            while self.open.pop() != name:
+                pass
+
+
+def random_markup(rng):
+    names = "p p div ul li li b i a span table tr td h1 section article nav select option br img object blockquote dl dt dd".split()
+    words = ["one ", "two", " &amp; ", "&lt;x", "&#233;", "&nbsp;", "\n", "5 < 6 ", "a&b ", "&am", "p; ", "<!-- no -->", "<script>var a = '<p>';</script>", "<style>p{}</style>"]
+    page = rng.choice(["", "<!DOCTYPE html><html>", "<html><head><meta charset=utf-8>", "<head><title>t</title>", "<html><head></head><body>", "<head> <link rel=x>\n"])
+    for _ in range(rng.randrange(1, 40)):
+        kind = rng.random()
+        name = rng.choice(names)
+        page += rng.choice(words) if kind < 0.5 else f"<{name}>" if kind < 0.8 else f"</{name}>"
+    return page
+
+
+def test_blocks_against_plain_parser():
+    rng = random.Random(11)
+    for _ in range(3000):
+        page = random_markup(rng)
+        assert [(b.text, b.path.name if b.path else None) for b in html_crf.parse_blocks(page)] == [(t, p[-1] if p else None) for t, p in PlainParser(page).blocks], page
+
+
+def test_optional_tags_and_references():
+    texts = lambda html: [b.text for b in html_crf.parse_blocks(html)]
+    assert texts("<html><head><title>T</title><p>First paragraph") == ["First paragraph"]
+    assert texts("<head><title>T</title>Text alone<div>x") == ["Text alone", "x"]
+    assert texts("a &am<b>p; c</b>") == ["a &amp; c"] and texts("&lt;<i>b</i>&gt;") == ["<b>"]
+    assert texts("<p>" + "<b>" * 30 + "x<p>y") == ["x", "y"]
+    assert [b.path.name for b in html_crf.parse_blocks("<p>" + "<b>" * 30 + "x<p>y")] == ["b", "p"]
+    deep = "<p>" + "<b>" * 50_000 + "<div>x" * 50_000
+    began = time.perf_counter()
+    assert len(html_crf.parse_blocks(deep)) == 50_000 and time.perf_counter() - began < 20
+
+
 def test_viterbi_is_best():
     crf = html_crf.Crf({"a": 1.5, "b": -2.0}, np.array([[0.5, -1.0], [-0.7, 0.9]]), np.array([0.1, -0.2]))
     rng = random.Random(1)
