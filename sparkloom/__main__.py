@@ -11,9 +11,9 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     forest = commands.add_parser("forest", help="time the minimum spanning forest of an edge file and check its weight")
     forest.add_argument("-i", "--input", required=True, help="edge file, or its name in input_data")
-    forest.add_argument("-t", "--truth", help="edge file of the known forest (default: the input's name with _mst_gt); 'none' for no check")
+    forest.add_argument("-t", "--truth", help="edge file of the known forest (default: the input's name with _mst_gt, if there is such a file); 'none' for no check")
     forest.add_argument("-o", "--output", help="where the timing file goes")
-    forest.add_argument("-s", "--strategy", default="auto", choices=("auto", "local", "boruvka", "banded"))
+    forest.add_argument("-s", "--strategy", default="auto", choices=("auto", "local", "boruvka", "banded", "adaptive"))
     forest.add_argument("-b", "--bands", type=int, default=8, help="weight bands of the banded strategy")
     forest.add_argument("-r", "--repetitions", type=int, default=1)
     histogram = commands.add_parser("histogram", help="compare the histogram strategies on random colours or on PNG files")
@@ -40,7 +40,10 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
     spark = spark or SparkSession.builder.appName("sparkloom").getOrCreate()
     if args.command == "forest":
         path = edgelist.input_path(".", args.input)
-        truth = None if args.truth == "none" else args.truth or edgelist.truth_path(path)
+        truth = None if args.truth == "none" else args.truth
+        if not args.truth and not edgelist.exists(spark, truth := edgelist.truth_path(path)):
+            print(f"no {truth}: the forest's weight is not checked", file=sys.stderr)
+            truth = None
         found, ok = suites.run_forest(spark, path, truth, args.output, args.strategy, args.bands, args.repetitions)
         results.print_timings(found)
         return int(ok is False)

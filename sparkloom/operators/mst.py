@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.staging import Stage
 
-from .components import components, filter_connected, star_forest
-from .edges import vertices
+from .components import star_forest
+from .edges import pivot, vertices
 
 #: "auto" works in tasks up to this many vertices: a task's forest has fewer edges than that.
 LOCAL_VERTICES = 2_000_000
 #: Edges that a task holds before it thins them.
 HELD_EDGES = 1_000_000
+#: Parts of fewer edges are not split by the adaptive strategy.
+LEAST_ROWS = 100_000
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -115,52 +118,121 @@ def boruvka(edges: DataFrame, ends: tuple[str, str] = ("u", "v")) -> DataFrame:
     return picked if picked is not None else edges.select("u", "v", "w").limit(0)
 
 
+def _forest(part: DataFrame, local_vertices: int) -> DataFrame:
+    """The forest (u, v, w, a, b) of edges whose ends are the groups of vertices a and b."""
+    if part.select(F.explode(F.array("a", "b"))).distinct().count() <= local_vertices:
+        return _reduced(part, ("u", "v", "w", "a", "b"))
+    found = boruvka(part, ("a", "b"))
+    return part.join(found, ["u", "v", "w"], "left_semi")
+
+
+def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges with a and b replaced by their labels, if they have one; those inside one component go."""
+    for end in ("a", "b"):
+        names = labels.select(F.col("id").alias("__id"), F.col("component").alias("__to"))
+        edges = edges.join(names, F.col(end) == F.col("__id"), "left").withColumn(end, F.coalesce("__to", end)).drop("__id", "__to")
+    return edges.where("a <> b").select("u", "v", "w", "a", "b")
+
+
+def _continued(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after more links between its components; neither they nor the links are labelled anew.
+
+    Only vertices that are not their component's least have a row, so a link's end has none.
+    """
+    new = star_forest(links, "a", "b")
+    if labels is None:
+        return new
+    to = new.select(F.col("id").alias("__id"), F.col("component").alias("__to"))
+    moved = labels.join(to, F.col("component") == F.col("__id"), "left").select("id", F.coalesce("__to", "component").alias("component"))
+    return moved.unionByName(new)
+
+
 def banded(edges: DataFrame, bands: int = 8, local_vertices: int = LOCAL_VERTICES) -> DataFrame:
     """Light bands of weights first; edges inside components that lighter bands made never reach a sort.
 
     Cut points are quantiles of the distinct weights, so a band of one weight is the least
-    there can be and the loop ends. A band whose ends outgrow a task goes by rounds of joins.
+    there can be and the loop ends. The edges are dealt into bands by one write, and a band
+    reads its own alone. A band whose ends outgrow a task goes by rounds of joins.
     """
     if bands < 1:
         raise ValueError("bands must be at least 1")
     stage = Stage(edges.sparkSession, "banded")
-    edges = stage.write(edges, "edges")
     shares = [i / bands for i in range(1, bands)]
     cuts = edges.select("w").distinct().agg(F.percentile_approx("w", shares, 10_000).alias("c")).first()["c"] if shares else []
-    tops = sorted(set(cuts or [])) + [None]
-    tree, labels, low = None, None, None
-    for i, top in enumerate(tops):
-        band = edges
-        if low is not None:
-            band = band.where(F.col("w") > low)
-        if top is not None:
-            band = band.where(F.col("w") <= top)
-        low = top
-        if labels is not None:
-            band = filter_connected(band, labels)
-            for end, name in (("u", "a"), ("v", "b")):
-                own = labels.select(F.col("id").alias("__id"), F.col("component").alias(name))
-                band = band.join(own, F.col(end) == F.col("__id"), "left").drop("__id").withColumn(name, F.coalesce(name, end))
-        else:
-            band = band.withColumns({"a": F.col("u"), "b": F.col("v")})
-        band = stage.write(band.select("u", "v", "w", "a", "b"), f"band{i}")
-        if band.select(F.explode(F.array("a", "b"))).distinct().count() <= local_vertices:
-            found = _reduced(band, ("u", "v", "w", "a", "b")).select("u", "v", "w")
-        else:
-            found = boruvka(band, ("a", "b"))
-        tree = stage.write(found if tree is None else tree.unionByName(found), f"tree{i}")
-        if top is not None:
-            labels = stage.write(components(tree), f"labels{i}")
-    return tree
+    tops = sorted(set(cuts or []))
+    number = F.lit(0)
+    for top in tops:
+        number = number + (F.col("w") > top).cast("int")
+    where = f"{stage.root}/bands"
+    edges.select("u", "v", "w", number.alias("band")).write.partitionBy("band").parquet(where)
+    dealt = edges.sparkSession.read.schema("u long, v long, w long, band int").parquet(where)
+    labels, parts = None, []
+    for i in range(len(tops) + 1):
+        band = dealt.where(F.col("band") == i).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b"))
+        band = stage.write(_contracted(band, labels) if labels is not None else band, f"band{i}")
+        parts.append(stage.write(_forest(band, local_vertices), f"tree{i}"))
+        stage.drop(f"band{i}")
+        if i < len(tops):
+            labels = stage.write(_continued(labels, parts[-1]), f"labels{i}")
+    return _union(parts).select("u", "v", "w")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def adaptive(edges: DataFrame, least_rows: int = LEAST_ROWS, depth: int = 32, local_vertices: int = LOCAL_VERTICES) -> DataFrame:
+    """Filter-Kruskal: split at the part's own median weight, solve the light side, then what it leaves of the heavy one.
+
+    A part of fewer rows than ``least_rows``, or than a ``depth``-th of this call's edges, or
+    of one weight, is solved as a whole; so at most about 2 * ``depth`` parts are. A part is written by its
+    split, and a heavy side again after its filter, by which it shrinks to the edges between
+    the light side's components; of parallel ones the first stays.
+    """
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
+    stage, numbers = Stage(edges.sparkSession, "adaptive"), count()
+    whole = stage.write(edges.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "edges")
+    cutoff = max(least_rows, whole.count() // depth)
+
+    def solve(part: DataFrame, name: str) -> list[DataFrame]:
+        n, low, high = part.agg(F.count(F.lit(1)), F.min("w"), F.max("w")).first()
+        if not n:
+            return []
+        if n < cutoff or low == high:
+            found = [stage.write(_forest(part, local_vertices), f"tree{next(numbers)}")]
+            stage.drop(name)
+            return found
+        cut = pivot(part).first()["pivot"]
+        light = F.col("w") <= cut if cut < high else F.col("w") < cut  # either side has rows
+        number = next(numbers)
+        where = f"{stage.root}/split{number}"
+        part.withColumn("light", light).write.partitionBy("light").parquet(where)
+        stage.drop(name)
+        sides = edges.sparkSession.read.schema("u long, v long, w long, a long, b long, light boolean").parquet(where)
+        mine = stage.write(sides.where("light").drop("light"), f"light{number}")
+        found = solve(mine, f"light{number}")
+        between = _contracted(sides.where("NOT light").drop("light"), stage.write(star_forest(_union(found), "a", "b"), f"labels{number}"))
+        first = between.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e"))
+        heavy = stage.write(first.select("e.u", "e.v", "e.w", "a", "b"), f"heavy{number}")
+        stage.drop(f"split{number}")
+        stage.drop(f"labels{number}")
+        return found + solve(heavy, f"heavy{number}")
+
+    found = solve(whole, "edges")
+    return _union(found).select("u", "v", "w") if found else edges.select("u", "v", "w").limit(0)
 
 
 def minimum_spanning_forest(edges: DataFrame, strategy: str = "auto", bands: int = 8) -> DataFrame:
-    """(u, v, w) of the forest; strategies "local", "boruvka" and "banded" agree edge by edge.
+    """(u, v, w) of the forest; strategies "local", "boruvka", "banded" and "adaptive" agree edge by edge.
 
     "auto" counts vertices: tasks hold forests, never all edges, so "local" fits while a
     forest fits a task; beyond that rounds of joins take over.
     """
-    if strategy not in ("auto", "local", "boruvka", "banded"):
+    if strategy not in ("auto", "local", "boruvka", "banded", "adaptive"):
         raise ValueError(f"unknown strategy {strategy!r}")
     edges = Stage(edges.sparkSession, "mst").write(simple_edges(edges), "edges")
     if strategy == "auto":
@@ -169,6 +241,8 @@ def minimum_spanning_forest(edges: DataFrame, strategy: str = "auto", bands: int
         return boruvka(edges)
     if strategy == "banded":
         return banded(edges, bands)
+    if strategy == "adaptive":
+        return adaptive(edges)
     return _reduced(edges, ("u", "v", "w"))
 
 

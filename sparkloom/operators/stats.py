@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .edges import rank
+from sparkloom.staging import Stage
 
+from .edges import scan
 
-def _ranked(rows: DataFrame, by: str) -> DataFrame:
-    """Rows with _rn, their place from 1 within the tag in the order of ``by``, and _n, the tag's number of rows.
+#: Places of the middle of _n rows.
+LOWER, UPPER = "(_n + 1) div 2", "_n div 2 + 1"
 
-    A global rank over range partitions less the rows of earlier tags: no tag is sorted in
-    one task, however many calls it has.
+
+def _at_places(rows: DataFrame, by: tuple[str, ...], places: Column) -> DataFrame:
+    """(_tag, seconds): of each tag's rows in the order of ``by`` those at ``places`` (an array, from 1; _n is the tag's number of rows).
+
+    Equal rows are counted before they are ordered, and the counts are added up over range
+    partitions: neither a tag nor a value that most calls share is ordered in one task.
     """
-    counts = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("tag", *by).agg(F.count(F.lit(1)).alias("_c"))
+    counts = Stage(rows.sparkSession, "places").write(counts, "counts")
+    sizes = counts.groupBy("tag").agg(F.sum("_c").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("tag").rowsBetween(Window.unboundedPreceding, -1))  # one row a tag
-    starts = counts.withColumn("_start", F.coalesce(before, F.lit(0)))
-    ranked = rank(rows, ("tag", by), "_rn").withColumnRenamed("tag", "_tag")
-    return ranked.join(starts, F.col("_tag").eqNullSafe(F.col("tag"))).withColumn("_rn", F.col("_rn") - F.col("_start")).drop("_tag", "_start")
+    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0))).withColumnRenamed("tag", "_tag")
+    placed = scan(counts, F.col("_c"), ("tag", *by), name="_upto").join(starts, F.col("tag").eqNullSafe(F.col("_tag")))
+    last = F.col("_upto") - F.col("_start")
+    wanted = placed.withColumn("_k", F.explode(F.array_distinct(places))).where((F.col("_k") <= last) & (F.col("_k") > last - F.col("_c")))
+    return wanted.select("_tag", "seconds")
 
 
 def timing_stats(timings: DataFrame) -> DataFrame:
@@ -29,10 +38,9 @@ def timing_stats(timings: DataFrame) -> DataFrame:
     are the usual ones.
     """
     rows = timings.select("tag", "call", "seconds")
-    middle = _ranked(rows, "call").where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(F.col("tag").alias("_a"), F.col("seconds").alias("median"))
-    by_value = _ranked(rows.where("seconds IS NOT NULL").select("tag", "seconds"), "seconds")
-    middles = by_value.where((F.col("_rn") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rn") == F.floor(F.col("_n") / 2) + 1))
-    true = middles.groupBy(F.col("tag").alias("_b")).agg(F.avg("seconds").alias("true_median"))
+    middle = _at_places(rows, ("call", "seconds"), F.array(F.expr(UPPER))).select(F.col("_tag").alias("_a"), F.col("seconds").alias("median"))
+    middles = _at_places(rows.where("seconds IS NOT NULL"), ("seconds",), F.array(F.expr(LOWER), F.expr(UPPER)))
+    true = middles.groupBy(F.col("_tag").alias("_b")).agg(F.avg("seconds").alias("true_median"))
     sums = rows.groupBy("tag").agg(
         F.avg("seconds").alias("average"), (F.stddev_pop("seconds") / F.sqrt(F.count("seconds"))).alias("std_dev"), F.sum("seconds").alias("total"),
         F.count(F.lit(1)).alias("num_calls"), F.stddev_pop("seconds").alias("std_pop"),
@@ -43,8 +51,7 @@ def timing_stats(timings: DataFrame) -> DataFrame:
 
 def upper_median(timings: DataFrame) -> DataFrame:
     """(tag, median): of an even number of calls the higher middle one."""
-    rows = _ranked(timings.select("tag", "seconds"), "seconds")
-    return rows.where(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select("tag", F.col("seconds").alias("median"))
+    return _at_places(timings.select("tag", "seconds"), ("seconds",), F.array(F.expr(UPPER))).select(F.col("_tag").alias("tag"), F.col("seconds").alias("median"))
 
 
 def share_of_total(rows: DataFrame, value: str = "total", by: tuple[str, ...] = (), at_100: bool = True) -> DataFrame:

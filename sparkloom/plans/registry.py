@@ -177,7 +177,7 @@ def pivot_median(spark, sf_dir):
     return ed.pivot(graphs.supplier_graph(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT w AS pivot FROM ({SUPPLIER_SQL}) ORDER BY md5(u || ':' || v || ':' || w || ':0'), u, v, w LIMIT 1")
 def pivot_random(spark, sf_dir):
     return ed.random_pivot(graphs.supplier_graph(spark, sf_dir))
 
@@ -299,6 +299,12 @@ def mst_banded(spark, sf_dir):
     return mst.minimum_spanning_forest(graphs.supplier_graph(spark, sf_dir), "banded", bands=4)
 
 
+@query(prim_sql(SUPPLIER_SQL))
+def mst_adaptive(spark, sf_dir):
+    """Filter-Kruskal down to parts of a hundred edges."""
+    return mst.adaptive(mst.simple_edges(graphs.supplier_graph(spark, sf_dir)), least_rows=100, depth=8)
+
+
 @query(f"SELECT sum(w)::BIGINT AS weight, count(*) AS n_edges FROM ({prim_sql(SUPPLIER_SQL)})")
 def mst_weight(spark, sf_dir):
     return ed.total_weight(mst.minimum_spanning_forest(graphs.supplier_graph(spark, sf_dir)))

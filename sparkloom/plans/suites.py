@@ -41,9 +41,9 @@ def image_suite(spark: SparkSession, images: str, out: str | None = None, modes:
     """The same over every PNG file under ``images``, by colour mode; decoding is not timed."""
     stage, all_ = Stage(spark, "images"), None
     pixels = stage.write(png.read_pixels(spark, images), "pixels")
-    for name in [r["image"] for r in pixels.select("image").distinct().orderBy("image").collect()]:  # one row a file
+    for i, name in enumerate(r["image"] for r in pixels.select("image").distinct().orderBy("image").collect()):  # one row a file
         for mode in modes:
-            colors = stage.write(png.colors(pixels.where(pixels["image"] == name), mode).select("color"), f"{mode}-{abs(hash(name))}")
+            colors = stage.write(png.colors(pixels.where(pixels["image"] == name), mode).select("color"), f"{mode}-{i}")
             rows = _runtimes(spark, compare_kernels(KERNELS, colors, hist.histogram(colors), repetitions), f"{name.rsplit('/', 1)[-1]}_{mode}")
             all_ = rows if all_ is None else all_.unionByName(rows)
     if out and all_ is not None:
@@ -65,8 +65,13 @@ def create_graphs(spark: SparkSession, graphs: Iterable[dict], folder: str, with
 
 
 def run_forest(spark: SparkSession, path: str, truth: str | None = None, out: str | None = None, strategy: str = "auto", bands: int = 8, repetitions: int = 1) -> tuple[DataFrame, bool | None]:
-    """Time the forest of an edge file; (timing statistics, whether it weighs what the truth does, None without one)."""
+    """Time the forest of an edge file; (timing statistics, whether it weighs what the truth does, None without one).
+
+    A file, or a truth, whose header doesn't have the number of its edges stops the run.
+    """
     watch, ok, stage = Stopwatch(), None, Stage(spark, "run")
+    for file in filter(None, (path, truth)):
+        edgelist.check_header(spark, file)
     with watch.timed("read"):
         edges = stage.write(edgelist.read_edges(spark, path), "edges")
     for i in range(repetitions):
@@ -84,7 +89,7 @@ def run_benchmark(spark: SparkSession, runs: Iterable[dict], inputs: str, output
     """Every run of ``runner.run_list`` with its flags; one that fails its check is reported, the others go on."""
     done = []
     for run in runs:
-        path = edgelist.input_path(inputs, f"{inputs.rstrip('/')}/{run['name']}.csv")
+        path = f"{inputs.rstrip('/')}/{run['name']}.csv"
         _, ok = run_forest(spark, path, edgelist.truth_path(path), edgelist.output_path(outputs, run["name"]), repetitions=run["repetitions"], **run["flags"])
         done.append((run["name"], ok))
     return done

@@ -24,6 +24,12 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path).where("tag = 'H'").select(F.col("a").alias("num_nodes"), F.col("b").alias("num_edges"), F.col("c").alias("direction"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark opens."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def check_header(spark: SparkSession, path: str) -> None:
     """Stops if the header's number of edges is not the number of rows."""
     header, n = read_header(spark, path).head(2), read_edges(spark, path).count()

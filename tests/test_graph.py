@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions.generate import attached_to, weighted_graph
 from sparkloom.operators import components as cc
 from sparkloom.operators import edges as ed
-from sparkloom.operators import mst
+from sparkloom.operators import mst, stats
 from sparkloom.sources import edgelist
 
 GOLDEN = "0-1:3, 0-3:6, 0-5:9, 1-3:4, 1-2:2, 1-4:9, 1-5:9, 2-3:2, 2-4:8, 2-6:9, 3-6:9, 4-6:7, 4-8:9, 4-9:10, 4-5:8, 5-9:18, 6-7:4, 6-8:5, 7-8:1, 8-9:3, 7-9:4"
@@ -51,6 +52,8 @@ CASES = {
 def test_forests_agree_with_kruskal(spark, name):
     df = spark.createDataFrame(CASES[name], SCHEMA)
     want = kruskal(CASES[name])
+    got = {tuple(r) for r in mst.adaptive(mst.simple_edges(df), least_rows=2, depth=4, local_vertices=1 if name == "random" else 10**6).collect()}
+    assert got == want
     for strategy in ("local", "boruvka") + (("banded",) if name in ("golden", "equal weights", "forest") else ()):
         got = {tuple(r) for r in mst.minimum_spanning_forest(df, strategy, bands=3).select("u", "v", "w").collect()}
         assert got == want, strategy
@@ -60,7 +63,7 @@ def test_forests_agree_with_kruskal(spark, name):
 
 def test_empty_graph(spark):
     df = spark.createDataFrame([], SCHEMA)
-    for strategy in ("local", "boruvka", "banded"):
+    for strategy in ("local", "boruvka", "banded", "adaptive"):
         assert mst.minimum_spanning_forest(df, strategy).count() == 0
     assert cc.components(df).count() == 0
 
@@ -149,3 +152,36 @@ def test_bands_beyond_a_task(spark):
     df = spark.createDataFrame(CASES["random"], SCHEMA)
     got = mst.banded(mst.simple_edges(df), 3, local_vertices=1)
     assert {tuple(r) for r in got.select("u", "v", "w").collect()} == kruskal(CASES["random"])
+
+
+def test_one_value_in_most_rows(spark):
+    """Ties are counted or dealt over tasks, never left to one."""
+    rng = random.Random(6)
+    rows = [(i, i + 1, 5 if rng.random() < 0.8 else rng.randrange(-9, 30)) for i in range(4001)]
+    df = spark.createDataFrame([*rows, (0, 0, None)], SCHEMA).repartition(5)
+    assert ed.pivot(df).first().pivot == sorted(w for *_, w in rows)[2000]
+    assert ed.pivot(df.limit(0)).first().pivot is None
+    scanned = ed.scan(df.where("w IS NOT NULL"), df.w, ("w",))
+    total, last = 0, None
+    for r in sorted(scanned.collect(), key=lambda r: (r.w, r.scan if r.w >= 0 else -r.scan)):
+        total += r.w
+        assert r.scan == total
+    assert ed.scan(df, F.col("w") * 0.5, ("u",)).where("u = 4000").first().scan == pytest.approx(sum(w for *_, w in rows) / 2)
+    calls = [("a", i, 1.0 if i % 5 else float(i)) for i in range(1000)] + [("b", 0, 4.0), ("b", 1, None), (None, 0, 2.0), (None, 0, 3.0)]
+    got = {r.tag: r for r in stats.timing_stats(spark.createDataFrame(calls, "tag string, call long, seconds double")).collect()}
+    a = [s for t, _, s in calls if t == "a"]
+    assert (got["a"].median, got["a"].true_median, got["a"].num_calls) == (a[500], sum(sorted(a)[499:501]) / 2, 1000)
+    assert (got["b"].median, got["b"].true_median) == (None, 4.0) and (got[None].median, got[None].true_median) == (3.0, 2.5)
+
+
+def test_light_side_then_filtered_heavy_side(spark):
+    """A random pivot splits the edges; the heavy side without what the light side's forest joins, whole part by whole part, makes the forest."""
+    for seed in range(3):
+        df = spark.createDataFrame(CASES["random"], SCHEMA).where("u <> v")
+        low, high = ed.split(df, ed.random_pivot(df, seed).first().pivot)
+        light = mst.minimum_spanning_forest(low)
+        left = cc.filter_connected(high, cc.components(light))
+        parent = {r.id: r.component for r in cc.components(low).collect()}
+        want = [tuple(r) for r in high.collect() if parent.get(r.u, r.u) != parent.get(r.v, r.v)]
+        assert sorted(map(tuple, left.collect())) == sorted(want)
+        assert {tuple(r) for r in mst.minimum_spanning_forest(light.unionByName(left)).collect()} == kruskal(CASES["random"])
