@@ -41,7 +41,7 @@ from .packing import ACCENTED, MARKS, _gather
 
 END_ID = 2
 #: Texts encoded together: about so many bytes, or one text.
-RUN_BYTES = 32 << 20
+RUN_BYTES = 16 << 20
 #: Pieces that a worker remembers; beyond it, or beyond their bytes, it starts anew.
 CACHE_PIECES, CACHE_BYTES = 1_000_000, 64 << 20
 #: Ids of a block of a file.
