@@ -198,7 +198,8 @@ def heavy_paths(named: DataFrame, children: DataFrame, rows: DataFrame, stage: S
     heads = steps.groupBy("path").agg(F.coalesce(F.max(F.when(F.col("light"), F.col("depth"))), F.lit(0)).alias("head"), F.count_if("light").alias("level"))
     heads = stage.write(leaves.join(heads, "path", "left").fillna(0, ["head", "level"]), "heads")
     on = steps.join(heads, "path").where("depth >= head").drop("light")
-    root = nodes.where("depth = 0").select("depth", "conv_id", "parent_conv_id", "leaf", "own").crossJoin(heads.where("level = 0"))  # one root, one path of level 0
+    whole = heads.where("level = 0").withColumn("depth", F.lit(0).cast("long"))  # one path has the root
+    root = nodes.where("depth = 0").select("depth", "conv_id", "parent_conv_id", "leaf", "own").join(whole, "depth")
     return stage.write(on.unionByName(root), "paths")
 
 
