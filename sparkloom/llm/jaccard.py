@@ -3,7 +3,8 @@
 A document's set is its distinct word 4-shingles, as 64-bit hashes. Two sets link at a
 Jaccard similarity of at least ``PERCENT`` / 100. All filters are exact:
 
-1. Documents with equal sets (equal 128-bit digests) are one node from here on.
+1. Documents with equal sets (equal 128-bit digests; a set of one shingle by its words) are
+   one node from here on. Sets too small to link with a different one end here.
 2. In any fixed order of tokens, the first k tokens that two linked sets share lie in the
    first n - need + k tokens of each (need: the least overlap that a set of n can link
    with). By hash order with k = a tenth of the set, a node can only link if enough of its
@@ -73,10 +74,19 @@ def _extra(n):
     return np.maximum(1, n // 10)
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    """A set's identity: 128 bits of its sorted tokens, as two signed integers."""
-    high, low = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-    return int(high), int(low)
+def _identified(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Each text's set and its identity, 128 bits as two signed integers.
+
+    A set of one token goes by the words of its shingle, any other by its sorted tokens: two
+    tokens or more have 128 bits among them, one has 64 only.
+    """
+    for i, s in enumerate(shingle_sets(texts, size)):
+        if len(s) == 1:
+            content = b" ".join(texts[i].as_py().encode().translate(_LOWER.tobytes()).split(None, size)[:size])
+        else:
+            content = s.tobytes()
+        high, low = np.frombuffer(xxhash.xxh3_128_digest(content), np.int64)
+        yield s, int(high), int(low)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -87,9 +97,8 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, high, low, prefix = [], [], [], []
-        for s in shingle_sets(b.column("text"), size):
+        for s, h, l in _identified(b.column("text"), size):
             n.append(len(s))
-            h, l = _digest(s)
             high.append(h)
             low.append(l)
             prefix.append(s[: len(s) - need(len(s), percent) + int(_extra(len(s)))] if len(s) else s)
@@ -124,8 +133,7 @@ def _sets(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
         sent: set[tuple[int, int]] = set()
         for b in batches:
             high, low, sets = [], [], []
-            for s in shingle_sets(b.column("text"), size):
-                h, l = _digest(s)
+            for s, h, l in _identified(b.column("text"), size):
                 at = int(_bit(np.array([h]), FILTER_BITS)[0])
                 if len(s) and (h, l) not in sent and int(mask.value[at >> 6]) >> (at & 63) & 1:
                     sent.add((h, l))
@@ -150,7 +158,9 @@ def _candidates(docs: DataFrame, signed: DataFrame, stage: Stage, size: int, per
     half their digest; where two share it, their counts are added and the lower demand holds,
     so neither is lost.
     """
-    sets = signed.where("n > 0").groupBy("high", "low").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    # A set that is all of another but for one token must be this large to link; smaller ones link with equal sets alone.
+    signed = signed.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    sets = signed.groupBy("high", "low").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     sizes = stage.write(sets.groupBy("high").agg(F.min("n").alias("n"), F.min("copies").alias("copies")), "sizes")
     rows = signed.select("high", F.explode("prefix").alias("token"))
     # Counts are written before they are joined, so that the join can split a hot token's rows.

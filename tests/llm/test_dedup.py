@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -185,6 +186,14 @@ def test_large_ids_beside_null(spark):
         assert {r.doc_id for r in found.collect()} == {2**60 + 1, None}
 
 
+def test_short_sets_have_whole_identities(monkeypatch):
+    """Where all tokens are the same 64 bits, texts of up to four words are still told apart."""
+    monkeypatch.setattr(jaccard, "window_hashes", lambda words, size: np.zeros(len(words) - size + 1, np.uint64))
+    texts = ["a b c d", "A  b c\nD ", "a b c", "a b c e", "x x x x", "x x x x x x", "ab c d", "a", None, ""]
+    ids = [(h, l) for _, h, l in jaccard._identified(pa.array(texts), 4)]
+    assert ids[0] == ids[1] and ids[4] == ids[5] and ids[8] == ids[9] and len(set(ids)) == 7
+
+
 def test_near_duplicates_dropped(docs):
     left = jaccard.drop_near_duplicates(docs, size=5, percent=80)
     assert left.columns == docs.columns
