@@ -41,9 +41,9 @@ from .packing import ACCENTED, MARKS, _gather
 
 END_ID = 2
 #: Texts encoded together: about so many bytes, or one text.
-RUN_BYTES = 16 << 20
-#: Pieces that a worker remembers; beyond it, or beyond their bytes, it starts anew.
-CACHE_PIECES, CACHE_BYTES = 1_000_000, 64 << 20
+RUN_BYTES = 4 << 20
+#: Pieces that a worker remembers; beyond it, or beyond their bytes, only those of the run at hand stay.
+CACHE_PIECES, CACHE_BYTES = 800_000, 32 << 20
 #: Ids of a block of a file.
 BLOCK_TOKENS = 1 << 20
 MAGIC = b"TOKIDS01"
@@ -117,9 +117,9 @@ class PieceTokenizer:
 
     def _places(self, words: pa.Array, whole: np.ndarray) -> np.ndarray:
         """Where distinct pre-tokens, or pieces that go the whole way, are in the cache; new ones are learned."""
-        if len(self.known) > CACHE_PIECES or self.known.nbytes > CACHE_BYTES:
-            self._clear()
         at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        if len(self.known) > CACHE_PIECES or self.known.nbytes > CACHE_BYTES:
+            at = self._keep(at)
         for kind in (False, True):
             if len(new := np.flatnonzero((at < 0) & (whole == kind))):
                 fresh = words.take(pa.array(new))
@@ -132,6 +132,15 @@ class PieceTokenizer:
                 self.known = pa.concat_arrays([self.known, fresh])
         return at
 
+    def _keep(self, at: np.ndarray) -> np.ndarray:
+        """Drop what isn't at the places ``at``; returns the new places."""
+        kept = np.unique(at[at >= 0])
+        self.ids = _gather(self.ids, self.start[kept], self.length[kept])
+        self.length = self.length[kept]
+        self.start = np.cumsum(self.length) - self.length
+        self.known = self.known.take(pa.array(kept))
+        return np.where(at < 0, -1, np.searchsorted(kept, at))
+
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces in a row, and where each piece's begin and how many there are."""
         if self.split:
