@@ -33,3 +33,22 @@ def truth_path(path) -> Column:
 
 def run_name(prefix, n, density) -> Column:
     return F.concat(F.concat_ws("_", F.col(prefix), F.col(n).cast("string"), F.col(density).cast("string")), F.lit(".csv"))
+
+
+#: The prime modulus and the multipliers of ``number_hash``.
+HASH_MODULUS = (1 << 31) - 1
+HASH_FACTORS = (48271, 69621, 16807)
+
+
+def number_hash(value, seed: int = 0) -> Column:
+    """A hash of a whole number that is not negative, from 0 to below 2**62; plain integer arithmetic, the same in any engine."""
+    return F.expr(number_hash_sql(value, seed))
+
+
+def number_hash_sql(value: str, seed: int = 0, divide: str = "div", xor: str = "^") -> str:
+    """The expression of ``number_hash``; ``divide`` and ``xor`` are an engine's operators (xor may be a function's name)."""
+    p, (f, g, h) = HASH_MODULUS, HASH_FACTORS
+    mix = (lambda a, b: f"{xor}({a}, {b})") if xor.isalpha() else (lambda a, b: f"({a} {xor} {b})")
+    one = f"((({value}) % {p} * {f} + (({value}) {divide} {p}) * {g} + {seed + 1}) % {p})"
+    low = f"(({mix(one, f'({one} {divide} 8192)')} * {h} + 12345) % {p})"
+    return f"(({mix(low, f'({low} {divide} 128)')} * {g} + 777) % {p} * {p + 1} + {low})"

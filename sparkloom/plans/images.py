@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import coding, colour, histogram, scanlines
+from sparkloom.sources import png, png_write
+from sparkloom.staging import Stage
 
 from .graphs import table
 from .registry import query
@@ -35,8 +37,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("image", F.col("pos").cast("long").alias("pos"), *(F.col(c).cast("int").alias(c) for c in ("r", "g", "b", "a")))
 
 
-_STATS_SQL = f"""WITH px AS MATERIALIZED ({RASTER_SQL}),
-s AS (SELECT image, count(*) AS n_pixels, bool_or(r <> g OR r <> b) AS colored, count(DISTINCT (r, g, b)) FILTER (WHERE a = 0) AS n_keys, min((r * 256 + g) * 256 + b) FILTER (WHERE a = 0) AS k,
+_MODEL_SQL = """s AS (SELECT image, count(*) AS n_pixels, bool_or(r <> g OR r <> b) AS colored, count(DISTINCT (r, g, b)) FILTER (WHERE a = 0) AS n_keys, min((r * 256 + g) * 256 + b) FILTER (WHERE a = 0) AS k,
     bool_or(a > 0 AND a < 255) AS partly, least(count(DISTINCT (r, g, b, a)), 257) AS n_colors,
     max(CASE WHEN r IN (0, 255) THEN 1 WHEN r % 85 = 0 THEN 2 WHEN r % 17 = 0 THEN 4 ELSE 8 END) AS grey FROM px GROUP BY image),
 t AS (SELECT s.*, partly OR n_keys > 1 OR (n_keys = 1 AND EXISTS (SELECT 1 FROM px WHERE px.image = s.image AND a > 0 AND (r * 256 + g) * 256 + b = k)) AS alpha FROM s),
@@ -46,6 +47,7 @@ v AS (SELECT *, CASE WHEN (few OR colored) AND bits < 8 THEN 8 ELSE bits END AS
 w AS (SELECT *, n_colors <= 256 AND d <= 8 AND n_pixels >= 2 * n_colors AND NOT (NOT colored AND NOT (alpha OR few) AND d <= pal) AS palette FROM v),
 model AS (SELECT *, CASE WHEN palette THEN 3 WHEN alpha OR few THEN CASE WHEN colored THEN 6 ELSE 4 END WHEN colored THEN 2 ELSE 0 END AS color_type, CASE WHEN palette THEN pal ELSE d END AS bit_depth,
     CASE WHEN NOT palette AND NOT few THEN key END AS kept FROM w)"""
+_STATS_SQL = f"WITH px AS MATERIALIZED ({RASTER_SQL}),\n{_MODEL_SQL}"
 
 
 @query(f"""{_STATS_SQL} SELECT image, n_pixels, colored, alpha, key::BIGINT AS key, bits::INT AS bits, n_colors::BIGINT AS n_colors, color_type::INT AS color_type, bit_depth::INT AS bit_depth,
@@ -151,6 +153,73 @@ def interlaced_round_trip(spark, sf_dir):
     return placed.select("image", back.alias("p")).select("image", (F.col("p.y") * WIDTH + F.col("p.x")).alias("pos"))
 
 
+# The images as files: every row is full, what lies beyond the last line is transparent black.
+_FULL_SQL = f"""WITH base AS MATERIALIZED ({RASTER_SQL}), size AS (SELECT image, (count(*) + {WIDTH} - 1) // {WIDTH} * {WIDTH} AS n FROM base GROUP BY image),
+whole AS (SELECT s.image, i AS pos, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM (SELECT image, unnest(range(n)) AS i FROM size) s LEFT JOIN base ON base.image = s.image AND pos = i)"""
+
+
+def full_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = raster(spark, sf_dir)
+    size = pixels.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+    fill = size.where(f"n % {WIDTH} > 0").select("image", F.explode(F.sequence("n", F.expr(f"n + {WIDTH} - n % {WIDTH} - 1"))).alias("pos"))
+    return pixels.unionByName(fill.select("image", "pos", *(F.lit(0).alias(c) for c in ("r", "g", "b", "a"))))
+
+
+def image_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a PNG file of each supplier's image, written by the tasks."""
+    folder = Stage(spark, "image-files").root
+    png_write.write_files(png_write.encode_images(full_raster(spark, sf_dir), WIDTH), folder)
+    return folder
+
+
+def _file_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return png.read_pixels(spark, image_folder(spark, sf_dir)).withColumn("image", _image_id("image"))
+
+
+def _image_id(path: str):
+    return F.regexp_extract(path, r"(\d+)\.png$", 1).cast("long")
+
+
+@query(f"{_FULL_SQL} SELECT image, pos, r::INT AS r, g::INT AS g, b::INT AS b, a::INT AS a FROM whole")
+def png_pixels(spark, sf_dir):
+    return _file_pixels(spark, sf_dir)
+
+
+def _image_query(mode: str, select: str):
+    def run(spark, sf_dir):
+        return png.colors(_file_pixels(spark, sf_dir), mode).groupBy("image", "color").agg(F.count(F.lit(1)).alias("n"))
+
+    run.__name__ = f"png_{mode}_colors"
+    return query(f"{_FULL_SQL} SELECT image, color::INT AS color, count(*) AS n FROM (SELECT image, {select} AS color FROM whole) GROUP BY ALL")(run)
+
+
+_image_query("grayscale", "trunc(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)")
+_image_query("rgb", "unnest([r, g, b])")
+_image_query("rgba", "unnest([r, g, b, a])")
+
+#: What is done to a file by image number modulo 6, and the error that it has to give.
+_DAMAGE = {0: ("content", None), 1: ("cast('' AS binary)", 48), 2: ("substring(content, 1, 20)", 27), 3: ("overlay(content placing X'00' from 1)", 28), 4: ("substring(content, 1, length(content) - 12)", 30), 5: ("overlay(content placing X'00' from length(content))", 57)}
+
+
+@query(f"SELECT image, {'CASE image % 6 ' + ' '.join(f'WHEN {k} THEN {v[1]}' for k, v in _DAMAGE.items() if v[1]) + ' END'}::INT AS error FROM (SELECT DISTINCT l_suppkey AS image FROM lineitem)")
+def png_errors(spark, sf_dir):
+    """Files of which most are damaged: what each is read as."""
+    files = spark.read.format("binaryFile").load(image_folder(spark, sf_dir)).select("path", "content", _image_id("path").alias("image"))
+    damaged = files.withColumn("content", F.expr("CASE image % 6 " + " ".join(f"WHEN {k} THEN {v[0]}" for k, v in _DAMAGE.items()) + " END"))
+    read = png.decode_files(damaged, permissive=True)
+    return read.groupBy(_image_id("image").alias("image")).agg(F.max("error").alias("error"))
+
+
+@query(f"""{_FULL_SQL}, px AS (SELECT * FROM whole), {_MODEL_SQL},
+kinds AS (SELECT image, any_value(color_type) AS color_type, any_value(kept) IS NOT NULL OR (any_value(color_type) = 3 AND bool_or(a < 255)) AS clear FROM model JOIN px USING (image) GROUP BY image),
+parts AS (SELECT image, list_filter(['IHDR', CASE WHEN color_type = 3 THEN 'PLTE' END, CASE WHEN clear THEN 'tRNS' END, 'IDAT', 'IEND'], lambda x: x IS NOT NULL) AS types FROM kinds)
+SELECT image, (i - 1)::INT AS no, types[i] AS type FROM (SELECT image, types, unnest(range(1, len(types) + 1)) AS i FROM parts)""")
+def png_chunks(spark, sf_dir):
+    """The chunks of every image's file, of which none is inflated."""
+    found = png.chunk_table(spark.read.format("binaryFile").load(image_folder(spark, sf_dir)))
+    return found.where("crc_ok AND error IS NULL").select(_image_id("image").alias("image"), "no", "type")
+
+
 _CODES_SQL = """WITH RECURSIVE h AS (SELECT l_returnflag, l_suppkey % 256 AS bucket, count(*) AS n FROM lineitem GROUP BY ALL),
 t AS (SELECT l_returnflag, list(n::BIGINT) AS w, 0::BIGINT AS cost FROM h GROUP BY l_returnflag
     UNION ALL SELECT l_returnflag, list_append(list_sort(w)[3:], list_sum(list_sort(w)[1:2])::BIGINT), cost + list_sum(list_sort(w)[1:2])::BIGINT FROM t WHERE len(w) > 1)

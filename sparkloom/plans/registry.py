@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import generate
-from sparkloom.functions.scalars import digit, luma, run_name, truth_path
+from sparkloom.functions.scalars import digit, luma, number_hash_sql, run_name, truth_path
 from sparkloom.operators import components as cc
 from sparkloom.operators import edges as ed
 from sparkloom.operators import histogram as hist
 from sparkloom.operators import mst, stats
-from sparkloom.sources import edgelist, png, results
+from sparkloom.sources import edgelist, results
 from sparkloom.staging import Stage
 
 from . import graphs
@@ -96,9 +95,9 @@ def rgba_hist(spark, sf_dir):
     return hist.histogram(hist.channels(_pixels(spark, sf_dir), ("r", "g", "b", "a")))
 
 
-@query("SELECT i::INT AS grey, trunc(0.299::DOUBLE * i + 0.587::DOUBLE * i + 0.114::DOUBLE * i)::INT AS luma FROM range(256) r(i)")
+@query(f"SELECT color::INT AS grey, trunc(0.299::DOUBLE * color + 0.587::DOUBLE * color + 0.114::DOUBLE * color)::INT AS luma FROM (SELECT DISTINCT color FROM ({_SIZES}))")
 def luma_of_greys(spark, sf_dir):
-    return spark.range(256).select(F.col("id").cast("int").alias("grey")).withColumn("luma", luma("grey", "grey", "grey"))
+    return _sizes(spark, sf_dir).distinct().select(F.col("color").cast("int").alias("grey")).withColumn("luma", luma("grey", "grey", "grey"))
 
 
 @query(f"SELECT bucket, n AS left_n, n + 1 AS right_n FROM ({_hist_sql(_SIZES)}) WHERE bucket % 50 = 7")
@@ -109,44 +108,19 @@ def hist_verify(spark, sf_dir):
     return hist.differences(hist.histogram(colors), wrong)
 
 
-PNG_WIDTH, PNG_HEIGHT = 97, 61
-_IMAGE = f"""SELECT i AS pos, ((x * 7 + y * 3) % 256)::INT AS r, ((x * y) % 256)::INT AS g, ((y * 11 + 5) % 256)::INT AS b, (255 - x)::INT AS a
-FROM (SELECT i, i % {PNG_WIDTH} AS x, i // {PNG_WIDTH} AS y FROM range({PNG_WIDTH * PNG_HEIGHT}) r(i))"""
-
-
-def _image(spark: SparkSession) -> DataFrame:
-    """The pixels of a PNG file that is made for the query."""
-    y, x = np.indices((PNG_HEIGHT, PNG_WIDTH))
-    image = np.stack([x * 7 + y * 3, x * y, y * 11 + 5, 255 - x], axis=-1).astype(np.uint8)
-    return png.decode_files(spark.createDataFrame([("image.png", png.encode_rgba(image))], "path string, content binary"))
-
-
-def _image_query(mode: str, sql: str):
-    def run(spark, sf_dir):
-        return png.colors(_image(spark), mode).groupBy("color").agg(F.count(F.lit(1)).alias("n"))
-
-    run.__name__ = f"png_{mode}_colors"
-    return query(f"SELECT color::INT AS color, count(*) AS n FROM ({sql}) GROUP BY 1")(run)
-
-
-_image_query("grayscale", f"SELECT trunc(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::INT AS color FROM ({_IMAGE})")
-_image_query("rgb", f"SELECT unnest([r, g, b]) AS color FROM ({_IMAGE})")
-_image_query("rgba", f"SELECT unnest([r, g, b, a]) AS color FROM ({_IMAGE})")
-
-
-@query(_IMAGE)
-def png_pixels(spark, sf_dir):
-    return _image(spark).select("pos", "r", "g", "b", "a")
+@query("SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) % 5)::INT AS color FROM part")
+def colors_round_robin(spark, sf_dir):
+    rows = ed.scan(table(spark, sf_dir, "part").select("p_partkey"), F.lit(1).cast("long"), ("p_partkey",), inclusive=False, name="pos")
+    return rows.select("p_partkey", (F.col("pos") % 5).cast("int").alias("color"))
 
 
-@query("SELECT i AS pos, (i % 5)::INT AS color FROM range(10000) r(i)")
-def colors_round_robin(spark, sf_dir):
-    return generate.round_robin_colors(spark, 10_000, 5)
+_LINE = "l_orderkey * 8 + l_linenumber"
 
 
-@query()
+@query(_hist_sql(f"SELECT {number_hash_sql(_LINE, 0, '//', 'xor')} % 256 AS color FROM lineitem"))
 def colors_random_hist(spark, sf_dir):
-    return hist.histogram(generate.random_colors(spark, 640 * 426, 256))
+    """Random colours, one a line, and their histogram."""
+    return hist.histogram(table(spark, sf_dir, "lineitem").select(generate.colors_of(_LINE).alias("color")))
 
 
 # Splits, sorts and scans
@@ -395,15 +369,32 @@ def run_names(spark, sf_dir):
     return named.withColumn("truth", truth_path("name"))
 
 
-@query()
+# A graph over the customers: each brings ATTACHED edges; an edge's older end is found by following places until a newer end.
+ATTACHED = 5
+_GROWN_SQL = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS no FROM customer),
+e AS MATERIALIZED (SELECT (no - 1) * {ATTACHED} + i AS edge FROM c, range({ATTACHED}) t(i) WHERE no > 0),
+t AS (SELECT edge, edge AS spot, NULL::BIGINT AS older FROM e
+    UNION ALL
+    SELECT edge, CASE WHEN place % 2 = 1 THEN place // 2 END, CASE WHEN before = 0 THEN 0 WHEN place % 2 = 0 THEN place // 2 // {ATTACHED} + 1 END
+    FROM (SELECT edge, 2 * {ATTACHED} * (spot // {ATTACHED}) AS before, {number_hash_sql('spot', GRAPH_SEED, '//', 'xor')} % greatest(1, 2 * {ATTACHED} * (spot // {ATTACHED})) AS place FROM t WHERE spot IS NOT NULL AND older IS NULL)
+    ),
+p AS (SELECT DISTINCT older AS u, edge // {ATTACHED} + 1 AS v FROM t WHERE older IS NOT NULL),
+w AS (SELECT u, v, 1 + {number_hash_sql(generate.EDGE_NUMBER, GRAPH_SEED + 1, '//', 'xor')} % 999 AS w FROM p)
+SELECT a.id AS u, b.id AS v, w::BIGINT AS w FROM w JOIN c a ON a.no = w.u JOIN c b ON b.no = w.v"""
+
+
+def _customer_graph(spark, sf_dir):
+    return generate.graph_over(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), ATTACHED, 1, 1_000, GRAPH_SEED)
+
+
+@query(_GROWN_SQL)
 def generated_graph(spark, sf_dir):
-    return generate.weighted_graph(spark, 2_000, 10, 1, 1_000, GRAPH_SEED)
+    return _customer_graph(spark, sf_dir)
 
 
 @query()
 def mst_generated(spark, sf_dir):
-    g = Stage(spark, "generated").write(generate.weighted_graph(spark, 2_000, 10, 1, 1_000, GRAPH_SEED), "graph")
-    return mst.minimum_spanning_forest(g)
+    return mst.minimum_spanning_forest(_customer_graph(spark, sf_dir))
 
 
 from . import images  # noqa: E402, F401  registers its queries

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from sparkloom.operators.histogram import histogram
-from sparkloom.sources import png
+from sparkloom.sources import png, png_write
 
 
 def chunk(kind, body):
@@ -90,3 +90,116 @@ def test_images_to_histograms(spark, tmp_path):
         assert len(got) == 256 and sum(r.n for r in got) == n
     with pytest.raises(Exception):
         png.read_pixels(spark, str(tmp_path)).count()
+
+
+def raw_chunk(kind, body, crc=None):
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body) if crc is None else crc)
+
+
+def file_of(*chunks, header=(7, 5, 8, 6, 0, 0, 0)):
+    return png.SIGNATURE + raw_chunk(b"IHDR", struct.pack(">IIBBBBB", *header)) + b"".join(chunks) + raw_chunk(b"IEND", b"")
+
+
+IDAT = raw_chunk(b"IDAT", zlib.compress(plain(RGBA.reshape(5, -1))))
+PIXELS = plain(RGBA.reshape(5, -1))
+
+
+def stream(data=PIXELS, head=b"\x78\x9c", adler=None):
+    return raw_chunk(b"IDAT", head + zlib.compress(data)[2:-4] + struct.pack(">I", zlib.adler32(data) if adler is None else adler))
+
+
+PALETTE = raw_chunk(b"PLTE", bytes(range(12)))
+INDEXED = dict(header=(4, 1, 2, 3, 0, 0, 0))
+GREY = dict(header=(7, 5, 8, 0, 0, 0, 0))
+RGB = dict(header=(7, 5, 8, 2, 0, 0, 0))
+BROKEN = {
+    "empty": (48, b""), "short": (27, file_of(IDAT)[:30]), "signature": (28, b"x" + file_of(IDAT)[1:]), "header size": (94, png.SIGNATURE + raw_chunk(b"IHDR", b"x" * 14) + IDAT), "no header": (29, png.SIGNATURE + raw_chunk(b"IDAT", b"x" * 13) + IDAT),
+    "no width": (93, file_of(IDAT, header=(0, 5, 8, 6, 0, 0, 0))), "type": (31, file_of(IDAT, header=(7, 5, 8, 5, 0, 0, 0))), "depth": (37, file_of(IDAT, header=(7, 5, 4, 6, 0, 0, 0))), "packing": (32, file_of(IDAT, header=(7, 5, 8, 6, 1, 0, 0))),
+    "filtering": (33, file_of(IDAT, header=(7, 5, 8, 6, 0, 1, 0))), "interlace": (34, file_of(IDAT, header=(7, 5, 8, 6, 0, 0, 2))), "header crc": (57, png.SIGNATURE + raw_chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 6, 0, 0, 0), 1) + IDAT),
+    "no end": (30, file_of(IDAT)[:-12]), "cut": (64, file_of(IDAT)[:-20]), "huge chunk": (63, file_of()[:33] + b"\xff\xff\xff\xffIDAT" + b"x" * 20), "crc": (57, file_of(raw_chunk(b"IDAT", b"x", 5))), "critical": (69, file_of(raw_chunk(b"ABCD", b""), IDAT)),
+    "palette size": (38, file_of(raw_chunk(b"PLTE", b"x"), **INDEXED)), "no palette": (106, file_of(raw_chunk(b"IDAT", zlib.compress(b"\0\x1b")), **INDEXED)), "alphas": (39, file_of(PALETTE, raw_chunk(b"tRNS", b"x" * 5), **INDEXED)),
+    "grey key": (30, file_of(raw_chunk(b"tRNS", b"x"), **GREY)), "colour key": (41, file_of(raw_chunk(b"tRNS", b"x"), **RGB)), "key beside alpha": (42, file_of(raw_chunk(b"tRNS", b"x"))),
+    "no data": (53, file_of()), "fcheck": (24, file_of(stream(head=b"\x78\x9d"))), "method": (25, file_of(stream(head=b"\x77\x09"))), "dictionary": (26, file_of(stream(head=b"\x78\x20"))), "adler": (58, file_of(stream(adler=3))),
+    "deflate": (20, file_of(raw_chunk(b"IDAT", b"\x78\x9c\xff\xff\xff\xff"))), "early": (23, file_of(raw_chunk(b"IDAT", zlib.compress(PIXELS)[:-9]))), "less": (91, file_of(stream(PIXELS[:-1]))), "more": (91, file_of(stream(PIXELS + b"x"))),
+    "row filter": (36, file_of(stream(b"\5" + PIXELS[1:]))), "keyword": (89, file_of(raw_chunk(b"tEXt", b"\0x"), IDAT)), "text end": (75, file_of(raw_chunk(b"zTXt", b"key"), IDAT)), "text method": (72, file_of(raw_chunk(b"zTXt", b"key\0\1xxxx"), IDAT)),
+    "short text": (30, file_of(raw_chunk(b"iTXt", b"k\0"), IDAT)), "long text": (112, file_of(raw_chunk(b"zTXt", b"key\0\0" + zlib.compress(b"a" * 5000)), IDAT)), "profile": (113, file_of(raw_chunk(b"iCCP", b"key\0\0" + zlib.compress(b"a" * 5000)), IDAT)),
+    "no profile": (100, file_of(raw_chunk(b"iCCP", b"key\0\0" + zlib.compress(b"")), IDAT)), "time": (73, file_of(raw_chunk(b"tIME", b"x"), IDAT)), "size": (74, file_of(raw_chunk(b"pHYs", b"x"), IDAT)), "gamma": (96, file_of(raw_chunk(b"gAMA", b"x"), IDAT)),
+    "chromaticities": (97, file_of(raw_chunk(b"cHRM", b"x"), IDAT)), "intent": (98, file_of(raw_chunk(b"sRGB", b""), IDAT)), "background": (43, file_of(PALETTE, raw_chunk(b"bKGD", b"xx"), **INDEXED)), "grey background": (44, file_of(raw_chunk(b"bKGD", b"x"), **GREY)),
+    "colour background": (45, file_of(raw_chunk(b"bKGD", b"x"), **RGB)), "background index": (103, file_of(PALETTE, raw_chunk(b"bKGD", b"\4"), **INDEXED)),
+}
+
+
+def test_every_error_has_its_number(spark):
+    assert {code for code, _ in BROKEN.values()} == set(png.ERRORS)
+    good = file_of(raw_chunk(b"abCd", b"anything", 1), IDAT)  # unknown ancillary chunks are passed over
+    rows = [(name, data) for name, (_, data) in BROKEN.items()] + [("good", good), ("null", None)]
+    files = spark.createDataFrame(rows, "path string, content binary").repartition(4)
+    read = png.decode_files(files, permissive=True, max_text=4000, max_profile=4000).collect()
+    assert {r.image: r.error for r in read if r.error} == {n: c for n, (c, _) in BROKEN.items()} | {"null": 48}
+    pixels = [r for r in read if r.image == "good"]
+    assert len(pixels) == 35 and all(r.error is None for r in pixels) and [(r.r, r.g, r.b, r.a) for r in sorted(pixels, key=lambda r: r.pos)] == [tuple(p) for p in RGBA.reshape(-1, 4).tolist()]
+    assert png.decode_files(files, drop_invalid=True, max_text=4000, max_profile=4000).select("image").distinct().count() == 1
+    assert png.decode_files(files.limit(0), permissive=True).count() == 0
+
+
+def test_index_beyond_the_palette_is_black():
+    got = png.decode_png(file_of(raw_chunk(b"PLTE", bytes(range(6))), raw_chunk(b"IDAT", zlib.compress(b"\0\x1b")), **INDEXED))
+    assert got[0].tolist() == [[0, 1, 2, 255], [3, 4, 5, 255], [0, 0, 0, 255], [0, 0, 0, 255]]
+
+
+def test_chunks_and_metadata(spark):
+    chunks = [
+        (b"tEXt", b"Title\0caf\xe9"), (b"zTXt", b"Long\0\0" + zlib.compress(b"z" * 3000)), (b"iTXt", b"Key\0\0\0de\0Schl\xc3\xbcssel\0\xc3\xa4"), (b"iTXt", b"Packed\0\1\0\0\0" + zlib.compress("日本".encode())),
+        (b"tIME", struct.pack(">H5B", 2024, 2, 29, 23, 59, 60)), (b"pHYs", struct.pack(">IIB", 3000, 4000, 1)), (b"gAMA", struct.pack(">I", 45455)), (b"cHRM", struct.pack(">8I", *range(8))), (b"sRGB", b"\2"), (b"bKGD", struct.pack(">3H", 1, 2, 3)),
+        (b"iCCP", b"profile\0\0" + zlib.compress(b"abc")), (b"tIME", b"bad"), (b"prIv", b"own"),
+    ]
+    data = file_of(*(raw_chunk(k, b) for k, b in chunks), IDAT)
+    files = spark.createDataFrame([("a", data), ("cut", data[:-5]), ("none", None), ("no", b"GIF89a")], "path string, content binary").repartition(3)
+    got = png.metadata(files, max_text=2000).collect()
+    a = {r.no: r for r in got if r.image == "a"}
+    assert (a[1].keyword, a[1].text, a[1].error) == ("Title", "café", None) and a[2].error == 112 and a[2].text is None
+    assert (a[3].language, a[3].translated, a[3].text) == ("de", "Schlüssel", "ä") and (a[4].keyword, a[4].text) == ("Packed", "日本")
+    assert a[5].numbers == {"year": 2024, "month": 2, "day": 29, "hour": 23, "minute": 59, "second": 60} and a[6].numbers == {"x": 3000, "y": 4000, "unit": 1}
+    assert a[7].numbers == {"gamma": 45455} and a[8].numbers["blue_y"] == 7 and a[9].numbers == {"intent": 2} and a[10].numbers == {"r": 1, "g": 2, "b": 3}
+    assert a[11].numbers == {"profile_bytes": 3, "profile_crc32": zlib.crc32(b"abc")} and a[12].error == 73 and set(a) == set(range(1, 13))
+    assert {(r.image, r.error) for r in got if r.type is None} == {("cut", 30), ("none", 48), ("no", 27)}
+    assert len([r for r in png.metadata(files).collect() if r.image == "a" and r.text == "z" * 3000]) == 1
+    rows = {(r.image, r.no): r for r in png.chunk_table(files).collect()}
+    at, want = 8, []
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        want.append((kind.decode(), size, at, True, None))
+        at += 12 + size
+    assert [tuple(rows["a", i])[2:] for i in range(len(want))] == want and rows["cut", len(want) - 1].error == 30
+    assert rows["none", 0].error == 48 and rows["no", 0].error == 28 and len(rows) == 2 * len(want) + 2
+
+
+def test_written_images_read_back(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    shape, images = (12, 9), {}
+    grey = lambda v: np.stack([v, v, v, np.full_like(v, 255)], -1)
+    for bits in (1, 2, 4, 8):
+        images[f"grey{bits}"] = grey(rng.integers(0, 1 << bits, shape) * (255 // ((1 << bits) - 1)))
+    images["grey-alpha"] = np.stack([*[rng.integers(0, 256, shape)] * 3, rng.integers(0, 256, shape)], -1)
+    images["grey-key"] = np.where(rng.random(shape)[..., None] < 0.2, np.zeros(4, int), grey(17 * rng.integers(1, 16, shape)))
+    for n in (2, 4, 16, 50):
+        images[f"palette{n}"] = rng.integers(0, 256, (n, 4))[rng.integers(0, n, shape)]
+    images["rgb"] = np.concatenate([rng.integers(0, 256, (*shape, 3)), np.full((*shape, 1), 255)], -1)
+    images["rgba"] = rng.integers(0, 256, (*shape, 4))
+    images["rgb-key"] = np.where(rng.random(shape)[..., None] < 0.2, np.array([1, 2, 3, 0]), images["rgb"])
+    rows = [(n, i, *map(int, p), "x") for n, image in images.items() for i, p in enumerate(image.reshape(-1, 4))]
+    pixels = spark.createDataFrame(rows, "image string, pos long, r int, g int, b int, a int, y string").repartition(5)
+    folder = f"file://{tmp_path}/out"
+    for strategy in ("minsum", "entropy"):
+        files = png_write.encode_images(pixels, 9, strategy)
+        paths = {r.image: r.path for r in png_write.write_files(files, folder).collect()}
+        kinds = {}
+        for n, image in images.items():
+            data = open(paths[n], "rb").read()
+            kinds[n] = tuple(data[24:26])
+            assert (png.decode_png(data) == image).all(), n
+        assert kinds["grey1"] == (1, 0) and kinds["grey2"] == (2, 0) and kinds["grey-key"] == (4, 0) and kinds["grey-alpha"] == (8, 4) and kinds["palette4"] == (2, 3) and kinds["rgb-key"] == (8, 2) and kinds["rgba"] == (8, 6)
+    assert png.read_pixels(spark, folder).count() == len(rows) and len(list((tmp_path / "out").glob("*"))) == len(images)
+    with pytest.raises(Exception, match="whole rows"):
+        png_write.encode_images(pixels.where("pos < 10"), 9).collect()
+    assert png_write.encode_images(pixels.limit(0), 9).count() == 0
