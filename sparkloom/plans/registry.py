@@ -11,7 +11,7 @@ from sparkloom.operators import components as cc
 from sparkloom.operators import edges as ed
 from sparkloom.operators import histogram as hist
 from sparkloom.operators import mst, stats
-from sparkloom.sources import edgelist, results
+from sparkloom.sources import edgelist, file_sources, results
 from sparkloom.staging import Stage
 
 from . import graphs
@@ -362,6 +362,19 @@ def edge_text_header(spark, sf_dir):
     return edgelist.read_header(spark, path)
 
 
+@query(f"SELECT u, v, w FROM ({SUPPLIER_SQL})")
+def edge_source_roundtrip(spark, sf_dir):
+    """Edges through the data source, written by all tasks and read in pieces of a file."""
+    path = f"{Stage(spark, 'files').root}/edges"
+    file_sources.write_edge_files(graphs.supplier_graph(spark, sf_dir), path)
+    return spark.read.format("edge_file").option("split", 2_000).load(path)
+
+
+@query(f"SELECT count(DISTINCT id) AS num_nodes, (SELECT count(*) FROM ({SUPPLIER_SQL})) AS num_edges, 1::BIGINT AS direction FROM (SELECT u AS id FROM ({SUPPLIER_SQL}) UNION ALL SELECT v FROM ({SUPPLIER_SQL}))")
+def edge_source_header(spark, sf_dir):
+    return file_sources.write_edge_files(graphs.supplier_graph(spark, sf_dir), f"{Stage(spark, 'files').root}/edges")
+
+
 @query("SELECT s_suppkey, 'run_' || s_suppkey || '_' || s_nationkey || '.csv' AS name, 'run_' || s_suppkey || '_' || s_nationkey || '_mst_gt.csv' AS truth FROM supplier")
 def run_names(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").withColumn("prefix", F.lit("run"))

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from sparkloom.functions.scalars import luma
 from sparkloom.operators import histogram as hist
 from sparkloom.operators import stats
 from sparkloom.plans.runner import compare_kernels, run_list
-from sparkloom.sources import results
+from sparkloom.sources import edgelist, file_sources, png, results
 from sparkloom.streaming.running import running_histogram, windowed_timings
 
 
@@ -120,3 +122,55 @@ def test_histogram_groups_and_strange_values(spark):
     got = {(r.g, r.bucket): r.n for r in hist.histogram(rows, by=("g",), buckets=40).collect()}
     assert len(got) == 3 * 40 and sum(got.values()) == 3 and got["a", 3] == 2 and got[None, 5] == 1
     assert {(r.bucket, r.n) for r in hist.conditional_histogram(rows, buckets=40).collect()} == {(r.bucket, r.n) for r in hist.histogram(rows, buckets=40).collect()}
+
+
+EDGES = "u long, v long, w long"
+
+
+def test_edge_source(spark, tmp_path):
+    path = str(tmp_path / "edges")
+    rows = [(i, i * 7 % 5000 + 10_000, i % 13 - 5) for i in range(5000)]
+    df = spark.createDataFrame(rows, EDGES).repartition(3)
+    header = file_sources.write_edge_files(df, path).collect()
+    assert [tuple(r) for r in header] == [(10_000, 5000, 1)]
+    edgelist.check_header(spark, path)
+    assert sorted(map(tuple, edgelist.read_edges(spark, path).collect())) == sorted(rows)
+    for split in (97, 1000, 10**9):
+        read = spark.read.format("edge_file").option("split", split).load(f"file://{path}")
+        assert sorted(map(tuple, read.collect())) == sorted(rows), split
+    (tmp_path / "one.csv").write_text("H;2;1;1\nX;1;1;1\n\nE;1;2;3")
+    assert [tuple(r) for r in spark.read.format("edge_file").load(str(tmp_path / "one.csv")).collect()] == [(1, 2, 3)]
+    (tmp_path / "bad.csv").write_text("E;1;x;3\n")
+    with pytest.raises(Exception):
+        spark.read.format("edge_file").load(str(tmp_path / "bad.csv")).collect()
+    before = sorted(p.name for p in (tmp_path / "edges").iterdir())
+    with pytest.raises(Exception):  # a write that fails leaves all as it was
+        df.withColumn("w", F.when(F.col("u") < 4990, F.col("w"))).write.format("edge_file").option("nodes", 1).mode("overwrite").save(path)
+    with pytest.raises(Exception, match="already"):
+        df.write.format("edge_file").option("nodes", 1).mode("append").save(path)
+    assert sorted(p.name for p in (tmp_path / "edges").iterdir()) == before
+    assert [tuple(r) for r in file_sources.write_edge_files(df.limit(0), path).collect()] == [(0, 0, 1)] and len(list((tmp_path / "edges").glob("*.csv"))) == 1
+
+
+def test_edge_source_counts_each_task_once(tmp_path):
+    """A task that is run again has written two parts; one of them is told to the commit, and the other goes."""
+    writer = file_sources.EdgeWriter(str(tmp_path / "edges"), "4", True)
+    batch = pa.RecordBatch.from_pydict({"u": [1, 2], "v": [3, 4], "w": [5, 6]})
+    writer.write(iter([batch]))
+    again, empty = writer.write(iter([batch])), writer.write(iter([]))
+    writer.commit([again, None, empty])
+    found = {p.name: p.read_text() for p in (tmp_path / "edges").iterdir()}
+    assert found == {"head.csv": "H;4;2;1\n", again.name: "E;1;3;5\nE;2;4;6\n"}
+
+
+def test_chunk_source(spark, tmp_path):
+    image = np.zeros((3, 2, 4), np.uint8)
+    for i in range(3):
+        (tmp_path / f"{i}.png").write_bytes(png.encode_rgba(image))
+    (tmp_path / "cut.png").write_bytes(png.encode_rgba(image)[:-5])
+    file_sources.register(spark)
+    want = {(r.image.rsplit("/", 1)[1], *r[1:]) for r in png.chunk_table(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    read = {(r.image.rsplit("/", 1)[1], *r[1:]) for r in spark.read.format("png_chunks").load(str(tmp_path)).collect()}
+    assert read == want and len(want) == 12
+    quick = spark.read.format("png_chunks").option("check", "false").load(f"file://{tmp_path}").collect()
+    assert len(quick) == 12 and all(r.crc_ok is None for r in quick)
