@@ -341,11 +341,16 @@ def write_files(tokens: DataFrame, path: str, vocabulary: int) -> DataFrame:
     keys = ["doc_id", "n_tokens", "control", "data"]
     coded = _coded(tokens, order, vocabulary).repartitionByRange("doc_id", "n_tokens", F.xxhash64("control", "data"), F.monotonically_increasing_id()).sortWithinPartitions(*keys)
     spark = tokens.sparkSession
-    coded.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long").write.mode("overwrite").parquet(f"{path}/_written")
-    files = spark.read.parquet(f"{path}/_written")  # a row a file
+    schema = "shard long, file string, n_docs long, n_tokens long"
+    coded.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{path}/_written")
+    files = spark.read.schema(schema).parquet(f"{path}/_written")  # a row a file
     start = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files.withColumn("start", start).write.mode("overwrite").parquet(f"{path}/_manifest")
-    return spark.read.parquet(f"{path}/_manifest")
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard long, file string, n_docs long, n_tokens long, start long").parquet(f"{path}/_manifest")
 
 
 def _take(stream, n: int) -> bytes:
@@ -385,7 +390,7 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
                         start += int(bounds[-1])
 
-    manifest = spark.read.parquet(f"{path}/_manifest")
+    manifest = read_manifest(spark, path)
     n = max(1, manifest.count())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return manifest.select("shard", "file", "start").repartitionByRange(n, "shard").mapInArrow(run, schema)

@@ -210,8 +210,9 @@ def subtree_sums(paths: DataFrame, stage: Stage) -> DataFrame:
     up = top.join(paths.select("conv_id", "depth", F.col("path").alias("up")), ["conv_id", "depth"]).select("path", "up", F.col("depth").alias("up_depth"))
     totals = paths.groupBy("path", "level").agg(F.sum(F.col("leaf").cast("long")).alias("leaves"), F.sum("own").alias("saved"))
     where = f"{stage.root}/totals"
-    totals.join(up, "path", "left").write.partitionBy("level").parquet(where)  # a round reads its level alone
-    totals, attached = paths.sparkSession.read.parquet(where), []
+    totals = totals.join(up, "path", "left")
+    totals.write.partitionBy("level").parquet(where)  # a round reads its level alone
+    totals, attached = paths.sparkSession.read.schema(totals.schema).parquet(where), []
     for level in range(paths.agg(F.max("level")).first()[0] or 0, 0, -1):  # log2(conversations) at most
         now = totals.where(F.col("level") == level).select("path", "up", "up_depth", "leaves", "saved")
         if attached:
