@@ -18,27 +18,42 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated trees reject go."""
+    """Documents that the calibrated trees reject go; without usable labels all stay.
+
+    Null and empty texts score as texts without features and stay. Repeated rows share their verdict; an empty table stays empty.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, of repeated rows with that id one.
+
+    A null text is an empty one; a null doc_id is the smallest. An empty table stays empty.
+    """
     return exact.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id stays."""
+    """Of each group of similar documents the one with the least doc_id stays; null ids lose to others.
+
+    Null, empty and wordless texts are like nothing and stay. An empty table stays empty.
+    """
     return jaccard.drop_near_duplicates(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a document appears as often as the mix takes it."""
+    """Sources in their target shares: a document appears as often as the mix takes it.
+
+    A null text has size 0 and takes no words, whatever its copies; a null source is a source. An empty table stays empty.
+    """
     return mix.emit_copies(mix.mix_sources(docs)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences.
+
+    A null or empty text is its end id alone, repeated rows are packed each for itself, and a null doc_id stays null. An empty table packs into nothing.
+    """
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 

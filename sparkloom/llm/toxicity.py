@@ -7,7 +7,8 @@ log odds. Labels come only from rows outside the held-out fold; language, source
 labels are never features.
 
 Fitting uses at most ``MAX_LABELLED`` labelled rows (lowest hash of the id first), so what
-reaches the driver, and the model that is sent out, have fixed bounds. To keep the trees
+reaches the driver, and the model that is sent out (the lexicon is made of those rows'
+words), have bounds that don't grow with the documents. To keep the trees
 from trusting a lexicon that has seen their rows, the fitting rows' features come from the
 lexicons of the other folds; calibration uses the trees of the other folds likewise.
 Scoring is one pass over the documents without any shuffle.
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from sparkloom.staging import Stage
 
 MAX_LABELLED = 20_000
-MAX_LEXICON = 2_000
 FOLDS = 3
 THRESHOLD = 0.3
 #: Documents are held out if crc32 of the id's digits leaves this remainder modulo HELD_OUT[1].
@@ -218,13 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     counted = stage.write(counted.where(" + ".join(f"n1{k}" for k in range(FOLDS)) + " >= 3"), "units")
 
     def lexicon(without: int | None) -> dict[str, float]:
-        """Of the units that stand out clearly in at least 3 toxic rows (or 0.4 % of them), the MAX_LEXICON that tell most."""
+        """The units that stand out clearly in at least 3 toxic rows (or 0.4 % of them); as many at most as the labelled rows hold."""
         folds = [k for k in range(FOLDS) if k != without]
         (a, n_a), (b, n_b) = ((sum((F.col(f"n{y}{k}") for k in folds), F.lit(0)), sum(sizes.get((y, k), 0) for k in folds)) for y in (1, 0))
         weight = F.log((a + 0.5) / (n_a + 1)) - F.log((b + 0.5) / (n_b + 1))
         found = counted.select("unit", a.alias("a"), b.alias("b"), weight.alias("w")).where((F.col("a") >= max(3, n_a * 0.004)) & (F.col("w") > 1.5))
         clear = found.where("w - 1.64 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.3")
-        return {r["unit"]: r["w"] for r in clear.orderBy(F.desc(F.col("a") * F.col("w")), "unit").limit(MAX_LEXICON).collect()}
+        return {r["unit"]: r["w"] for r in clear.collect()}
 
     folds = [lexicon(k) for k in range(FOLDS)]
 
@@ -249,8 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; a null or empty text gets the score of no features."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of trees and lexicon entries
+    """doc_id, held_out, score and predicted of every row; a null or empty text gets the score of no features.
+
+    Equal texts get equal scores, and repeated rows a result each; a null doc_id is not held out.
+    A text of any length is read whole, in time linear in it and within one task. A score
+    of exactly ``threshold`` is predicted toxic. Other columns are not read, whatever their names.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of trees, words of the labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(sent.value.lexicon)

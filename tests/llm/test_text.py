@@ -356,6 +356,61 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def plain_features(text, weights):
+    """The features one by one, with no index and no cache."""
+    text = text or ""
+    words = toxicity.LETTERS.findall(text.lower())
+    n, chars, letters = max(len(words), 1), max(len(text), 1), sum(len(w) for w in words)
+    weigh = lambda w: max([0.0, weights.get(w, 0.0)] + [weights.get("^" + w[:k], 0.0) for k in (4, 5) if len(w) > k])
+    hits = [(i, weigh(w)) for i, w in enumerate(words) if weigh(w)]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i, _ in hits)
+    total = sum(w for _, w in hits)
+    return {
+        "log_words": math.log1p(len(words)), "hits": len(hits), "hit_rate": len(hits) / n, "weight_rate": total / n, "weight_max": max([w for _, w in hits], default=0), "weight_sum": total,
+        "kinds": len({words[i] for i, _ in hits}), "near_you": near, "near_rate": near / n, "you_rate": len(you) / n, "capital_rate": sum(c.isupper() for c in text) / max(letters, 1),
+        "capital_words": sum(w.isupper() for w in text.split()) / n, "exclaim_rate": text.count("!") / chars, "question_rate": text.count("?") / chars, "mark_rate": (chars - letters - text.count(" ")) / chars,
+        "obfuscated_rate": len(list(toxicity.OBFUSCATED.finditer(text))) / n, "digit_rate": sum(c.isdigit() for c in text) / chars, "mean_word": letters / n,
+    }
+
+
+def test_toxic_features_against_a_plain_version():
+    rng = random.Random(12)
+    weights = {"idiot": 3.0, "^idio": 2.0, "^dumm": 1.5, "dummy": 4.0, "fool": 2.5, "^foo": 9.0}
+    parts = ["idiot", "Idiots", "dummkopf", "DUMMY", "fool", "foolish", "you", "Du", "vous", "a", "word", "WORD", "d.u.m.b", "st0p", "nooooo", "é", "ß", "12", "!", "?!", " ", "\n", "_"]
+    lexicon = toxicity.Lexicon(weights)
+    for text in [None, "", *("".join(rng.choice(parts) + rng.choice((" ", " ", "", ", ")) for _ in range(rng.randrange(0, 60))) for _ in range(400))]:
+        want = plain_features(text, weights)
+        assert tuple(want) == toxicity.FEATURES and toxicity.features(text, lexicon) == pytest.approx(list(want.values()))
+
+
+def test_null_conversation(spark):
+    """Turns without a conv_id are one conversation, whose id stays null."""
+    rows = [(None, 1, "user", "b"), (None, 0, "user", "a"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.format_chats(chat.fold_events(chat.as_events(turns))))).collect()}
+    assert set(got) == {None, 3} and got[3].n_turns == 2 and got[None].n_turns == 3
+    assert got[None].turns_sha256 == hashlib.sha256(b"user\na\nuser\nb\n\n\n").hexdigest()
+
+
+@pytest.mark.parametrize("name", ["fertility", "ngram_lm", "packing", "html_crf", "chat", "toxicity"])
+def test_clashing_columns(spark, name):
+    """Columns of the names that operators use inside change nothing."""
+    own = ["n", "node", "tokens", "lang_0", "score", "held_out", "y", "fold", "length", "start", "sequence_id", "no", "piece", "seq", "op", "kept", "words", "features", "n_words", "chunk", "__bucket", "_place"]
+    extra = lambda df: df.withColumns({c: F.lit("clash") for c in own if c not in df.columns})
+    text = lambda i: " ".join(f"word{(i * 7 + j) % 40}" for j in range(25 + i))
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 0) for i in range(40)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(i, "u", f"<p>{text(i)}") for i in range(5)], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(i // 3, i % 3, "user", text(i)) for i in range(9)], "conv_id long, turn long, role string, text string")
+    run = {
+        "fertility": lambda f: fertility.quality_rules(f(docs), tokenizer_file("piece_bpe_32k.model")), "ngram_lm": lambda f: ngram_lm.perplexity_filter(f(docs), f(labels)),
+        "packing": lambda f: packing.pack_documents(f(docs), tokenizer_file("word_bpe_49k.json")), "html_crf": lambda f: html_crf.extract(f(pages)),
+        "chat": lambda f: chat.format_chats(chat.fold_events(chat.as_events(f(turns)))), "toxicity": lambda f: toxicity.score(f(docs), toxicity.fit(f(docs), f(labels))),
+    }[name]
+    assert sorted(map(str, run(extra).collect())) == sorted(map(str, run(lambda df: df).collect()))
+
+
 def test_large_ids_beside_null(spark):
     big = 2**60 + 1
     docs = spark.createDataFrame([(big, "a b c", "en", None, None), (None, "a b", None, None, None)], SCHEMA).coalesce(1)
