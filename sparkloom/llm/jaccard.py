@@ -18,10 +18,13 @@ Jaccard similarity of at least ``PERCENT`` / 100. All filters are exact:
 5. Verification. Each member of a bucket is compared with the bucket's first; the verified
    links make components, and a bucket inside one component is done. In what remains only
    pairs across components count. A rare bucket has at most ``FREQUENT`` members, so its
-   pairs are listed and verified. Buckets of the frequent class are joined into blocks, and
-   a block's nodes outside its largest component are compared with the block in cells of at
-   most two chunks of ``CHUNK_TOKENS``: no task holds a large group, no pair is lost, and
-   pairs inside the largest component are never made.
+   pairs are listed and verified, as are those of other buckets that are as small.
+6. Members of open buckets that are larger go through 4 and 5 again with k = 3, then 4:
+   sets that share no more than a few common tokens don't meet any more.
+7. Buckets that even then are large and open are joined into blocks, and a block's nodes
+   outside its largest component are compared with the block in cells of at most two chunks
+   of ``CHUNK_TOKENS``: no task holds a large group, no pair is lost, and pairs inside the
+   largest component are never made.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ from .hashing import mixed, text_bytes, window_hashes, word_hashes
 SHINGLE = 4
 PERCENT = 85
 FREQUENT = 32
-MOST_COMBINED = 16
+#: A node combines k frequent tokens if it has at most so many of them; combinations are of MOST_TOKENS at most.
+COMBINED = {2: 16, 3: 12, 4: 10}
+MOST_TOKENS = 4
 CHUNK_TOKENS = 100_000
 #: Bits of the filter that keeps most documents' tokens from being sent; a power of two.
 FILTER_BITS = 1 << 24
@@ -190,16 +195,24 @@ def _candidates(docs: DataFrame, signed: DataFrame, stage: Stage, size: int, per
     return names, ranked
 
 
-def _keys(ranked: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
-    """(kind, key, dense, node, n): kind 0 rare token, 1 frequent token, 2 pair of frequent tokens."""
-    slots = F.greatest(F.lit(0), F.size("ranked") - _need("n", percent) + 2).cast("int")  # tokens found nowhere else come first
+def _combined(tokens: Column, k: int) -> Column:
+    """Hashes of all combinations of ``k`` of the tokens, in their order."""
+    found = F.transform(tokens, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    for _ in range(k - 1):
+        found = F.flatten(F.transform(found, lambda c: F.transform(F.slice(tokens, c["i"] + 2, F.size(tokens)), lambda y, j: F.struct(F.xxhash64(c["h"], y).alias("h"), (c["i"] + 1 + j).alias("i")))))
+    return F.transform(found, lambda c: c["h"])
+
+
+def _keys(ranked: DataFrame, percent: int, frequent: int, most: int, k: int = 2) -> DataFrame:
+    """(kind, key, dense, node, n): kind 0 rare token, 1 frequent token, ``k`` a combination of k frequent tokens."""
+    slots = F.greatest(F.lit(0), F.size("ranked") - _need("n", percent) + k).cast("int")  # tokens found nowhere else come first
     part = ranked.select("node", "n", F.slice("ranked", F.lit(1), slots).alias("part"))
     part = part.select("node", "n", F.filter("part", lambda r: r["df"] <= frequent)["token"].alias("rare"), F.filter("part", lambda r: r["df"] > frequent)["token"].alias("often"))
-    pairs = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda y: F.xxhash64(x, y))))
-    dense = (F.size("often") > most) | (_need("n", percent) < 2)  # a set that links by one token has no pair to meet in
-    few = F.size("often").between(2, most)
+    dense = (F.size("often") > most) | (_need("n", percent) < k)  # a set that links by fewer tokens has no combination to meet in
+    few = F.size("often").between(k, most)
     key = lambda kind, of, dense: F.transform(of, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key"), dense.alias("dense")))
-    all_ = F.concat(key(0, F.col("rare"), F.lit(False)), key(1, F.col("often"), dense), key(2, F.when(few, pairs).otherwise(F.array().cast("array<bigint>")), F.lit(False)))
+    combined = _combined(F.when(few, F.col("often")).otherwise(F.array().cast("array<bigint>")), k)
+    all_ = F.concat(key(0, F.col("rare"), F.lit(False)), key(1, F.col("often"), dense), key(k, combined, F.lit(False)))
     return part.select("node", "n", F.explode(all_).alias("k")).select("k.*", "node", "n")
 
 
@@ -285,7 +298,31 @@ def _block_links(members: DataFrame, tokens: DataFrame, stage: Stage, percent: i
     return cells.groupBy(*keys).applyInPandas(lambda c: _cell_links(c, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, most: int = MOST_COMBINED, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def _bucket_links(keyed: DataFrame, tokens: DataFrame, links: DataFrame | None, stage: Stage, percent: int, frequent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, met, large): ``links`` with those that the buckets of ``keyed`` give, their members, and the large buckets still open.
+
+    A bucket whose members are in one component by now is done; of one with at most
+    ``frequent`` members the pairs across components are verified; a larger one is left.
+    """
+    keyed = stage.write(keyed, f"keys{k}")
+    buckets = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), F.max("dense").alias("any_dense"), F.min(F.struct("node", "n")).alias("first")).where("c > 1 AND (kind <> 1 OR any_dense)")
+    buckets = stage.write(buckets.select("kind", "key", "c", "first"), f"buckets{k}")
+    met = keyed.join(buckets, ["kind", "key"])
+    star = met.where((F.col("node") != F.col("first.node")) & _near_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    found = stage.write(_linked(stage.write(star, f"star{k}"), tokens, percent), f"star-links{k}")
+    links = found if links is None else links.unionByName(found)
+    label = stage.write(_labelled(tokens.select("node"), links), f"labels{k}")
+    rows = stage.write(met.join(label, "node").select("kind", "key", "node", "n", "label"), f"met{k}")
+    mixed_ = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("open")).where("open").select("kind", "key", "c")
+    mixed_ = stage.write(mixed_, f"open{k}")
+    small = rows.join(mixed_.where(F.col("c") <= frequent), ["kind", "key"]).groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("node", "n", "label"))).alias("of"))  # at most ``frequent`` members
+    pair = F.transform("of", lambda x, i: F.transform(F.filter(F.slice("of", i + 2, F.size("of")), lambda y: (y["label"] != x["label"]) & _near_in_size(x["n"], y["n"], percent)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    pairs = small.select(F.explode(F.flatten(pair)).alias("p")).select("p.*").distinct()
+    links = links.unionByName(stage.write(_linked(stage.write(pairs, f"pairs{k}"), tokens, percent), f"pair-links{k}"))
+    return links, rows, mixed_.where(F.col("c") > frequent)
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, most: int = COMBINED[2], chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row per row of ``docs``: doc_id, __rid (if given), n_shingles, component_id and component.
 
     component_id is the least doc_id reachable by links. Equal sets link. A null, empty or
@@ -298,25 +335,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     signed = stage.write(docs.select(*keys, "text").mapInArrow(lambda b: _signatures(b, size, percent), f"{kinds}n int, high long, low long, prefix array<long>"), "signed")
     names, ranked = _candidates(docs, signed, stage, size, percent)
     tokens = ranked.select("node", "n", F.col("ranked.token").alias("tokens"))
-    keyed = stage.write(_keys(ranked, percent, frequent, most), "keys")
-    buckets = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), F.max("dense").alias("any_dense"), F.min(F.struct("node", "n")).alias("first")).where("c > 1 AND (kind <> 1 OR any_dense)")
-    buckets = stage.write(buckets.select("kind", "key", "c", "first"), "buckets")
-    met = keyed.join(buckets, ["kind", "key"])
-    star = met.where((F.col("node") != F.col("first.node")) & _near_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
-    links = stage.write(_linked(stage.write(star, "star"), tokens, percent), "star-links")
-
-    label = stage.write(_labelled(tokens.select("node"), links), "labels")
-    rows = stage.write(met.join(label, "node").select("kind", "key", "node", "n", "label"), "met")
-    mixed_ = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("open")).where("open").select("kind", "key", "c")
-    mixed_ = stage.write(mixed_, "open")
-    small = rows.join(mixed_.where(F.col("c") <= frequent), ["kind", "key"]).groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("node", "n", "label"))).alias("of"))  # at most ``frequent`` members
-    pair = F.transform("of", lambda x, i: F.transform(F.filter(F.slice("of", i + 2, F.size("of")), lambda y: (y["label"] != x["label"]) & _near_in_size(x["n"], y["n"], percent)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    pairs = small.select(F.explode(F.flatten(pair)).alias("p")).select("p.*").distinct()
-    links = links.unionByName(stage.write(_linked(stage.write(pairs, "pairs"), tokens, percent), "pair-links"))
-    large = mixed_.where(F.col("c") > frequent)
-    if not large.isEmpty():
+    links = met = None
+    for k in range(2, MOST_TOKENS + 1):
+        keyed = _keys(ranked, percent, frequent, min(most, COMBINED[k]), k)
+        links, met, large = _bucket_links(keyed, tokens, links, stage, percent, frequent, k)
+        if large.isEmpty():
+            break
+        # What has met in large buckets alone meets by more tokens, which fewer sets share.
+        left = stage.write(met.join(large.select("kind", "key"), ["kind", "key"]).select("node").distinct(), f"left{k}")
+        ranked = ranked.join(left, "node", "left_semi")
+    else:
         label = stage.write(_labelled(tokens.select("node"), links), "labels-again")
-        members = stage.write(met.join(large.select("kind", "key"), ["kind", "key"]).join(label, "node").select("kind", "key", "node", "label"), "members")
+        members = stage.write(met.drop("label").join(large.select("kind", "key"), ["kind", "key"]).join(label, "node").select("kind", "key", "node", "label"), "members")
         links = links.unionByName(stage.write(_block_links(members, tokens, stage, percent, chunk_tokens), "block-links"))
 
     groups = star_forest(links, "a", "b").withColumnRenamed("id", "node")

@@ -11,6 +11,7 @@ import pytest
 
 from sparkloom.llm import exact, jaccard, repeats
 
+blocks = jaccard._block_links
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,6 +146,28 @@ def test_near_duplicates_in_a_cluster_without_a_centre(spark):
         assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, size=2, **options).collect()} == want
 
 
+def test_sets_that_share_a_few_common_tokens(spark, monkeypatch):
+    """Buckets of pairs in which nobody links are told apart by longer combinations; few sets come to blocks."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample([f"w{j}" for j in range(60)], 20)), None, None, None) for i in range(1200)]
+    for i in range(0, 300, 3):  # and some that do link
+        words = rows[i][1].split()
+        words[rng.randrange(20)] = "new"
+        rows.append((5000 + i, " ".join(words), None, None, None))
+    sets = [frozenset(t.split()) for _, t, *_ in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    label = list(range(len(rows)))
+    for a, b in links * 3:
+        label[a] = label[b] = min(label[a], label[b])
+    calls = []
+    monkeypatch.setattr(jaccard, "_block_links", lambda members, *a: calls.append(members.select("node").distinct().count()) or blocks(members, *a))
+    seen, keys = [], jaccard._keys
+    monkeypatch.setattr(jaccard, "_keys", lambda ranked, percent, frequent, most, k=2: seen.append(k) or keys(ranked, percent, frequent, most, k))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), size=1, frequent=16).collect()
+    assert {r.doc_id: r.component_id for r in got} == {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+    assert len(links) > 60 and seen == [2, 3, 4] and sum(calls) < 900
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
