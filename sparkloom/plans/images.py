@@ -50,10 +50,11 @@ model AS (SELECT *, CASE WHEN palette THEN 3 WHEN alpha OR few THEN CASE WHEN co
 _STATS_SQL = f"WITH px AS MATERIALIZED ({RASTER_SQL}),\n{_MODEL_SQL}"
 
 
-@query(f"""{_STATS_SQL} SELECT image, n_pixels, colored, alpha, key::BIGINT AS key, bits::INT AS bits, n_colors::BIGINT AS n_colors, color_type::INT AS color_type, bit_depth::INT AS bit_depth,
-    ((kept >> 16) % (1 << bit_depth))::INT AS key_r, ((kept >> 8) % 256 % (1 << bit_depth))::INT AS key_g, (kept % 256 % (1 << bit_depth))::INT AS key_b FROM model""")
+@query(f"""{_STATS_SQL} SELECT image, n_pixels, colored, alpha, coalesce(key, -1)::BIGINT AS key, bits::INT AS bits, n_colors::BIGINT AS n_colors, color_type::INT AS color_type, bit_depth::INT AS bit_depth,
+    coalesce(((kept >> 16) % (1 << bit_depth)), -1)::INT AS key_r, coalesce(((kept >> 8) % 256 % (1 << bit_depth)), -1)::INT AS key_g, coalesce((kept % 256 % (1 << bit_depth)), -1)::INT AS key_b FROM model""")
 def image_colour_model(spark, sf_dir):
-    return colour.choose_model(colour.colour_stats(raster(spark, sf_dir)))
+    """The model of each image; -1 where there is no key."""
+    return colour.choose_model(colour.colour_stats(raster(spark, sf_dir))).fillna(-1, ["key", "key_r", "key_g", "key_b"])
 
 
 _PALETTE_SQL = f"""WITH px AS MATERIALIZED ({RASTER_SQL}), c AS (SELECT image, r, g, b, a, min(pos) AS pos FROM px GROUP BY ALL),
@@ -201,13 +202,13 @@ _image_query("rgba", "unnest([r, g, b, a])")
 _DAMAGE = {0: ("content", None), 1: ("cast('' AS binary)", 48), 2: ("substring(content, 1, 20)", 27), 3: ("overlay(content placing X'00' from 1)", 28), 4: ("substring(content, 1, length(content) - 12)", 30), 5: ("overlay(content placing X'00' from length(content))", 57)}
 
 
-@query(f"SELECT image, {'CASE image % 6 ' + ' '.join(f'WHEN {k} THEN {v[1]}' for k, v in _DAMAGE.items() if v[1]) + ' END'}::INT AS error FROM (SELECT DISTINCT l_suppkey AS image FROM lineitem)")
+@query(f"SELECT image, {'CASE image % 6 ' + ' '.join(f'WHEN {k} THEN {v[1]}' for k, v in _DAMAGE.items() if v[1]) + ' ELSE 0 END'}::INT AS error FROM (SELECT DISTINCT l_suppkey AS image FROM lineitem)")
 def png_errors(spark, sf_dir):
-    """Files of which most are damaged: what each is read as."""
+    """Files of which most are damaged: the number of what is wrong with each, 0 for nothing."""
     files = spark.read.format("binaryFile").load(image_folder(spark, sf_dir)).select("path", "content", _image_id("path").alias("image"))
     damaged = files.withColumn("content", F.expr("CASE image % 6 " + " ".join(f"WHEN {k} THEN {v[0]}" for k, v in _DAMAGE.items()) + " END"))
     read = png.decode_files(damaged, permissive=True)
-    return read.groupBy(_image_id("image").alias("image")).agg(F.max("error").alias("error"))
+    return read.groupBy(_image_id("image").alias("image")).agg(F.coalesce(F.max("error"), F.lit(0)).alias("error"))
 
 
 @query(f"""{_FULL_SQL}, px AS (SELECT * FROM whole), {_MODEL_SQL},

@@ -6,6 +6,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from sparkloom.functions import generate
+from sparkloom.functions.scalars import number_hash
+from sparkloom.operators.histogram import histogram
 from sparkloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -46,11 +49,14 @@ def test_forest_queries_without_sql(spark, name):
     assert {(r.u, r.v, r.w) for r in registry.QUERIES[name](spark, DATA).collect()} == want and len(want) > 100
 
 
-def test_generated_colors_and_pivot(spark):
-    counts = {r.bucket: r.n for r in registry.QUERIES["colors_random_hist"](spark, DATA).collect()}
+def test_generated_colors(spark):
+    counts = {r.bucket: r.n for r in histogram(generate.random_colors(spark, 640 * 426)).collect()}
     assert len(counts) == 256 and sum(counts.values()) == 640 * 426 and max(counts.values()) < 2 * min(counts.values())
-    weights = {r.w for r in registry.graphs.supplier_graph(spark, DATA).select("w").distinct().collect()}
-    assert registry.QUERIES["pivot_random"](spark, DATA).first().pivot in weights
+    import numpy as np
+
+    x = np.array([0, 1, 5, 2**31 - 1, 2**31, 10**12, 2**40 + 7])
+    got = [r.h for r in spark.createDataFrame([(int(v),) for v in x], "x long").select(number_hash("x", 9).alias("h")).collect()]
+    assert got == generate._mixed(x, 9).tolist() and len(set(got)) == len(x)
 
 
 def test_entry(spark):
