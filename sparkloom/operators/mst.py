@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from sparkloom.staging import Stage
 
 from .components import star_forest
-from .edges import pivot, vertices
+from .edges import pivot
 
 #: "auto" works in tasks up to this many vertices: a task's forest has fewer edges than that.
-LOCAL_VERTICES = 2_000_000
+LOCAL_VERTICES = 300_000
 #: Edges that a task holds before it thins them.
-HELD_EDGES = 1_000_000
+HELD_EDGES = 300_000
+#: Edges of a range that is thinned before rounds of joins; fewer edges are not thinned.
+RANGE_EDGES = 500_000
 #: Parts of fewer edges are not split by the adaptive strategy.
 LEAST_ROWS = 100_000
 
@@ -82,6 +84,46 @@ def _local(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterato
         yield thinned()
 
 
+def _ranges_thinned(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """A partition's edges without those that are heaviest on a cycle of the edges held with them.
+
+    A forest that takes more than half of what a task holds leaves it, so memory doesn't grow with the partition.
+    """
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def thinned() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        return rows.iloc[forest_rows(*(rows[c].to_numpy() for c in columns))]
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size > HELD_EDGES:
+            rows = thinned()
+            held, size = [rows], len(rows)
+            if size > HELD_EDGES // 2:
+                yield rows
+                held, size = [], 0
+    if size:
+        yield thinned()
+
+
+def _thinned(edges: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """``edges`` without most of those that close a cycle: a range of vertices meets in a task, a hub's edges in several."""
+    n = edges.count()
+    if n <= RANGE_EDGES:
+        return edges
+    columns = tuple(dict.fromkeys(("u", "v", "w", *ends)))
+    ranges = edges.select(*columns).repartitionByRange(n // RANGE_EDGES + 1, *ends).sortWithinPartitions(*ends)
+    return ranges.mapInPandas(lambda b: _ranges_thinned(b, columns), ranges.schema)
+
+
+def _fits(edges: DataFrame, a: str, b: str, most: int) -> bool:
+    """Whether there are about ``most`` vertices or fewer; a sketch decides, as either way finds the same forest."""
+    return edges.select(F.explode(F.array(a, b)).alias("id")).agg(F.approx_count_distinct("id", 0.02)).first()[0] <= most
+
+
 def _reduced(edges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Forests of partitions, then of ever fewer: an edge that is heaviest on a local cycle is in no forest."""
     run = lambda b: _local(b, columns)
@@ -96,10 +138,11 @@ def _reduced(edges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def boruvka(edges: DataFrame, ends: tuple[str, str] = ("u", "v")) -> DataFrame:
     """Rounds of joins for vertex sets that outgrow a task; components at least halve in a round.
 
-    ``ends`` are the columns of the edges' ends where these are groups of vertices.
+    ``ends`` are the columns of the edges' ends where these are groups of vertices. Ranges
+    of many edges are thinned by tasks first.
     """
     stage, step = Stage(edges.sparkSession, "boruvka"), 0
-    live = stage.write(edges.select(F.col(ends[0]).alias("cu"), F.col(ends[1]).alias("cv"), "w", "u", "v").where("cu <> cv"), "live0")
+    live = stage.write(_thinned(edges, ends).select(F.col(ends[0]).alias("cu"), F.col(ends[1]).alias("cv"), "w", "u", "v").where("cu <> cv"), "live0")
     picked = None
     while not live.isEmpty():
         step += 1
@@ -120,7 +163,7 @@ def boruvka(edges: DataFrame, ends: tuple[str, str] = ("u", "v")) -> DataFrame:
 
 def _forest(part: DataFrame, local_vertices: int) -> DataFrame:
     """The forest (u, v, w, a, b) of edges whose ends are the groups of vertices a and b."""
-    if part.select(F.explode(F.array("a", "b"))).distinct().count() <= local_vertices:
+    if _fits(part, "a", "b", local_vertices):
         return _reduced(part, ("u", "v", "w", "a", "b"))
     found = boruvka(part, ("a", "b"))
     return part.join(found, ["u", "v", "w"], "left_semi")
@@ -230,13 +273,13 @@ def minimum_spanning_forest(edges: DataFrame, strategy: str = "auto", bands: int
     """(u, v, w) of the forest; strategies "local", "boruvka", "banded" and "adaptive" agree edge by edge.
 
     "auto" counts vertices: tasks hold forests, never all edges, so "local" fits while a
-    forest fits a task; beyond that rounds of joins take over.
+    forest fits a task; beyond that tasks thin ranges of edges and rounds of joins take over.
     """
     if strategy not in ("auto", "local", "boruvka", "banded", "adaptive"):
         raise ValueError(f"unknown strategy {strategy!r}")
     edges = Stage(edges.sparkSession, "mst").write(simple_edges(edges), "edges")
     if strategy == "auto":
-        strategy = "local" if vertices(edges).count() <= LOCAL_VERTICES else "boruvka"
+        strategy = "local" if _fits(edges, "u", "v", LOCAL_VERTICES) else "boruvka"
     if strategy == "boruvka":
         return boruvka(edges)
     if strategy == "banded":

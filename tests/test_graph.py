@@ -185,3 +185,22 @@ def test_light_side_then_filtered_heavy_side(spark):
         want = [tuple(r) for r in high.collect() if parent.get(r.u, r.u) != parent.get(r.v, r.v)]
         assert sorted(map(tuple, left.collect())) == sorted(want)
         assert {tuple(r) for r in mst.minimum_spanning_forest(light.unionByName(left)).collect()} == kruskal(CASES["random"])
+
+
+def test_memory_of_a_task_does_not_grow_with_the_forest(spark, monkeypatch):
+    """Edges that are all in the forest leave the task in pieces; what stays makes the same forest in rounds of joins."""
+    rng = np.random.default_rng(9)
+    path = [(i, i + 1, int(w)) for i, w in enumerate(rng.integers(0, 9, 3000))]
+    dense = [(5000 + int(a), 5100 + int(b), int(w)) for a, b, w in zip(rng.integers(0, 60, 3000), rng.integers(0, 60, 3000), rng.integers(0, 99, 3000))]
+    edges = path + list({(u, v): (u, v, w) for u, v, w in dense}.values())
+    rows, seen, whole = __import__("pandas").DataFrame(edges, columns=["u", "v", "w"]), [], mst.forest_rows
+    monkeypatch.setattr(mst, "HELD_EDGES", 500)
+    monkeypatch.setattr(mst, "forest_rows", lambda *c: seen.append(len(c[0])) or whole(*c))
+    got = [tuple(map(int, r)) for part in mst._ranges_thinned((rows[i : i + 90] for i in range(0, len(rows), 90)), ("u", "v", "w")) for r in part.itertuples(index=False)]
+    assert max(seen) <= 590 and kruskal(edges) <= set(got) and len(got) < len(edges) - 1000 and len(got) == len(set(got))
+    monkeypatch.undo()
+    monkeypatch.setattr(mst, "RANGE_EDGES", 700)
+    monkeypatch.setattr(mst, "LOCAL_VERTICES", 100)
+    df = spark.createDataFrame(edges, SCHEMA)
+    assert mst._thinned(df, ("u", "v")).count() < df.count() - 1000
+    assert {tuple(r) for r in mst.minimum_spanning_forest(df).collect()} == kruskal(edges)
