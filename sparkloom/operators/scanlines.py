@@ -18,25 +18,22 @@ def with_line_above(rows: DataFrame, by: str = "image") -> DataFrame:
     Images are dealt in bands of ``BAND`` rows, and a band also gets the row before it, so no
     window holds a whole image. Rows are expected for every y from 0.
     """
-    lines = rows.select(by, F.col("y").cast("long").alias("y"), "line")
-    band = F.expr(f"y div {BAND}")
-    own = lines.withColumns({"_band": band, "_halo": F.lit(False)})
-    halo = lines.where(f"y % {BAND} = {BAND - 1}").withColumns({"_band": band + 1, "_halo": F.lit(True)})
+    y, band = F.col("y").cast("long"), F.expr(f"cast(y AS long) div {BAND}")
+    bands = F.when(y % BAND == BAND - 1, F.array(band, band + 1)).otherwise(F.array(band))
+    lines = rows.select(by, y.alias("y"), "line", band.alias("_own"), F.explode(bands).alias("_band"))
     place = Window.partitionBy(by, "_band").orderBy("y")
-    return own.unionByName(halo).withColumn("above", F.lag("line").over(place)).where("NOT _halo").drop("_band", "_halo")
+    return lines.withColumn("above", F.lag("line").over(place)).where("_own = _band").drop("_own", "_band")
 
 
 def _bytes_of(rows: DataFrame, step: int, by: str) -> DataFrame:
-    """(image, y, x, value, left, above, corner), one row a byte, neighbours outside the image being 0."""
-    lines = with_line_above(rows, by)
+    """(image, y, bytes): each row's bytes as structs (value, left, above, corner), neighbours outside the image being 0."""
+    lines = with_line_above(rows, by).where(F.size("line") > 0)
     zero = F.lit(0)
     none = F.array_repeat(zero, F.lit(step))
     above = F.coalesce("above", F.transform("line", lambda v: zero))
     # Neighbours on the left are the same row, moved to the right by a pixel.
-    zipped = F.arrays_zip("line", F.concat(none, F.col("line")).alias("left"), above.alias("above"), F.concat(none, above).alias("corner"))
-    each = lines.select(by, "y", F.size("line").alias("_n"), F.posexplode(zipped).alias("x", "p"))
-    names = {"value": "line", "left": "left", "above": "above", "corner": "corner"}
-    return each.where("x < _n").select(by, "y", "x", *(F.col(f"p.{v}").alias(k) for k, v in names.items()))
+    zipped = F.arrays_zip(F.col("line").alias("value"), F.concat(none, F.col("line")).alias("left"), above.alias("above"), F.concat(none, above).alias("corner"))
+    return lines.select(by, "y", F.slice(zipped, F.lit(1), F.size("line")).alias("bytes"))
 
 
 def predicted(left: Column, above: Column, corner: Column) -> list[Column]:
@@ -47,30 +44,37 @@ def predicted(left: Column, above: Column, corner: Column) -> list[Column]:
     return [F.lit(0), left, above, F.shiftright(left + above, 1), paeth]
 
 
-def _residuals(rows: DataFrame, step: int, by: str) -> DataFrame:
-    guess = predicted(F.col("left"), F.col("above"), F.col("corner"))
-    return _bytes_of(rows, step, by).select(by, "y", "x", *(((F.col("value") - g + 256) % 256).cast("int").alias(f"f{i}") for i, g in enumerate(guess)))
+def _residuals(kind: int) -> Column:
+    """The row's bytes under a filter, an array; a row's work stays in its task, however many bytes it has."""
+    guess = lambda p: predicted(p["left"], p["above"], p["corner"])[kind]
+    return F.transform("bytes", lambda p: ((p["value"] - guess(p) + 256) % 256).cast("int"))
 
 
 def filter_sums(rows: DataFrame, step: int, by: str = "image") -> DataFrame:
     """(image, y, s0 ... s4): each row's summed residuals by filter; differences count as signed, -1 as 0 and so on."""
-    signed = [F.sum(F.col("f0")).alias("s0")] + [F.sum(F.when(F.col(f"f{i}") < 128, F.col(f"f{i}")).otherwise(255 - F.col(f"f{i}"))).alias(f"s{i}") for i in range(1, 5)]
-    return _residuals(rows, step, by).groupBy(by, "y").agg(*signed)
+
+    def total(kind: int) -> Column:
+        signed = lambda v: v if kind == 0 else F.when(v < 128, v).otherwise(255 - v)
+        return F.aggregate(_residuals(kind), F.lit(0).cast("long"), lambda s, v: s + F.coalesce(signed(v), F.lit(0)))
+
+    return _bytes_of(rows, step, by).select(by, "y", *(total(i).alias(f"s{i}") for i in range(5)))
 
 
 def filter_entropies(rows: DataFrame, step: int, by: str = "image") -> DataFrame:
     """(image, y, s0 ... s4): each row's summed n * log2(n) over its byte counts by filter, linear between powers of two.
 
-    The filter's own number, which stands before the row, is one of its bytes.
+    The filter's own number, which stands before the row, is one of its bytes. A byte that m
+    equal ones precede adds what the m + 1st adds to the term, floor(log2(m)) + 2.
     """
-    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"f{i}").alias("byte")) for i in range(5))))
-    counts = _residuals(rows, step, by).select(by, "y", kinds.alias("k")).groupBy(by, "y", "k.kind", "k.byte").agg(F.count(F.lit(1)).alias("n"))
-    mark = counts.select(by, "y", "kind").distinct().select(by, "y", "kind", F.col("kind").alias("byte"), F.lit(1).cast("long").alias("n"))
-    counts = counts.unionByName(mark).groupBy(by, "y", "kind", "byte").agg(F.sum("n").alias("n"))
-    power = F.length(F.bin("n")) - 1
-    weight = F.col("n") * power + 2 * (F.col("n") - F.expr("shiftleft(1L, length(bin(n)) - 1)"))
-    sums = counts.groupBy(by, "y", "kind").agg(F.sum(weight).alias("s"))
-    return sums.groupBy(by, "y").agg(*(F.max(F.when(F.col("kind") == i, F.col("s"))).alias(f"s{i}") for i in range(5)))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("s"))
+
+    def add(t: Column, v: Column) -> Column:
+        again = F.struct(v.alias("last"), (t["m"] + 1).alias("m"), (t["s"] + F.length(F.bin(t["m"])) + 1).alias("s"))
+        return F.when(v.eqNullSafe(t["last"]), again).otherwise(F.struct(v.alias("last"), F.lit(1).alias("m"), t["s"].alias("s")))
+
+    ordered = (F.sort_array(F.concat(_residuals(i), F.array(F.lit(i)))) for i in range(5))
+    sums = [F.aggregate(v, start, add, lambda t: t["s"]) for v in ordered]
+    return _bytes_of(rows, step, by).select(by, "y", *(s.alias(f"s{i}") for i, s in enumerate(sums)))
 
 
 def choose_filters(rows: DataFrame, step: int, strategy: str = "minsum", by: str = "image") -> DataFrame:
@@ -92,12 +96,12 @@ def choose_filters(rows: DataFrame, step: int, strategy: str = "minsum", by: str
 
 def filtered_rows(rows: DataFrame, filters: DataFrame, step: int, by: str = "image") -> DataFrame:
     """(image, y, filter, line): the rows under their filters, as a decoder expects them."""
-    each = _residuals(rows, step, by)
     chosen = filters.select(F.col(by).alias("_by"), F.col("y").alias("_y"), "filter")
-    joined = each.join(chosen, F.col(by).eqNullSafe(F.col("_by")) & (F.col("y") == F.col("_y")))
-    value = F.element_at(F.array(*(f"f{i}" for i in range(5))), F.col("filter") + 1)
-    whole = joined.groupBy(by, "y", "filter").agg(F.array_sort(F.collect_list(F.struct("x", value.alias("v")))).alias("all"))
-    return whole.select(by, "y", "filter", F.transform("all", lambda p: p["v"]).alias("line"))
+    joined = _bytes_of(rows, step, by).join(chosen, F.col(by).eqNullSafe(F.col("_by")) & (F.col("y") == F.col("_y")))
+    line = F.when(F.col("filter") == 0, _residuals(0))
+    for i in range(1, 5):
+        line = line.when(F.col("filter") == i, _residuals(i))
+    return joined.select(by, "y", "filter", line.alias("line"))
 
 
 def _side(size: Column, start: int, step: int) -> Column:

@@ -204,3 +204,12 @@ def test_checksums(spark):
     got = {r.stream: (r.n_bytes, r.crc32, r.adler32) for r in coding.stream_checksums(blocks).collect()}
     assert got == {k: (len(v), zlib.crc32(v), zlib.adler32(v)) for k, v in data.items()}
     assert coding.stream_checksums(blocks.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["minsum", "entropy"])
+def test_filters_are_chosen_in_one_shuffle(spark, strategy):
+    """The bytes of a row are counted in the row: only whole rows are dealt, for the row above."""
+    rows = spark.createDataFrame([("a", y, [y % 5] * 48) for y in range(40)] + [("none", 0, [])], "image string, y long, line array<int>")
+    chosen = scanlines.choose_filters(rows, 3, strategy)
+    assert chosen._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert chosen.where("image = 'a'").count() == 40 and chosen.where("image = 'none'").count() == 0
