@@ -7,7 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +46,8 @@ def encode_images(pixels: DataFrame, width: int, strategy: str = "minsum") -> Da
     """(image, content): a PNG file of each image of (image, pos, r, g, b, a), eight bits a channel, rows of ``width`` pixels.
 
     pos counts from 0 and has no gaps; an image whose last row isn't full stops the write. A
-    file is made in one task, as it is read in one; statistics, palettes and filters are not.
+    file is made in one task, as it is read in one, from rows that pass one by one; statistics,
+    palettes and filters are not.
     A null image has no file.
     """
     stage = Stage(pixels.sparkSession, "png-encode")
@@ -55,33 +56,64 @@ def encode_images(pixels: DataFrame, width: int, strategy: str = "minsum") -> Da
     chosen = models.where(F.col("color_type") == colour.PALETTE).select("image")
     palette = stage.write(colour.palettes(pixels.join(chosen, "image", "left_semi")), "palettes")
     rows = stage.write(_model_rows(pixels, models, palette, width, strategy), "rows")
-    lines = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "filter", "bytes"))).alias("rows"))
     colours = palette.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("idx", "r", "g", "b", "a"))).alias("palette"))  # 256 at most
-    whole = lines.join(models.select("image", "n_pixels", "color_type", "bit_depth", "key_r", "key_g", "key_b"), "image").join(colours, "image", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    heads = models.select("image", "n_pixels", "color_type", "bit_depth", "key_r", "key_g", "key_b").join(colours, "image", "left")
+    heads = heads.select("image", F.lit(-1).cast("long").alias("y"), F.struct(*heads.columns[1:]).alias("head"))
+    # An image's head, then its rows in order.
+    dealt = heads.unionByName(rows, allowMissingColumns=True).repartition("image").sortWithinPartitions("image", "y")
+    kind = dict(pixels.dtypes)["image"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image = None
         for batch in batches:
-            yield pd.DataFrame({"image": batch["image"], "content": [_file(r, width) for r in batch.to_dict("records")]})
-
-    return whole.mapInPandas(run, f"image {dict(pixels.dtypes)['image']}, content binary")
-
-
-def _file(r: dict, width: int) -> bytes:
-    height, rest = divmod(int(r["n_pixels"]), width)
-    if rest or len(r["rows"]) != height:
-        raise ValueError(f"image {r['image']} has no whole rows of {width} pixels")
-    parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, int(r["bit_depth"]), int(r["color_type"]), 0, 0, 0))]
-    if r["color_type"] == colour.PALETTE:
-        colours = r["palette"]
-        parts.append(chunk(b"PLTE", b"".join(bytes((p["r"], p["g"], p["b"])) for p in colours)))
-        clear = bytes(p["a"] for p in colours).rstrip(b"\xff")
-        if clear:
-            parts.append(chunk(b"tRNS", clear))
-    elif not pd.isna(r["key_r"]):
-        key = [int(r[c]) for c in ("key_r", "key_g", "key_b")]
-        parts.append(chunk(b"tRNS", struct.pack(">H", key[0]) if r["color_type"] == colour.GREY else struct.pack(">3H", *key)))
-    raw = b"".join(bytes([row["filter"]]) + bytes(row["bytes"]) for row in r["rows"])
-    return SIGNATURE + b"".join([*parts, chunk(b"IDAT", zlib.compress(raw)), chunk(b"IEND", b"")])
+            done: list[tuple] = []
+            names, ys, heads = batch.column("image"), batch.column("y").to_pylist(), batch.column("head")
+            for i, (y, number, row) in enumerate(zip(ys, batch.column("filter").to_pylist(), batch.column("bytes"))):
+                if y < 0:
+                    if image:
+                        done.append(image.file())
+                    image = _Image(names[i].as_py(), heads[i].as_py(), width)
+                else:
+                    image.add(number, row.as_py())
+            if done:
+                yield made(done, names.type)
+        if image:
+            yield made([image.file()], names.type)
+
+    def made(done: list[tuple], names: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], names), pa.array([c for _, c in done], pa.binary())], names=["image", "content"])
+
+    return dealt.mapInArrow(run, f"image {kind}, content binary")
+
+
+class _Image:
+    """A file that is made as its rows pass; only what is compressed is held."""
+
+    def __init__(self, name, head: dict, width: int):
+        self.name, self.head, self.width = name, head, width
+        self.height, self.rest = divmod(head["n_pixels"], width)
+        self.rows, self.packer, self.packed = 0, zlib.compressobj(), []
+
+    def add(self, number: int, row: bytes) -> None:
+        self.packed.append(self.packer.compress(bytes([number]) + row))
+        self.rows += 1
+
+    def file(self) -> tuple:
+        head = self.head
+        if self.rest or self.rows != self.height:
+            raise ValueError(f"image {self.name} has no whole rows of {self.width} pixels")
+        parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", self.width, self.height, head["bit_depth"], head["color_type"], 0, 0, 0))]
+        if head["color_type"] == colour.PALETTE:
+            colours = head["palette"]
+            parts.append(chunk(b"PLTE", b"".join(bytes((p["r"], p["g"], p["b"])) for p in colours)))
+            clear = bytes(p["a"] for p in colours).rstrip(b"\xff")
+            if clear:
+                parts.append(chunk(b"tRNS", clear))
+        elif head["key_r"] is not None:
+            key = [head[c] for c in ("key_r", "key_g", "key_b")]
+            parts.append(chunk(b"tRNS", struct.pack(">H", key[0]) if head["color_type"] == colour.GREY else struct.pack(">3H", *key)))
+        body = b"".join([*self.packed, self.packer.flush()])
+        return self.name, SIGNATURE + b"".join([*parts, chunk(b"IDAT", body), chunk(b"IEND", b"")])
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
@@ -91,20 +123,20 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     a name of its own and then renamed, so a task that is run again or lost leaves no half file in its place.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         store, root = FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for batch in batches:
             paths = []
-            for name, content in zip(batch["image"], batch["content"]):
-                store.create_dir(root, recursive=True)
-                part, done = f"{root}/.{uuid.uuid4().hex}", f"{root}/{str(name).replace('/', '_')}.png"
+            for name, content in zip(batch.column("image"), batch.column("content")):
+                part, done = f"{root}/.{uuid.uuid4().hex}", f"{root}/{str(name.as_py()).replace('/', '_')}.png"
                 with store.open_output_stream(part) as f:
-                    f.write(content)
+                    f.write(content.as_buffer())
                 store.move(part, done)
                 paths.append(done)
-            yield pd.DataFrame({"image": batch["image"], "path": paths})
+            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(paths, pa.string())], names=["image", "path"])
 
-    written = files.select("image", "content").mapInPandas(run, f"image {dict(files.dtypes)['image']}, path string")
+    written = files.select("image", "content").mapInArrow(run, f"image {dict(files.dtypes)['image']}, path string")
     return Stage(files.sparkSession, "png-files").write(written, "written")

@@ -203,3 +203,19 @@ def test_written_images_read_back(spark, tmp_path):
     with pytest.raises(Exception, match="whole rows"):
         png_write.encode_images(pixels.where("pos < 10"), 9).collect()
     assert png_write.encode_images(pixels.limit(0), 9).count() == 0
+
+
+def test_a_file_is_made_from_rows_one_by_one(spark):
+    """No task gets a whole image, or thousands of them, in one batch: with one row a batch the files are the same."""
+    rows = [(k, i, (i * k) % 256, i % 7, k, 255 if i % 9 else k) for k in range(1, 12) for i in range(16 * (k % 4 + 1))]
+    pixels = spark.createDataFrame(rows, "image long, pos long, r int, g int, b int, a int").repartition(3)
+    whole = {r.image: bytes(r.content) for r in png_write.encode_images(pixels, 8).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        files = png_write.encode_images(pixels, 8)
+        assert {r.image: bytes(r.content) for r in files.collect()} == whole and len(whole) == 11
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list(struct(y" not in files._jdf.queryExecution().executedPlan().toString()
+    for k, data in whole.items():
+        assert [tuple(map(int, p)) for p in png.decode_png(data).reshape(-1, 4)] == [r[2:] for r in rows if r[0] == k]
