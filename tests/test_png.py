@@ -219,3 +219,13 @@ def test_a_file_is_made_from_rows_one_by_one(spark):
     assert "collect_list(struct(y" not in files._jdf.queryExecution().executedPlan().toString()
     for k, data in whole.items():
         assert [tuple(map(int, p)) for p in png.decode_png(data).reshape(-1, 4)] == [r[2:] for r in rows if r[0] == k]
+
+
+def test_chunks_of_streamed_files(spark, tmp_path):
+    rows = [(k, i, k, i % 5, i % 3, 255) for k in (1, 2, 3) for i in range(40 * k)]
+    files = png_write.encode_images(spark.createDataFrame(rows, "image long, pos long, r int, g int, b int, a int"), 8)
+    assert "MapInPandas" not in files._jdf.queryExecution().executedPlan().toString()
+    written = {r.image: r.path for r in png_write.write_files(files, f"file://{tmp_path}/out").collect()}
+    assert set(written) == {1, 2, 3}
+    found = png.chunk_table(spark.read.format("binaryFile").load(f"file://{tmp_path}/out")).orderBy("image", "no").collect()
+    assert [r.type for r in found] == ["IHDR", "PLTE", "IDAT", "IEND"] * 3 and all(r.crc_ok and r.error is None for r in found)
