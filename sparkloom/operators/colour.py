@@ -59,8 +59,8 @@ def _least_colours(pixels: DataFrame) -> DataFrame:
                 c, p = np.concatenate([old[0], c]), np.concatenate([old[1], p])
                 by = np.lexsort((p, c))
                 c, p = c[by], p[by]
-                first = np.append(True, c[1:] != c[:-1])
-                held[name] = c[first][:MANY], p[first][:MANY]
+                first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))[:MANY]
+                held[name] = c[first], p[first]  # no views of the batch's colours
             if len(held) > IMAGES_HELD:
                 yield made(held, batch.schema.field("image").type)
                 held = {}

@@ -169,7 +169,7 @@ def full_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a PNG file of each supplier's image, written by the tasks."""
     folder = Stage(spark, "image-files").root
-    png_write.write_files(png_write.encode_images(full_raster(spark, sf_dir), WIDTH), folder)
+    png_write.write_images(full_raster(spark, sf_dir), WIDTH, folder)
     return folder
 
 

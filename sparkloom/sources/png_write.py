@@ -42,14 +42,8 @@ def _model_rows(pixels: DataFrame, models: DataFrame, palette: DataFrame, width:
     return rows
 
 
-def encode_images(pixels: DataFrame, width: int, strategy: str = "minsum") -> DataFrame:
-    """(image, content): a PNG file of each image of (image, pos, r, g, b, a), eight bits a channel, rows of ``width`` pixels.
-
-    pos counts from 0 and has no gaps; an image whose last row isn't full stops the write. A
-    file is made in one task, as it is read in one, from rows that pass one by one; statistics,
-    palettes and filters are not.
-    A null image has no file.
-    """
+def _dealt_rows(pixels: DataFrame, width: int, strategy: str) -> DataFrame:
+    """(image, y, head, filter, bytes): each image's head, then its rows in order, in one task."""
     stage = Stage(pixels.sparkSession, "png-encode")
     pixels = stage.write(pixels.where("image IS NOT NULL").select("image", F.col("pos").cast("long").alias("pos"), "r", "g", "b", "a"), "pixels")
     models = stage.write(colour.choose_model(colour.colour_stats(pixels)), "models")
@@ -59,31 +53,58 @@ def encode_images(pixels: DataFrame, width: int, strategy: str = "minsum") -> Da
     colours = palette.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("idx", "r", "g", "b", "a"))).alias("palette"))  # 256 at most
     heads = models.select("image", "n_pixels", "color_type", "bit_depth", "key_r", "key_g", "key_b").join(colours, "image", "left")
     heads = heads.select("image", F.lit(-1).cast("long").alias("y"), F.struct(*heads.columns[1:]).alias("head"))
-    # An image's head, then its rows in order.
-    dealt = heads.unionByName(rows, allowMissingColumns=True).repartition("image").sortWithinPartitions("image", "y")
-    kind = dict(pixels.dtypes)["image"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        image = None
-        for batch in batches:
-            done: list[tuple] = []
-            names, ys, heads = batch.column("image"), batch.column("y").to_pylist(), batch.column("head")
-            for i, (y, number, row) in enumerate(zip(ys, batch.column("filter").to_pylist(), batch.column("bytes"))):
-                if y < 0:
-                    if image:
-                        done.append(image.file())
-                    image = _Image(names[i].as_py(), heads[i].as_py(), width)
-                else:
-                    image.add(number, row.as_py())
-            if done:
-                yield made(done, names.type)
-        if image:
-            yield made([image.file()], names.type)
+    return heads.unionByName(rows, allowMissingColumns=True).repartition("image").sortWithinPartitions("image", "y")
+
+
+def _made(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(image, content) from ``_dealt_rows``."""
 
     def made(done: list[tuple], names: pa.DataType) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], names), pa.array([c for _, c in done], pa.binary())], names=["image", "content"])
 
-    return dealt.mapInArrow(run, f"image {kind}, content binary")
+    image = None
+    for batch in batches:
+        done: list[tuple] = []
+        names, ys, heads = batch.column("image"), batch.column("y").to_pylist(), batch.column("head")
+        for i, (y, number, row) in enumerate(zip(ys, batch.column("filter").to_pylist(), batch.column("bytes"))):
+            if y < 0:
+                if image:
+                    done.append(image.file())
+                image = _Image(names[i].as_py(), heads[i].as_py(), width)
+            else:
+                image.add(number, row.as_py())
+        if done:
+            yield made(done, names.type)
+    if image:
+        yield made([image.file()], names.type)
+
+
+def _stored(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """(image, path) of written (image, content)."""
+    from pyarrow.fs import FileSystem
+
+    store, root = FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    for batch in batches:
+        paths = []
+        for name, content in zip(batch.column("image"), batch.column("content")):
+            part, done = f"{root}/.{uuid.uuid4().hex}", f"{root}/{str(name.as_py()).replace('/', '_')}.png"
+            with store.open_output_stream(part) as f:
+                f.write(content.as_buffer())
+            store.move(part, done)
+            paths.append(done)
+        yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(paths, pa.string())], names=["image", "path"])
+
+
+def encode_images(pixels: DataFrame, width: int, strategy: str = "minsum") -> DataFrame:
+    """(image, content): a PNG file of each image of (image, pos, r, g, b, a), eight bits a channel, rows of ``width`` pixels.
+
+    pos counts from 0 and has no gaps; an image whose last row isn't full stops the write. A
+    file is made in one task, as it is read in one, from rows that pass one by one; statistics,
+    palettes and filters are not.
+    A null image has no file.
+    """
+    return _dealt_rows(pixels, width, strategy).mapInArrow(lambda batches: _made(batches, width), f"image {dict(pixels.dtypes)['image']}, content binary")
 
 
 class _Image:
@@ -123,20 +144,12 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     a name of its own and then renamed, so a task that is run again or lost leaves no half file in its place.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
-        store, root = FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        for batch in batches:
-            paths = []
-            for name, content in zip(batch.column("image"), batch.column("content")):
-                part, done = f"{root}/.{uuid.uuid4().hex}", f"{root}/{str(name.as_py()).replace('/', '_')}.png"
-                with store.open_output_stream(part) as f:
-                    f.write(content.as_buffer())
-                store.move(part, done)
-                paths.append(done)
-            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(paths, pa.string())], names=["image", "path"])
-
-    written = files.select("image", "content").mapInArrow(run, f"image {dict(files.dtypes)['image']}, path string")
+    written = files.select("image", "content").mapInArrow(lambda batches: _stored(batches, folder), f"image {dict(files.dtypes)['image']}, path string")
     return Stage(files.sparkSession, "png-files").write(written, "written")
+
+
+def write_images(pixels: DataFrame, width: int, folder: str, strategy: str = "minsum") -> DataFrame:
+    """``write_files`` of ``encode_images`` by one Python worker a task; the two calls keep two, one behind the other."""
+    schema = f"image {dict(pixels.dtypes)['image']}, path string"
+    written = _dealt_rows(pixels, width, strategy).mapInArrow(lambda batches: _stored(_made(batches, width), folder), schema)
+    return Stage(pixels.sparkSession, "png-files").write(written, "written")

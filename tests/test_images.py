@@ -213,3 +213,23 @@ def test_filters_are_chosen_in_one_shuffle(spark, strategy):
     chosen = scanlines.choose_filters(rows, 3, strategy)
     assert chosen._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert chosen.where("image = 'a'").count() == 40 and chosen.where("image = 'none'").count() == 0
+
+
+def test_least_colours_hold_no_batch():
+    """Of a batch with many colours only the least stay in memory."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    n, images = 10_000, 300
+    frame = SimpleNamespace(dtypes=[("image", "bigint")], mapInArrow=lambda run, schema: run)
+    batches = (pa.record_batch({"image": np.full(n, i), "code": np.arange(n)[::-1], "pos": np.arange(n)}) for i in range(images))
+    tracemalloc.start()
+    try:
+        (out,) = colour._least_colours(frame)(batches)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == images * colour.MANY and out.column("code").to_pylist()[: colour.MANY] == list(range(colour.MANY))
+    assert peak < 20e6, peak  # with whole batches' colours held: 50 MB

@@ -229,3 +229,19 @@ def test_chunks_of_streamed_files(spark, tmp_path):
     assert set(written) == {1, 2, 3}
     found = png.chunk_table(spark.read.format("binaryFile").load(f"file://{tmp_path}/out")).orderBy("image", "no").collect()
     assert [r.type for r in found] == ["IHDR", "PLTE", "IDAT", "IEND"] * 3 and all(r.crc_ok and r.error is None for r in found)
+
+
+def test_a_task_makes_and_writes_files_in_one_worker(spark, tmp_path, monkeypatch):
+    from sparkloom import staging
+    from sparkloom.plans import images
+
+    lines = [(o, o % 13, s, o % 4) for s in (1, 8, 11) for o in range(20 * s)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, write = {}, staging.Stage.write
+    monkeypatch.setattr(staging.Stage, "write", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(self, df, name))
+    folder = images.image_folder(spark, str(tmp_path))
+    initial = plans["written"].rpartition("== Initial Plan ==")[2]
+    assert initial.count("MapInArrow") == 1  # one worker behind another doubles an executor's Python
+    pixels = {(r.image.rsplit("/", 1)[1], r.pos): (r.r, r.g, r.b, r.a) for r in png.read_pixels(spark, folder).collect()}
+    want = {(f"{r.image}.png", r.pos): (r.r, r.g, r.b, r.a) for r in images.full_raster(spark, str(tmp_path)).collect()}
+    assert pixels == want and {name for name, _ in want} == {"1.png", "8.png", "11.png"}
